@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketflow.llm import chat, secrets, spotsigs
-from basketflow.llm.store import table
+from basketflow.llm import chat, decontaminate, html_text, jaccard, langid, licenses, pieces, rollup, secrets, spotsigs
+from basketflow.llm.store import shared_dir, table
 
 CONTROL = "\\### Assistant: </turn> ok"
 
@@ -25,7 +27,42 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_chat": op5_chat, "op8_secrets": op8_secrets, "op10_spotsigs": op10_spotsigs}
+def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch of inserts, committed twice: the second time adds nothing."""
+    counts = rollup.inserts(rollup.counted(table(spark, sf_dir, "documents")))
+    kept = rollup.Rollup(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
+    for _ in range(2):
+        kept.commit("documents", counts)
+    return kept.totals()
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    by = langid.profiles(docs.where(~F.col("held_out")))
+    return langid.identified(docs.select("doc_id", "text", "held_out"), by).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_crf, op2_token_counts, op3_jaccard_join, op4_licenses, op5_chat, op6_language, op7_decontaminate, op8_secrets, op9_sentencepiece, op10_spotsigs)}
 
 _CHAT = f"""
 WITH c AS (
@@ -75,4 +112,17 @@ SELECT doc_id, {", ".join(f"coalesce(n_{x[0]}, 0) AS n_{x[0]}" for x in secrets.
 FROM d LEFT JOIN g USING (rid)
 """
 
-ORACLE_SQL = {"op5_chat": _CHAT, "op8_secrets": _SECRETS}
+_KNOWN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in licenses.KNOWN.items()) + "}"
+_NAMES = ", ".join(f"CASE WHEN contains(line, ' {' '.join(ids)} ') THEN '{name}' END" for name, ids in licenses.RULES)
+_LICENSES = f"""
+WITH s AS (
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '{licenses._END}', '\\1' || chr(10), 'g'), chr(10)),
+    lambda x: ({_KNOWN})[trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL) AS ids
+  FROM documents
+), l AS (SELECT doc_id, ids, ' ' || array_to_string(ids, ' ') || ' ' AS line FROM s)
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter([{_NAMES}], lambda x: x IS NOT NULL))), ','), '') AS licenses
+FROM l
+"""
+
+ORACLE_SQL = {"op4_licenses": _LICENSES, "op5_chat": _CHAT, "op8_secrets": _SECRETS}
