@@ -2,5 +2,1037 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from basketflow import schemas as S
+from basketflow.functions import experiment as E
+from basketflow.functions import interleave
+from basketflow.operators import candidates as C
+from basketflow.operators import covisit, drift, features, nightly, ranker, split
+from basketflow.plans.oracle import metrics, product_stats, sql
+from basketflow.sources import adapters as A
+from basketflow.sources import versions
+from basketflow.streaming import sessions as stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+B, C_ = S.window("B")[0], S.window("C")[0]
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE_SQL[f.__name__] = sql(oracle)
+        return f
+
+    return add
+
+
+def _tmp(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors share."""
+    import tempfile
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# -- shared intermediate frames
+
+
+def _matrix_b(s, d):
+    return covisit.build(A.e_day(s, d).where(F.col("event_time") < F.lit(B)))
+
+
+def _matrix_c(s, d):
+    return covisit.build(A.e_day(s, d).where(F.col("event_time") < F.lit(C_)))
+
+
+def _cases(s, d, name="B"):
+    return split.cases(A.e_day(s, d), name)
+
+
+def _popular_b(s, d):
+    return C.popular(split.stats_events(A.e_day(s, d), "B"), B)
+
+
+def _run(s, d, name):
+    history, cases = _cases(s, d)
+    return C.top_k(C.baseline_scores(name, history, _matrix_b(s, d)), cases, _popular_b(s, d)), cases
+
+
+def _features(s, d):
+    history, cases = _cases(s, d)
+    return features.build(history, cases, _matrix_b(s, d), features.product_stats(split.stats_events(A.e_day(s, d), "B"), B))
+
+
+def _line(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+def _r(df, *columns, n=6):
+    for c in columns:
+        df = df.withColumn(c, F.round(c, n))
+    return df
+
+
+# -- sources, scans, sinks
+
+
+@query()
+def src_csv_typed(s, d):
+    """Writes events as gzipped raw CSV and reads them typed."""
+    at = _tmp(s, "csv")
+    name = F.when(F.col("event_type") == 0, "view").when(F.col("event_type") == 1, "cart").otherwise("purchase")
+    rows = A.e_day(s, d).select(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss 'UTC'").alias("event_time"), name.alias("event_type"), "product_id", "category_id", F.lit(None).cast("string").alias("category_code"), "brand", "price", "user_id", F.col("session").cast("string").alias("user_session"))
+    rows.write.option("header", True).option("compression", "gzip").csv(at)
+    return A.csv_typed(s, at, partitions=s.sparkContext.defaultParallelism)
+
+
+@query("""SELECT seq, dense_rank() OVER (ORDER BY f, session) - 1 AS session FROM (SELECT *, min(event_time) OVER (PARTITION BY session) AS f FROM day_ev)""")
+def ingest_sessions(s, d):
+    return A.with_sessions(A.e_day(s, d).withColumn("user_session", F.col("session")).drop("session")).select("seq", "session")
+
+
+@query("SELECT session, seq, product_id FROM day_ev WHERE session IS NOT NULL")
+def scan_events(s, d):
+    return A.e_day(s, d).where(F.col("session").isNotNull()).select("session", "seq", "product_id")
+
+
+@query("SELECT session, seq, product_id FROM day_ev")
+def sink_parquet(s, d):
+    at = _tmp(s, "parquet")
+    A.e_day(s, d).write.option("compression", "zstd").parquet(at)
+    return s.read.parquet(at).select("session", "seq", "product_id")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq FROM events")
+def src_with_seq(s, d):
+    """Dense positions: each day is numbered in its own task and offset by the days before."""
+    rows = A.read(s, d, "events").select("event_id", "ts", F.col("ts").cast("date").alias("day"))
+    sizes = rows.groupBy("day").agg(F.count("*").alias("n"))
+    before = sizes.select("day", (F.sum("n").over(Window.orderBy("day")) - F.col("n")).alias("before"))
+    seq = F.row_number().over(Window.partitionBy("day").orderBy("ts", "event_id")) - 1 + F.col("before")
+    return rows.join(F.broadcast(before), "day").select("event_id", seq.alias("seq"))
+
+
+@query("SELECT CAST(CAST(event_time AS DATE) AS VARCHAR) AS version, count(*) AS n FROM day_ev GROUP BY 1")
+def wh_load(s, d):
+    at = _tmp(s, "load")
+    rows = A.e_day(s, d).withColumn("version", F.col("event_time").cast("date"))
+    rows.repartition("version").sortWithinPartitions("version", "product_id").write.mode("overwrite").partitionBy("version").parquet(at)
+    return s.read.parquet(at).groupBy(F.col("version").cast("string").alias("version")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT '2024-01-23' AS version, kind, count(*) AS n FROM night_m GROUP BY kind UNION ALL SELECT '2024-01-16', kind, count(*) FROM day_m GROUP BY kind")
+def wh_build_partition(s, d):
+    """Writes two nights, then one of them again: only its partition is replaced."""
+    at = _tmp(s, "nights")
+    night = lambda m, v: m.withColumn("version", F.lit(v).cast("date"))
+    versions.write_night(night(_matrix_b(s, d), "2024-01-16"), at)
+    versions.write_night(night(_matrix_b(s, d), "2024-01-23"), at)
+    versions.write_night(night(_matrix_c(s, d), "2024-01-23"), at)
+    return s.read.parquet(at).groupBy(F.col("version").cast("string").alias("version"), "kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT kind, product_id, neighbour, weight, rank FROM night_m")
+def wh_read_night(s, d):
+    at = _tmp(s, "night")
+    versions.write_night(_matrix_c(s, d).withColumn("version", F.lit("2024-01-23").cast("date")), at)
+    return versions.read_night(s, at, "2024-01-23", {"weight": "float"})
+
+
+@query("SELECT product_id, string_agg(neighbour, ',' ORDER BY rank) AS neighbours FROM day_m WHERE kind = 'time' GROUP BY product_id")
+def artifacts_export(s, d):
+    rows = _matrix_b(s, d).where("kind = 'time'").groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))).alias("x"))
+    return rows.select("product_id", _line(F.transform("x", lambda v: v["neighbour"])).alias("neighbours"))
+
+
+@query("SELECT kind, count(*) AS n FROM day_m GROUP BY kind")
+def artifacts_load(s, d):
+    """Builds a version, publishes it and reads it by the pointer."""
+    v = versions.Versions(s, _tmp(s, "versions"))
+    v.publish(v.build("2024-01-16", {"covis": _matrix_b(s, d)}, {"day": "2024-01-16"}))
+    return v.table("covis").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT session, seq, product_id FROM day_ev WHERE event_time >= TIMESTAMP '2024-01-20' AND event_time < TIMESTAMP '2024-01-22' AND session IN (SELECT session FROM day_ev GROUP BY session HAVING count(*) >= 3)")
+def src_recorded(s, d):
+    ev = A.e_day(s, d)
+    return A.recorded(ev, "2024-01-20", "2024-01-22", ev.groupBy("session").count().where("count >= 3").select("session")).select("session", "seq", "product_id")
+
+
+# -- projection, filter
+
+
+@query("SELECT seq, session FROM day_ev WHERE event_time >= TIMESTAMP '2024-01-17' AND event_time < TIMESTAMP '2024-01-24'")
+def filter_time_range(s, d):
+    return split.between(A.e_day(s, d), *S.window("B")).select("seq", "session")
+
+
+@query("SELECT seq, session FROM day_ev WHERE event_time < TIMESTAMP '2024-01-17'")
+def stats_events(s, d):
+    return split.stats_events(A.e_day(s, d), "B").select("seq", "session")
+
+
+@query("SELECT seq, epoch_ms(event_time) // 1000 AS ts FROM day_ev")
+def project_epoch(s, d):
+    return A.e_day(s, d).select("seq", F.unix_seconds("event_time").alias("ts"))
+
+
+@query("SELECT event_type, count(*) AS n FROM day_ev GROUP BY event_type")
+def recode_strict(s, d):
+    return A.e_day(s, d).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT session, product_id, round(c_time_all, 6) AS c_time_all, round(c_type_last, 6) AS c_type_last FROM feat_b")
+def regex_columns_fill(s, d):
+    return _r(_features(s, d).select("session", "product_id", "c_time_all", "c_type_last"), "c_time_all", "c_type_last")
+
+
+@query("SELECT product_id, count(*) FILTER (WHERE event_type = 1) AS carts, max(CASE WHEN event_type = 2 THEN seq END) AS last_purchase FROM day_ev GROUP BY product_id")
+def conditional_count(s, d):
+    return A.e_day(s, d).groupBy("product_id").agg(F.count_if(F.col("event_type") == 1).alias("carts"), F.max(F.when(F.col("event_type") == 2, F.col("seq"))).alias("last_purchase"))
+
+
+@query("SELECT seq FROM day_ev WHERE session IN (SELECT session FROM cb_sess)")
+def filter_in_list(s, d):
+    return A.e_day(s, d).join(_cases(s, d)[1].select("session"), "session", "left_semi").select("seq")
+
+
+@query("SELECT * EXCLUDE (brand, price, event_time) FROM day_ev")
+def exclude_columns(s, d):
+    return A.e_day(s, d).drop("brand", "price", "event_time")
+
+
+# -- joins
+
+
+@query("SELECT i.session, i.product_id, m.neighbour FROM cb_items i JOIN day_m m USING (product_id) WHERE kind = 'buy2buy'")
+def join_inner(s, d):
+    items = C.history_items(_cases(s, d)[0])
+    return items.join(_matrix_b(s, d).where("kind = 'buy2buy'"), "product_id").select("session", "product_id", "neighbour")
+
+
+@query("SELECT a.session, a.product_id, b.product_id AS neighbour, count(*) AS n FROM long_prep a JOIN long_prep b ON a.session = b.session AND a.product_id <> b.product_id AND abs(a.ts - b.ts) < 86400 GROUP BY ALL")
+def join_self_band(s, d):
+    a = covisit.prepare(A.e_long(s, d))
+    b = a.select(F.col("session").alias("sb"), F.col("product_id").alias("neighbour"), F.col("ts").alias("tsb"))
+    near = (F.col("session") == F.col("sb")) & (F.col("product_id") != F.col("neighbour")) & (F.abs(F.col("ts") - F.col("tsb")) < S.GAP)
+    return a.join(b, near).groupBy("session", "product_id", "neighbour").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c.session, c.product_id, s.p_events_7d FROM cb_items c LEFT JOIN stats_b s USING (product_id)")
+def join_left(s, d):
+    stats = features.product_stats(split.stats_events(A.e_day(s, d), "B"), B)
+    return C.history_items(_cases(s, d)[0]).join(stats, "product_id", "left").select("session", "product_id", "p_events_7d")
+
+
+@query("SELECT product_id, neighbour, a.weight AS wa, b.weight AS wb FROM (SELECT * FROM day_m WHERE kind = 'type') a FULL JOIN (SELECT * FROM day_m WHERE kind = 'buy2buy') b USING (product_id, neighbour)")
+def join_full_coalesce(s, d):
+    m = _matrix_b(s, d)
+    one = lambda k, c: m.where(F.col("kind") == k).select("product_id", "neighbour", F.col("weight").alias(c))
+    return one("type", "wa").join(one("buy2buy", "wb"), ["product_id", "neighbour"], "full")
+
+
+@query("SELECT seq FROM day_ev SEMI JOIN cc_sess USING (session)")
+def join_semi(s, d):
+    return A.e_day(s, d).join(_cases(s, d, "C")[1].select("session"), "session", "left_semi").select("seq")
+
+
+@query("SELECT product_id, kind, ts - t0 AS age FROM (SELECT product_id, max(ts) AS ts FROM long_prep GROUP BY 1), (SELECT min(ts) AS t0 FROM long_prep), (SELECT unnest(['time', 'type', 'buy2buy']) AS kind)")
+def join_cross(s, d):
+    p = covisit.prepare(A.e_long(s, d))
+    rows = p.groupBy("product_id").agg(F.max("ts").alias("ts")).crossJoin(F.broadcast(p.agg(F.min("ts").alias("t0"))))  # one row
+    return rows.select("product_id", F.explode(F.array(*map(F.lit, S.KINDS))).alias("kind"), (F.col("ts") - F.col("t0")).alias("age"))
+
+
+# -- aggregation
+
+
+@query("SELECT session, product_id, event_type, count(*) AS n, min(seq) AS lo, max(seq) AS hi, round(sum(price), 4) AS total FROM day_ev GROUP BY ALL")
+def agg_hash(s, d):
+    return A.e_day(s, d).groupBy("session", "product_id", "event_type").agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.round(F.sum("price"), 4).alias("total"))
+
+
+@query("SELECT product_id, sum(m)::BIGINT AS total, count(*) AS n FROM (SELECT session, product_id, max(event_type) AS m FROM cust_ev GROUP BY ALL) GROUP BY product_id")
+def agg_two_level(s, d):
+    per = A.o_cust(s, d).groupBy("session", "product_id").agg(F.max("event_type").alias("m"))
+    return per.groupBy("product_id").agg(F.sum("m").alias("total"), F.count("*").alias("n"))
+
+
+@query("SELECT user_id, count(DISTINCT product_id) AS products, count(DISTINCT brand) AS brands FROM day_ev GROUP BY user_id")
+def agg_count_distinct(s, d):
+    return A.e_day(s, d).groupBy("user_id").agg(F.count_distinct("product_id").alias("products"), F.count_distinct("brand").alias("brands"))
+
+
+@query("SELECT product_id, brand, price FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY event_time DESC, seq DESC) AS rn FROM day_ev) WHERE rn = 1")
+def agg_last_by_order(s, d):
+    return A.e_day(s, d).groupBy("product_id").agg(F.max_by(F.struct("brand", "price"), F.struct("event_time", "seq")).alias("l")).select("product_id", "l.*")
+
+
+@query("SELECT median(n)::DOUBLE AS median FROM (SELECT count(*) AS n FROM day_ev GROUP BY session)")
+def agg_median(s, d):
+    return A.e_day(s, d).groupBy("session").agg(F.count("*").alias("n")).agg(F.median("n").alias("median"))
+
+
+@query("SELECT quantile_disc(n, 0.99)::DOUBLE AS p99 FROM (SELECT count(*) AS n FROM long_ev GROUP BY session)")
+def agg_quantile(s, d):
+    return A.e_long(s, d).groupBy("session").agg(F.count("*").alias("n")).agg(F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY n)").cast("double").alias("p99"))
+
+
+@query("SELECT session, string_agg(product_id, ',' ORDER BY seq) AS products FROM day_ev GROUP BY session")
+def agg_collect(s, d):
+    rows = A.e_day(s, d).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", "product_id"))).alias("x"))
+    return rows.select("session", _line(F.transform("x", lambda v: v["product_id"])).alias("products"))
+
+
+@query("SELECT min(ts) AS t0, max(ts) AS t1 FROM long_prep")
+def agg_global_bounds(s, d):
+    return covisit.prepare(A.e_long(s, d)).agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+
+
+@query()
+def agg_fingerprint(s, d):
+    return nightly.fingerprint(_matrix_b(s, d))
+
+
+# -- windows
+
+
+@query("SELECT seq, session, row_number() OVER (PARTITION BY session ORDER BY event_time, seq) - 1 AS pos FROM day_ev")
+def win_row_number(s, d):
+    return A.e_day(s, d).select("seq", "session", (F.row_number().over(Window.partitionBy("session").orderBy("event_time", "seq")) - 1).alias("pos"))
+
+
+@query("SELECT session, product_id, h_rank FROM cb_items")
+def win_rank_ordinal(s, d):
+    return C.history_items(_cases(s, d)[0]).select("session", "product_id", "h_rank")
+
+
+@query("SELECT seq, coalesce(product_id <> lag(product_id) OVER (PARTITION BY session ORDER BY event_time, seq), TRUE) AS head FROM day_ev")
+def win_shift(s, d):
+    w = Window.partitionBy("session").orderBy("event_time", "seq")
+    return A.e_day(s, d).select("seq", F.coalesce(F.col("product_id") != F.lag("product_id").over(w), F.lit(True)).alias("head"))
+
+
+@query("SELECT seq, run FROM cb_own")
+def win_cum_sum(s, d):
+    ev = A.e_day(s, d).join(_cases(s, d)[1].select("session"), "session", "left_semi")
+    return split.runs(ev).select("seq", "run")
+
+
+@query("SELECT kind, product_id, neighbour, round((weight::DOUBLE / max(weight) OVER (PARTITION BY kind, product_id))::FLOAT, 5) AS w FROM day_m")
+def win_max_partition(s, d):
+    w = (F.col("weight") / F.max("weight").over(Window.partitionBy("kind", "product_id"))).cast("float")
+    return _matrix_b(s, d).select("kind", "product_id", "neighbour", F.round(w, 5).alias("w"))
+
+
+@query("SELECT seq, row_number() OVER (PARTITION BY session ORDER BY sha256('0:' || session || ':' || seq), seq) AS place FROM day_ev")
+def win_seeded_order(s, d):
+    w = Window.partitionBy("session").orderBy(split.order_hash(0, F.col("session"), F.col("seq")), "seq")
+    return A.e_day(s, d).select("seq", F.row_number().over(w).alias("place"))
+
+
+@query("SELECT session, seq FROM day_ev QUALIFY row_number() OVER (PARTITION BY session ORDER BY event_time DESC, seq DESC) <= 2")
+def qualify(s, d):
+    A.e_day(s, d).createOrReplaceTempView("basketflow_day")
+    return s.sql("SELECT session, seq FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY event_time DESC, seq DESC) AS rn FROM basketflow_day) WHERE rn <= 2")
+
+
+# -- sort, limit, top-k
+
+
+@query("SELECT kind, product_id, neighbour, rank FROM cust_m")
+def topk_per_group(s, d):
+    return covisit.build(A.o_cust(s, d)).select("kind", "product_id", "neighbour", "rank")
+
+
+@query("SELECT session, first(product_id ORDER BY event_time, seq) AS first_product FROM day_ev GROUP BY session")
+def first_per_group(s, d):
+    return A.e_day(s, d).groupBy("session").agg(F.min_by("product_id", F.struct("event_time", "seq")).alias("first_product"))
+
+
+@query("SELECT session, last(product_id ORDER BY event_time, seq) AS last_product FROM day_ev GROUP BY session")
+def last_per_group(s, d):
+    return A.e_day(s, d).groupBy("session").agg(F.max_by("product_id", F.struct("event_time", "seq")).alias("last_product"))
+
+
+@query("SELECT product_id, pop, row_number() OVER (ORDER BY pop DESC, product_id) AS place FROM (SELECT * FROM pop_b ORDER BY pop DESC, product_id LIMIT 50)")
+def sort_multi_dir(s, d):
+    top = _popular_b(s, d).orderBy(F.col("pop").desc_nulls_last(), F.col("product_id").asc_nulls_last()).limit(50)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("pop"), "product_id")))  # 50 rows
+
+
+@query("SELECT session FROM (SELECT session FROM cb_sess ORDER BY session LIMIT 25)")
+def limit_head(s, d):
+    return _cases(s, d)[1].select("session").orderBy("session").limit(25)
+
+
+@query("SELECT session FROM (SELECT session FROM cb_sess ORDER BY session DESC LIMIT 25)")
+def tail(s, d):
+    return _cases(s, d)[1].select("session").orderBy(F.desc("session")).limit(25)
+
+
+@query("SELECT session FROM (SELECT DISTINCT session FROM day_ev) ORDER BY sha256('7:' || session), session LIMIT 100")
+def sample_n(s, d):
+    return A.e_day(s, d).select("session").distinct().orderBy(split.order_hash(7, F.col("session")), "session").limit(100)
+
+
+# -- set operations
+
+
+@query("SELECT session, product_id FROM cb_items UNION ALL SELECT session, last_product FROM cb_pick")
+def union_all(s, d):
+    history, cases = _cases(s, d)
+    return C.history_items(history).select("session", "product_id").unionByName(cases.select("session", F.col("last_product").alias("product_id")))
+
+
+@query("SELECT session, product_id FROM cb_items UNION SELECT session, target FROM cb_pick")
+def union_distinct(s, d):
+    history, cases = _cases(s, d)
+    return C.history_items(history).select("session", "product_id").union(cases.select("session", "target")).distinct()
+
+
+@query("SELECT session, product_id, event_type, max(seq) AS seq FROM long_ev GROUP BY ALL")
+def dedup_keep_last(s, d):
+    rows = A.e_long(s, d).groupBy("session", "product_id", "event_type").agg(F.max(F.struct("event_time", "seq")).alias("l"))
+    return rows.select("session", "product_id", "event_type", "l.seq")
+
+
+@query("""SELECT product_id, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM
+  (SELECT product_id, list(neighbour) AS a FROM day_m WHERE kind = 'time' GROUP BY 1) JOIN (SELECT product_id, list(neighbour) AS b FROM night_m WHERE kind = 'time' GROUP BY 1) USING (product_id)""")
+def jaccard(s, d):
+    one = lambda m: m.where("kind = 'time'").select("product_id", "neighbour")
+    return _r(nightly.jaccard(one(_matrix_b(s, d)), one(_matrix_c(s, d)), "product_id", "neighbour"), "jaccard")
+
+
+# -- streaming
+
+
+@query("""SELECT session, count(*) AS n_kept, string_agg(product_id, ',' ORDER BY seq) AS products FROM
+  (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS r FROM long_ev) WHERE r <= 200 GROUP BY session""")
+def stream_session_state(s, d):
+    """The state that a stream of all events ends with, from a batch."""
+    return stream.last_events(A.e_long(s, d))
+
+
+@query("""SELECT session, count(*) AS n_kept, string_agg(product_id, ',' ORDER BY seq) AS products FROM
+  (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS r FROM long_ev) WHERE r <= 20 GROUP BY session""")
+def stream_consume(s, d):
+    """A file stream through keyed state to its end; the last row of each session counts."""
+    src, out, check = (_tmp(s, x) for x in ("stream", "stream-out", "stream-check"))
+    ev = stream.encode(A.e_long(s, d))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = s.conf.get(key, None)
+    s.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for half in (0, 1):  # stopped and restarted from its checkpoint between two files
+            ev.where(F.col("seq") % 2 == half).coalesce(1).write.mode("append").parquet(src)
+            rows = stream.decode(s.readStream.schema(ev.schema).parquet(src))
+            write = lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)
+            stream.stream_state(rows, 20, None).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.set(key, old) if old else s.conf.unset(key)
+    return s.read.parquet(out).groupBy("session").agg(F.max_by(F.struct("n_kept", "products"), "batch").alias("l")).select("session", "l.*")
+
+
+@query("""SELECT count(*) AS n, quantile_cont(ms, 0.5) AS p50, quantile_cont(ms, 0.95) AS p95, quantile_cont(ms, 0.99) AS p99 FROM (SELECT (o_orderkey % 97)::DOUBLE * 1000 AS ms FROM orders)""")
+def stream_staleness(s, d):
+    rows = A.read(s, d, "orders").select(F.lit(0).cast("long").alias("sent"), (F.col("o_orderkey") % 97).alias("done"))
+    return stream.staleness(rows, "sent", "done")
+
+
+@query("""SELECT user_id, min(event_time) AS start_time, max(event_time) AS last_event, count(*) AS n FROM (
+  SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY event_time ROWS UNBOUNDED PRECEDING) AS w FROM (
+    SELECT user_id, event_time, CASE WHEN event_time < lag(event_time) OVER (PARTITION BY user_id ORDER BY event_time) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS g FROM day_ev)) GROUP BY user_id, w""")
+def session_inactivity(s, d):
+    return split.inactivity(A.e_day(s, d))
+
+
+# -- split and cases
+
+
+@query("SELECT seq, session, run, target FROM cb_own")
+def runs_target(s, d):
+    ev = A.e_day(s, d).join(_cases(s, d)[1].select("session"), "session", "left_semi")
+    return split.runs(ev).select("seq", "session", "run", "target")
+
+
+@query("SELECT session, cut_time, last_product, target FROM cb_pick")
+def cases(s, d):
+    return _cases(s, d)[1]
+
+
+@query("SELECT session, seq, pos FROM cb_hist")
+def case_history(s, d):
+    return _cases(s, d)[0].select("session", "seq", "pos")
+
+
+# -- co-visitation
+
+
+@query("SELECT * FROM long_prep")
+def covis_prepare(s, d):
+    return covisit.prepare(A.e_long(s, d))
+
+
+def _covis(kind: str):
+    def run(s, d):
+        return covisit.build(A.e_long(s, d)).where(F.col("kind") == kind).select("product_id", "neighbour", "weight", "rank")
+
+    run.__name__ = f"covis_{kind}"
+    return query(f"SELECT product_id, neighbour, weight, rank FROM long_m WHERE kind = '{kind}'")(run)
+
+
+for _k in S.KINDS:
+    _covis(_k)
+
+
+@query("SELECT kind, product_id, neighbour, round(weight, 6) AS weight FROM long_w")
+def covis_all(s, d):
+    return _r(covisit.weights(covisit.prepare(A.e_long(s, d))), "weight")
+
+
+@query("SELECT kind, product_id, neighbour, weight, rank FROM cust_m")
+def covis_topn(s, d):
+    return covisit.build(A.o_cust(s, d))
+
+
+# -- candidates, features, metrics
+
+
+@query("SELECT session, product_id, h_events, h_last, h_pos, h_max_type, h_rank FROM cb_items")
+def history_items(s, d):
+    return C.history_items(_cases(s, d)[0])
+
+
+@query("SELECT * FROM pop_b")
+def popular(s, d):
+    return _popular_b(s, d)
+
+
+@query("SELECT session, kind, product_id, round(sum(part), 6) AS score FROM part_b GROUP BY ALL")
+def covis_scores(s, d):
+    return _r(C.covis_scores(C.history_items(_cases(s, d)[0]), _matrix_b(s, d)), "score")
+
+
+@query("SELECT session, product_id, round(score, 6) AS score FROM sc_covis")
+def combined_covis(s, d):
+    return _r(C.combined(C.covis_scores(C.history_items(_cases(s, d)[0]), _matrix_b(s, d))), "score")
+
+
+@query("SELECT session, array_to_string(run, ',') AS run FROM run_item2item")
+def top_k(s, d):
+    run, _ = _run(s, d, "item2item")
+    return run.select("session", _line("run").alias("run"))
+
+
+def _baseline(name: str):
+    def run(s, d):
+        return C.evaluate(*_run(s, d, name))
+
+    run.__name__ = f"baseline_{name}"
+    return query(metrics(f"run_{name}", "cb_pick"))(run)
+
+
+for _k in ("popular", "history", "item2item", "covis"):
+    _baseline(_k)
+
+
+@query(product_stats("day_ev", "2024-01-24"))
+def product_stats_night(s, d):
+    return features.product_stats(split.stats_events(A.e_day(s, d), "C"), C_)
+
+
+QUERIES["product_stats"], ORACLE_SQL["product_stats"] = QUERIES.pop("product_stats_night"), ORACLE_SQL.pop("product_stats_night")
+
+
+@query("SELECT session, product_id, round(c_sum, 6) AS c_sum FROM feat_b")
+def candidates(s, d):
+    history, cases = _cases(s, d)
+    return _r(features.candidates(C.history_items(history), _matrix_b(s, d), cases).select("session", "product_id", "c_sum"), "c_sum")
+
+
+_FLOATS = [*S.SCORES, "c_sum", "p_price"]
+
+
+def _fixed(df):
+    """Features as six digits; price_ratio as text of four significant digits."""
+    return _r(df, *_FLOATS).withColumn("price_ratio", F.round(F.col("price_ratio").cast("double"), 3))
+
+
+@query(f"SELECT session, product_id, label, {', '.join(f'round({c}, 6) AS {c}' if c in _FLOATS else 'round(price_ratio::DOUBLE, 3) AS price_ratio' if c == 'price_ratio' else c for c in S.FEATURES)} FROM feat_b")
+def features_24(s, d):
+    return _fixed(_features(s, d))
+
+
+QUERIES["features"], ORACLE_SQL["features"] = QUERIES.pop("features_24"), ORACLE_SQL.pop("features_24")
+
+
+@query(metrics("run_covis", "cb_pick"))
+def metrics_eval(s, d):
+    return C.evaluate(*_run(s, d, "covis"))
+
+
+@query(metrics("all_runs", "cb_pick", "model"))
+def baselines_table(s, d):
+    history, cases = _cases(s, d)
+    m, pop = _matrix_b(s, d), _popular_b(s, d)
+    parts = [C.top_k(C.baseline_scores(n, history, m), cases, pop).withColumn("model", F.lit(n)) for n in ("popular", "history", "item2item", "covis")]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return C.evaluate(both, cases, ("model",))
+
+
+# -- ranker and refresh
+
+
+@query("""SELECT session, product_id, label FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY sha256('0:' || session || ':' || product_id), product_id) AS r FROM feat_b
+  WHERE session IN (SELECT session FROM feat_b WHERE label = 1)) WHERE label = 1 OR r <= 30""")
+def train_sample(s, d):
+    return features.train_sample(_features(s, d)).select("session", "product_id", "label")
+
+
+@query()
+def ranker_train(s, d):
+    """Trained on window B's sample; the importance of each feature."""
+    return ranker.importance(s, ranker.train(features.train_sample(_features(s, d))))
+
+
+QUERIES["feature_importance"] = QUERIES["ranker_train"]
+
+
+@query()
+def ranker_score(s, d):
+    """Window C ranked by a model of window B."""
+    model = ranker.train(features.train_sample(_features(s, d)))
+    history, cases = _cases(s, d, "C")
+    before = split.stats_events(A.e_day(s, d), "C")
+    rows = features.build(history, cases, _matrix_c(s, d), features.product_stats(before, C_))
+    return C.evaluate(C.top_k(ranker.score(model, rows), cases, C.popular(before, C_)), cases)
+
+
+@query("SELECT count(*) AS n_cases, count(h.session) AS n_hit, round(count(h.session)::DOUBLE / count(*), 6) AS candidate_recall FROM cb_pick LEFT JOIN (SELECT DISTINCT session FROM feat_b WHERE label = 1) h USING (session)")
+def candidate_recall(s, d):
+    return ranker.candidate_recall(_features(s, d), _cases(s, d)[1])
+
+
+@query()
+def refresh_daily(s, d):
+    """Per day of window C: item-to-item recall with tables frozen at its start and with tables before that day."""
+    history, cases = _cases(s, d, "C")
+    ev, out = A.e_day(s, d), None
+    for k in range(8):
+        day = F.lit(C_) + F.expr(f"INTERVAL {k} DAYS")
+        mine = cases.where((F.col("cut_time") >= day) & (F.col("cut_time") < day + F.expr("INTERVAL 1 DAY")))
+        own = history.join(mine.select("session"), "session", "left_semi")
+        for name, until in (("frozen", F.lit(C_)), ("nightly", day)):
+            before = ev.where(F.col("event_time") < until)
+            pop = before.where(F.col("event_time") >= until - F.expr("INTERVAL 7 DAYS")).groupBy("product_id").agg(F.count("*").alias("pop"))
+            run = C.top_k(C.baseline_scores("item2item", own, covisit.build(before)), mine, pop)
+            row = C.evaluate(run, mine).select(F.lit(k).alias("day"), F.lit(name).alias("tables"), "n_cases", "recall_20", "ndcg_10")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+# -- nightly tables
+
+
+@query("SELECT date_trunc('day', event_time)::TIMESTAMP AS d, count(*) AS n, max(event_time) AS last FROM day_ev WHERE event_time >= TIMESTAMP '2024-01-16' AND event_time < TIMESTAMP '2024-01-24' GROUP BY 1")
+def daily_counts(s, d):
+    return nightly.daily_counts(A.e_day(s, d), "2024-01-23")
+
+
+@query("""WITH c AS (SELECT CAST(event_time AS DATE) AS d, count(*) AS n, max(event_time) AS last FROM day_ev WHERE event_time >= TIMESTAMP '2024-01-16' AND event_time < TIMESTAMP '2024-01-24' GROUP BY 1),
+  r AS (SELECT coalesce(max(n) FILTER (WHERE d = DATE '2024-01-23'), 0) AS events, max(last) FILTER (WHERE d = DATE '2024-01-23') AS last, median(n) FILTER (WHERE d < DATE '2024-01-23') AS usual FROM c)
+  SELECT '2024-01-23' AS day, events, round(events / usual, 6) AS ratio, CASE WHEN events = 0 THEN 'no events' WHEN last < TIMESTAMP '2024-01-23 23:00:00' THEN 'not complete'
+    WHEN NOT events / usual BETWEEN 0.5 AND 2.0 THEN 'volume' ELSE 'ok' END AS status FROM r""")
+def gate(s, d):
+    return nightly.gate(nightly.daily_counts(A.e_day(s, d), "2024-01-23"), "2024-01-23")
+
+
+ORACLE_SQL["gate"] = ORACLE_SQL["gate"].replace("\nWITH c AS", ",\nc AS")
+
+
+@query("SELECT kind, count(*) AS n FROM night_m GROUP BY kind")
+def build_version(s, d):
+    v = versions.Versions(s, _tmp(s, "build"))
+    v.build("2024-01-23", {"covis": _matrix_c(s, d)}, {"night": "2024-01-23"})
+    return v.table("covis", "2024-01-23").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT n_new, n_old, round(abs(n_new - n_old)::DOUBLE / greatest(n_old, 1), 4) AS change, round(overlap, 4) AS overlap,
+  CASE WHEN abs(n_new - n_old)::DOUBLE / greatest(n_old, 1) > 0.25 THEN 'size' WHEN overlap < 0.2 THEN 'overlap' ELSE 'ok' END AS status
+  FROM (SELECT count(DISTINCT product_id) AS n_new FROM night_m), (SELECT count(DISTINCT product_id) AS n_old FROM day_m), (
+    SELECT avg(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b)))) AS overlap FROM (SELECT product_id, list(neighbour) AS a FROM day_m WHERE kind = 'time' GROUP BY 1)
+    JOIN (SELECT product_id, list(neighbour) AS b FROM night_m WHERE kind = 'time' GROUP BY 1) USING (product_id) JOIN (SELECT product_id FROM pop_b ORDER BY pop DESC, product_id LIMIT 200) USING (product_id))""")
+def validate(s, d):
+    return nightly.validate(_matrix_c(s, d), _matrix_b(s, d), _popular_b(s, d))
+
+
+@query("SELECT 'night-2' AS version, count(*) AS n FROM night_m")
+def publish(s, d):
+    """Two versions built and published in turn; the pointer's is read."""
+    v = versions.Versions(s, _tmp(s, "publish"))
+    for name, m in (("night-1", _matrix_b(s, d)), ("night-2", _matrix_c(s, d))):
+        v.publish(v.build(name, {"covis": m}, {}))
+    return v.table("covis").agg(F.count("*").alias("n")).select(F.lit(v.current()).alias("version"), "n")
+
+
+@query()
+def nightly_dag(s, d):
+    """Check, build, validate, publish; a refused night leaves the pointer."""
+    v = versions.Versions(s, _tmp(s, "dag"))
+    v.publish(v.build("2024-01-16", {"covis": _matrix_b(s, d)}, {}))
+    check = gate(s, d).first()
+    v.build("2024-01-23", {"covis": _matrix_c(s, d)}, {})
+    report = nightly.validate(v.table("covis", "2024-01-23"), v.table("covis"), _popular_b(s, d)).first()
+    if check["status"] == report["status"] == "ok":
+        v.publish("2024-01-23")
+    return s.createDataFrame([(check["status"], report["status"], v.current())], "gate string, validation string, serving string")
+
+
+@query("""SELECT kind, count(a.weight) AS n_first, count(b.weight) AS n_second, count(*) FILTER (WHERE b.weight IS NULL) AS only_first, count(*) FILTER (WHERE a.weight IS NULL) AS only_second,
+  count(*) FILTER (WHERE a.weight IS NOT NULL AND b.weight IS NOT NULL) AS shared, count(*) FILTER (WHERE a.weight = b.weight) AS same, round(max(abs(a.weight::DOUBLE - b.weight) / abs(b.weight::DOUBLE)), 6) AS max_diff
+  FROM day_m a FULL JOIN night_m b USING (kind, product_id, neighbour) GROUP BY kind""")
+def compare_matrices(s, d):
+    return nightly.compare_matrices(_matrix_b(s, d), _matrix_c(s, d))
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE a.{c} IS DISTINCT FROM b.{c}) AS n_differ FROM stats_b a FULL JOIN ({product_stats('day_ev', '2024-01-24')}) b USING (product_id)""" for c in ("p_price", "p_brand", "p_events_7d")))
+def compare_frames(s, d):
+    ev = A.e_day(s, d)
+    a, b = (features.product_stats(split.stats_events(ev, w), S.window(w)[0]).select("product_id", "p_price", "p_brand", "p_events_7d") for w in ("B", "C"))
+    return nightly.compare_frames(a, b, "product_id")
+
+
+@query("SELECT product_id, p_events_7d AS pop FROM stats_b WHERE p_events_7d IS NOT NULL")
+def popular_from_stats(s, d):
+    return features.product_stats(split.stats_events(A.e_day(s, d), "B"), B).where("p_events_7d is not null").select("product_id", F.col("p_events_7d").alias("pop"))
+
+
+@query("""SELECT count(*) AS events, count(*) FILTER (WHERE event_type = 0) AS views, count(*) FILTER (WHERE event_type = 1) AS carts, count(*) FILTER (WHERE event_type = 2) AS purchases,
+  count(DISTINCT user_id) AS users, count(DISTINCT session) AS sessions, count(DISTINCT product_id) AS products, count(*) FILTER (WHERE session IS NULL) AS events_without_session, min(event_time) AS first_event,
+  max(event_time) AS last_event, any_value(m) AS events_per_session_median, any_value(p) AS events_per_session_p99
+  FROM day_ev, (SELECT median(n)::DOUBLE AS m, quantile_disc(n, 0.99)::DOUBLE AS p FROM (SELECT count(*) AS n FROM day_ev GROUP BY session))""")
+def ingest_stats(s, d):
+    return nightly.ingest_stats(A.e_day(s, d))
+
+
+# -- online scoring: the batch operators over a micro-batch
+
+
+@query("SELECT session, product_id, round(c_sum, 6) AS c_sum, h_events, s_events FROM feat_b")
+def online_features(s, d):
+    """The batch features for sessions that come through the codec."""
+    history, cases = _cases(s, d)
+    back = stream.decode(stream.encode(history)).join(history.select("session", "seq", "pos"), ["session", "seq"])
+    stats = features.product_stats(split.stats_events(A.e_day(s, d), "B"), B)
+    return _r(features.build(back, cases, _matrix_b(s, d), stats).select("session", "product_id", "c_sum", "h_events", "s_events"), "c_sum")
+
+
+@query("SELECT session, array_to_string(run, ',') AS run FROM run_covis")
+def recommend(s, d):
+    run, _ = _run(s, d, "covis")
+    return run.select("session", _line("run").alias("run"))
+
+
+QUERIES["rank"], ORACLE_SQL["rank"] = QUERIES["recommend"], ORACLE_SQL["recommend"]
+
+
+@query()
+def parity(s, d):
+    """Batch features against those of the codec: rows on one side, and the largest relative difference of a score."""
+    a = _r(_features(s, d).select("session", "product_id", F.col("c_sum").alias("a")), "a", n=9)
+    b = online_features(s, d).select("session", "product_id", F.col("c_sum").alias("b"))
+    j = a.join(b, ["session", "product_id"], "full")
+    diff = F.abs(F.col("a") - F.col("b")) / F.greatest(F.lit(1.0), F.abs("a"))
+    return j.agg(F.count("*").alias("n"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("one_side"), F.max(F.round(diff, 5)).alias("max_diff"))
+
+
+# -- experiments
+
+
+@query("SELECT user_id, (('0x' || sha256('ranker-vs-item2item:' || user_id)[1:14])::BIGINT >> 3)::DOUBLE / 9007199254740992 AS bucket FROM (SELECT DISTINCT user_id FROM events)")
+def ab_bucket(s, d):
+    return A.read(s, d, "events").select("user_id").distinct().select("user_id", E.bucket(F.col("user_id"), S.SALT).alias("bucket"))
+
+
+@query("SELECT c_custkey, (('0x' || sha256('ranker-vs-item2item:' || c_custkey)[1:14])::BIGINT >> 3)::DOUBLE / 9007199254740992 < 0.5 AS treated FROM customer")
+def ab_assign(s, d):
+    return A.read(s, d, "customer").select("c_custkey", E.assign(F.col("c_custkey"), S.SALT).alias("treated"))
+
+
+def _hits(s, d):
+    """(session, user_id, day, hit, hit_t) of window B: item to item is the control, whole history the treatment."""
+    history, cases = _cases(s, d)
+    m, pop = _matrix_b(s, d), _popular_b(s, d)
+    one = lambda n, c: C.top_k(C.baseline_scores(n, history, m), cases, pop).join(cases.select("session", "target"), "session").select("session", (F.array_position("run", F.col("target")) > 0).cast("int").alias(c))
+    day = F.floor((F.unix_seconds("event_time") - F.unix_seconds(F.lit(B))) / S.DAY).cast("int").alias("day")
+    first = history.where("pos = 0").select("session", F.coalesce("user_id", -1 - F.col("session")).alias("user_id"), day)
+    return first.join(one("item2item", "hit"), "session").join(one("covis", "hit_t"), "session")
+
+
+def _arms(s, d):
+    """One row for each user: n sessions, y hits of the list that its arm shows, arm."""
+    per = _hits(s, d).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("hit").alias("yc"), F.sum("hit_t").alias("yt"))
+    per = per.withColumn("arm", E.assign(F.col("user_id"), S.SALT).cast("int"))
+    return per.select("user_id", "n", F.when(F.col("arm") == 1, F.col("yt")).otherwise(F.col("yc")).alias("y"), "arm")
+
+
+@query('SELECT arm, n, YY AS "YY", YN AS "YN", NN AS "NN", SN AS "SN", SY AS "SY" FROM arm_sums')
+def ab_sums(s, d):
+    return E.sums(_arms(s, d), "arm", "y", "n").select("arm", F.col("users").alias("n"), "YY", "YN", "NN", "SN", "SY")
+
+
+_VAR = "(YY - 2 * r * YN + r * r * NN) / (SN::DOUBLE * SN) * n / (n - 1)"
+
+
+@query(f"SELECT arm, round(r, 6) AS ratio, round({_VAR}, 9) AS variance FROM (SELECT *, SY::DOUBLE / SN AS r FROM arm_sums)")
+def ab_ratio(s, d):
+    r, v = E.ratio()
+    return E.sums(_arms(s, d), "arm", "y", "n").select("arm", F.round(r, 6).alias("ratio"), F.round(v, 9).alias("variance"))
+
+
+@query(f"SELECT arm, round(sqrt(v / 0.5 + v / 0.5), 6) AS planned_se FROM (SELECT *, {_VAR} AS v FROM (SELECT *, SY::DOUBLE / SN AS r FROM arm_sums))")
+def ab_planned_se(s, d):
+    return E.sums(_arms(s, d), "arm", "y", "n").select("arm", F.round(E.planned_se(), 6).alias("planned_se"))
+
+
+@query("SELECT arm, round(r * (1 - r) / SN, 9) AS naive FROM (SELECT *, SY::DOUBLE / SN AS r FROM arm_sums)")
+def ab_naive_var(s, d):
+    return E.sums(_arms(s, d), "arm", "y", "n").select("arm", F.round(E.naive_variance(), 9).alias("naive"))
+
+
+@query(f"""SELECT round(sum(CASE arm WHEN 1 THEN r ELSE -r END), 6) AS effect, round(sqrt(sum(v)), 6) AS se, round(sqrt(sum(r * (1 - r) / SN)), 6) AS se_naive
+  FROM (SELECT *, {_VAR} AS v FROM (SELECT *, SY::DOUBLE / SN AS r FROM arm_sums))""")
+def ab_difference(s, d):
+    return _r(E.difference(E.sums(_arms(s, d), "arm", "y", "n"), "arm"), "effect", "se", "se_naive")
+
+
+def _covariates(s, d):
+    """Per user with an event before window C: hits and cases in window B, events and sessions."""
+    before = A.e_day(s, d).where(F.col("event_time") < F.lit(C_))
+    activity = before.groupBy("user_id").agg(F.count("*").alias("events"), F.count_distinct("session").alias("sessions"))
+    history, cases = split.cases(before, "B")
+    run = C.top_k(C.baseline_scores("item2item", history, _matrix_b(s, d)), cases, _popular_b(s, d)).join(cases.select("session", "target"), "session")
+    hit = run.select("session", (F.array_position("run", F.col("target")) > 0).cast("long").alias("hit")).join(history.where("pos = 0").select("session", "user_id"), "session")
+    per = hit.groupBy("user_id").agg(F.sum("hit").alias("b_hits"), F.count("*").alias("b_cases"))
+    return activity.join(per, "user_id", "left").fillna(0, ["b_hits", "b_cases"]).select("user_id", "b_hits", "b_cases", "events", "sessions")
+
+
+_COVS = """SELECT user_id, coalesce(b_hits, 0) AS b_hits, coalesce(b_cases, 0) AS b_cases, events, sessions FROM
+  (SELECT user_id, count(*) AS events, count(DISTINCT session) AS sessions FROM day_ev WHERE event_time < TIMESTAMP '2024-01-24' GROUP BY user_id) LEFT JOIN
+  (SELECT user_id, sum(hit)::BIGINT AS b_hits, count(*) AS b_cases FROM hits_b JOIN sess_b USING (session) GROUP BY user_id) USING (user_id)"""
+
+
+@query(_COVS)
+def replay_covariates(s, d):
+    return _covariates(s, d)
+
+
+@query(f"SELECT user_id, b_hits::DOUBLE AS b_hits, b_cases::DOUBLE AS b_cases, round(ln(1 + events), 9) AS log_events, round(ln(1 + sessions), 9) AS log_sessions, 1.0::DOUBLE AS active FROM ({_COVS})")
+def covariate_matrix(s, d):
+    c = _covariates(s, d)
+    log = lambda x: F.round(F.log1p(x), 9).alias(f"log_{x}")
+    return c.select("user_id", F.col("b_hits").cast("double").alias("b_hits"), F.col("b_cases").cast("double").alias("b_cases"), log("events"), log("sessions"), (F.col("events") > 0).cast("double").alias("active"))
+
+
+_X = ("log_events", "log_sessions")
+
+
+@query()
+def ab_cuped(s, d):
+    """The plain and the covariate-adjusted difference, the share of variance removed in the control, and p-values."""
+    users = _arms(s, d).join(covariate_matrix(s, d), "user_id", "left").fillna(0.0, list(_X))
+    rows = {r["arm"]: r for r in E.sums(users, "arm", "y", "n", _X).collect()}  # two rows
+    plain = E.difference(E.sums(users, "arm", "y", "n"), "arm").first()
+    effect, se = E.cuped(rows[1], rows[0], _X)
+    out = [(plain["effect"], plain["se"], E.p_value(plain["effect"], plain["se"]), effect, se, E.p_value(effect, se), E.reduction(rows[0], _X))]
+    return s.createDataFrame(out, "effect double, se double, p double, cuped double, cuped_se double, cuped_p double, reduction double")
+
+
+QUERIES["ab_reduction"] = QUERIES["ab_cuped"]
+
+
+@query()
+def ab_mde(s, d):
+    """Of the measured difference: least detectable effect, power, users needed, p-value."""
+    r = E.difference(E.sums(_arms(s, d), "arm", "y", "n"), "arm").first()
+    n = _arms(s, d).count()
+    out = [(E.mde(r["se"]), E.power(r["effect"], r["se"]), E.users_needed(r["effect"], r["se"] ** 2 * n) if r["effect"] else None, E.p_value(r["effect"], r["se"]))]
+    return s.createDataFrame(out, "mde double, power double, users_needed double, p_value double")
+
+
+for _k in ("ab_power", "ab_users_needed", "ab_p_value"):
+    QUERIES[_k] = QUERIES["ab_mde"]
+
+
+def _drafted(s, d):
+    history, cases = _cases(s, d)
+    m, pop = _matrix_b(s, d), _popular_b(s, d)
+    lists = [C.top_k(C.baseline_scores(n, history, m), cases, pop).withColumnRenamed("run", c) for n, c in (("covis", "treatment"), ("item2item", "control"))]
+    return interleave.team_draft(lists[0].join(lists[1], "session").join(cases.select("session", "target"), "session"), "treatment", "control")
+
+
+@query()
+def ab_team_draft(s, d):
+    return _drafted(s, d).select("session", _line("items").alias("items"), _line("team").alias("team"))
+
+
+QUERIES["ab_team_draft_one"] = QUERIES["ab_team_draft"]
+
+
+@query()
+def replay_interleave(s, d):
+    """Credits and hits of the merged lists."""
+    c = E.credit(F.col("items"), F.col("team"), F.col("target"))
+    return _drafted(s, d).select(c.alias("credit")).groupBy("credit").agg(F.count("*").alias("n"))
+
+
+@query("SELECT session, CASE WHEN p = 0 THEN 0 WHEN p % 2 = 1 THEN 1 ELSE -1 END AS credit FROM (SELECT session, coalesce(list_position(run, target), 0) AS p FROM run_covis JOIN cb_pick USING (session))")
+def ab_credit(s, d):
+    run, cases = _run(s, d, "covis")
+    team = F.transform(F.sequence(F.lit(1), F.lit(S.K)), lambda i: F.when(i % 2 == 1, 1).otherwise(-1))
+    return run.join(cases.select("session", "target"), "session").select("session", E.credit(F.col("run"), team, F.col("target")).alias("credit"))
+
+
+@query("""SELECT user_id, day, count(n)::BIGINT AS sessions, coalesce(sum(hit), 0)::BIGINT AS hit, coalesce(sum(hit_t), 0)::BIGINT AS hit_t, CAST(count(n) > 0 AS INT) AS active FROM
+  (SELECT DISTINCT user_id FROM sess_b), (SELECT unnest(range(7))::INT AS day) LEFT JOIN (SELECT user_id AS u, day AS dd, hit, hit_t, 1 AS n FROM sess_b JOIN hits_b USING (session)) ON u = user_id AND dd <= day GROUP BY user_id, day""")
+def ab_panel(s, d):
+    return E.panel(_hits(s, d), 7, ("hit", "hit_t"))
+
+
+QUERIES["win_cum_panel"], ORACLE_SQL["win_cum_panel"] = QUERIES["ab_panel"], ORACLE_SQL["ab_panel"]
+
+
+@query()
+def ab_simulate(s, d):
+    """Bootstrap replicates of the difference from Poisson weights of both arms."""
+    per = _hits(s, d).groupBy("user_id").agg(F.count("*").cast("double").alias("sessions"), F.sum("hit").cast("double").alias("hits"), F.sum("hit_t").cast("double").alias("hits_t"))
+    got = interleave.replicate_sums(per, ["sessions", "hits", "hits_t"], 50)
+    of = lambda c, arm: F.max(F.when(F.col("arm") == arm, F.col(c) / F.col("sessions")))
+    return got.groupBy("replicate").agg((of("hits_t", 1) - of("hits", 0)).alias("ab"), (of("hits", 1) - of("hits", 0)).alias("aa"))
+
+
+for _k in ("ab_estimates", "ab_replicate_weights"):
+    QUERIES[_k] = QUERIES["ab_simulate"]
+
+
+@query("SELECT session, user_id, day FROM sess_b")
+def replay_sessions_of(s, d):
+    return _hits(s, d).select("session", "user_id", "day")
+
+
+@query("SELECT session, array_to_string(r.run, ',') AS control, array_to_string(t.run, ',') AS treatment FROM run_item2item r JOIN run_covis t USING (session)")
+def replay_lists(s, d):
+    one = lambda n, c: _run(s, d, n)[0].select("session", _line("run").alias(c))
+    return one("item2item", "control").join(one("covis", "treatment"), "session")
+
+
+@query("""SELECT session, q AS share FROM (SELECT session, row_number() OVER (ORDER BY sha256('0:' || session), session) - 1 AS place, count(*) OVER () AS n FROM cb_sess),
+  (SELECT unnest([1.0, 0.5, 0.2, 0.1, 0.05]::DOUBLE[]) AS q) WHERE place < round(q * n)""")
+def replay_dilution(s, d):
+    return E.dilution(_cases(s, d)[1], S.SHARES)
+
+
+@query("SELECT day, count(*) AS n, round(avg(hit_t) - avg(hit), 6) AS lift FROM sess_b JOIN hits_b USING (session) GROUP BY day")
+def replay_truths(s, d):
+    return _hits(s, d).groupBy("day").agg(F.count("*").alias("n"), F.round(F.avg("hit_t") - F.avg("hit"), 6).alias("lift"))
+
+
+@query()
+def replay_analyse(s, d):
+    """By share of sessions that show the treatment: true lift, planned error, power and users needed."""
+    shown = E.dilution(_cases(s, d)[1], S.SHARES)
+    h = _hits(s, d)
+    users = h.join(shown, "session").groupBy("share", "user_id").agg(F.count("*").alias("n"), F.sum("hit").alias("y"), F.sum("hit_t").alias("yt"))
+    rows = E.sums(users, "share", "y", "n").withColumn("se", E.planned_se()).join(users.groupBy("share").agg(((F.sum("yt") - F.sum("y")) / F.sum("n")).alias("lift")), "share").collect()  # five rows
+    out = [(r["share"], r["n"], float(r["lift"]), float(r["se"] or 0), E.power(r["lift"], r["se"]) if r["se"] else None) for r in rows]
+    return s.createDataFrame(out, "share double, users long, lift double, planned_se double, power double")
+
+
+# -- drift
+
+
+@query("""SELECT sum(p)::BIGINT AS n_pos, sum(q)::BIGINT AS n_neg, round(sum(p * (2 * below + q))::DOUBLE / (2.0 * sum(p) * sum(q)), 6) AS auc FROM
+  (SELECT p, q, sum(q) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) - q AS below FROM (SELECT round(price, 0) AS s, count(*) FILTER (WHERE event_type = 2) AS p, count(*) FILTER (WHERE event_type <> 2) AS q FROM day_ev GROUP BY 1))""")
+def drift_auc(s, d):
+    rows = A.e_day(s, d).select((F.col("event_type") == 2).cast("int").alias("y"), F.round("price", 0).alias("v"))
+    return _r(drift.auc(rows, "y", "v"), "auc")
+
+
+def _psi_sql(column: str) -> str:
+    """Shares by bin of one column, before and from 2024-01-17."""
+    return f"""SELECT '{column}' AS "column", round(sum((pb - pa) * ln(pb / pa)), 6) AS psi FROM (SELECT greatest(a / sum(a) OVER (), 1e-4) AS pa, greatest(b / sum(b) OVER (), 1e-4) AS pb FROM (
+    SELECT len(list_filter(edges, lambda e: e <= {column})) AS bin, count(*) FILTER (WHERE event_time < TIMESTAMP '2024-01-17')::DOUBLE AS a, count(*) FILTER (WHERE event_time >= TIMESTAMP '2024-01-17')::DOUBLE AS b
+    FROM day_ev, (SELECT list_distinct(quantile_cont({column}::DOUBLE, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edges FROM day_ev WHERE event_time < TIMESTAMP '2024-01-17') GROUP BY 1))"""
+
+
+@query(f"{_psi_sql('price')} UNION ALL {_psi_sql('product_id')}")
+def drift_psi(s, d):
+    ev = A.e_day(s, d)
+    return _r(drift.psi(ev.where(F.col("event_time") < F.lit(B)), ev.where(F.col("event_time") >= F.lit(B)), ["price", "product_id"]), "psi")
+
+
+@query("SELECT seq FROM day_ev WHERE session IN (SELECT session FROM (SELECT DISTINCT session FROM day_ev) ORDER BY sha256('0:' || session), session LIMIT 300)")
+def drift_cap(s, d):
+    return drift.cap(A.e_day(s, d), "session", 300).select("seq")
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY event_time, seq) - 1 AS pos FROM day_ev WHERE session IN (
+    SELECT session FROM day_ev GROUP BY session HAVING min(event_time) >= TIMESTAMP '2024-01-24' AND min(event_time) < TIMESTAMP '2024-02-01')),
+  p AS (SELECT session, pos AS cut, CAST((epoch_ms(event_time) // 1000 - epoch_ms(TIMESTAMP '2024-01-24') // 1000) // 86400 AS INT) AS day FROM o ORDER BY sha256('0:' || session || ':' || pos), session, pos LIMIT 500)
+  SELECT session || ':' || cut AS request, day, o.seq, o.pos FROM o JOIN p USING (session) WHERE pos <= cut""")
+def drift_requests(s, d):
+    return drift.requests(A.e_day(s, d), *S.window("C"), 500).select("request", "day", "seq", "pos")
+
+
+ORACLE_SQL["drift_requests"] = ORACLE_SQL["drift_requests"].replace("\nWITH o AS", ",\no AS")
+
+
+@query("""SELECT seq, round(CASE WHEN ('0x' || sha256('0:' || session)[1:8])::BIGINT / 4294967296.0::DOUBLE < 0.25 THEN price * 100 ELSE price END, 4) AS price FROM day_ev""")
+def drift_faults(s, d):
+    return drift.faults(A.e_day(s, d), "price_in_cents", 0.25).select("seq", F.round("price", 4).alias("price"))
+
+
+@query()
+def drift_adversarial(s, d):
+    ev = A.e_day(s, d).select("session", "event_time", F.col("price").cast("double").alias("price"), F.col("event_type").cast("double").alias("kind"))
+    ref, cur = ev.where(F.col("event_time") < F.lit(B)).drop("event_time"), ev.where(F.col("event_time") >= F.lit(B)).drop("event_time")
+    return drift.adversarial(ref, drift.faults(cur, "price_in_cents", 1.0), ["price", "kind"], "session", folds=2)
+
+
+@query()
+def drift_evaluate(s, d):
+    """PSI of price for each planted fault at two shares."""
+    ev = A.e_day(s, d)
+    ref, cur, out = ev.where(F.col("event_time") < F.lit(B)), ev.where(F.col("event_time") >= F.lit(B)), None
+    for fault in ("price_in_cents", "views_only"):
+        for share in (0.25, 1.0):
+            row = drift.psi(ref, drift.faults(cur, fault, share), ["price", "event_type"]).select(F.lit(fault).alias("fault"), F.lit(share).alias("share"), "column", F.round("psi", 6).alias("psi"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query()
+def drift_monitor(s, d):
+    """Days of window C against the first: new version, baseline, then ok or alert by the PSI of price."""
+    ev, state, out = split.between(A.e_day(s, d), *S.window("C")), "new_version", []
+    base = ev.where(F.col("event_time") < F.lit(C_) + F.expr("INTERVAL 1 DAY"))
+    for k in range(8):
+        day = F.lit(C_) + F.expr(f"INTERVAL {k} DAYS")
+        cur = ev.where((F.col("event_time") >= day) & (F.col("event_time") < day + F.expr("INTERVAL 1 DAY")))
+        value = None
+        if k == 0:
+            state = "baseline"
+        else:
+            got = drift.psi(base, cur, ["price"]).first()
+            value = got["psi"] if got else None
+            state = "collecting" if value is None else "alert" if value > 0.6 else "ok"
+        out.append((k, state, value))
+    return s.createDataFrame(out, "day int, state string, psi double")
