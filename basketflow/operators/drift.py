@@ -32,7 +32,7 @@ def psi(ref: DataFrame, cur: DataFrame, columns: list[str], bins: int = 10) -> D
     bin_ = F.when(F.col("v").isNotNull(), F.size(F.filter("edges", lambda e: e <= F.col("v")))).otherwise(-1)
     counts = long.join(F.broadcast(edges), "column").groupBy("column", "edges", bin_.alias("bin")).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     total = Window.partitionBy("column")
-    pa, pb = (F.greatest(F.col(c) / F.sum(c).over(total), F.lit(1e-4)) for c in ("a", "b"))
+    pa, pb = (F.greatest(F.col(c) / F.greatest(F.sum(c).over(total), F.lit(1)), F.lit(1e-4)) for c in ("a", "b"))
     return counts.select("column", ((pb - pa) * F.log(pb / pa)).alias("d")).groupBy("column").agg(F.sum("d").alias("psi"))
 
 

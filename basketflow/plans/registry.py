@@ -441,10 +441,10 @@ def stream_consume(s, d):
     return s.read.parquet(out).groupBy("session").agg(F.max_by(F.struct("n_kept", "products"), "batch").alias("l")).select("session", "l.*")
 
 
-@query("""SELECT count(*) AS n, quantile_cont(ms, 0.5) AS p50, quantile_cont(ms, 0.95) AS p95, quantile_cont(ms, 0.99) AS p99 FROM (SELECT (o_orderkey % 97)::DOUBLE * 1000 AS ms FROM orders)""")
+@query("""SELECT count(*) AS n, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.95), 6) AS p95, round(quantile_cont(ms, 0.99), 6) AS p99 FROM (SELECT (o_orderkey % 97)::DOUBLE * 1000 AS ms FROM orders)""")
 def stream_staleness(s, d):
     rows = A.read(s, d, "orders").select(F.lit(0).cast("long").alias("sent"), (F.col("o_orderkey") % 97).alias("done"))
-    return stream.staleness(rows, "sent", "done")
+    return _r(stream.staleness(rows, "sent", "done"), "p50", "p95", "p99")
 
 
 @query("""SELECT user_id, min(event_time) AS start_time, max(event_time) AS last_event, count(*) AS n FROM (
@@ -952,7 +952,7 @@ def replay_analyse(s, d):
     h = _hits(s, d)
     users = h.join(shown, "session").groupBy("share", "user_id").agg(F.count("*").alias("n"), F.sum("hit").alias("y"), F.sum("hit_t").alias("yt"))
     rows = E.sums(users, "share", "y", "n").withColumn("se", E.planned_se()).join(users.groupBy("share").agg(((F.sum("yt") - F.sum("y")) / F.sum("n")).alias("lift")), "share").collect()  # five rows
-    out = [(r["share"], r["n"], float(r["lift"]), float(r["se"] or 0), E.power(r["lift"], r["se"]) if r["se"] else None) for r in rows]
+    out = [(r["share"], r["users"], float(r["lift"]), float(r["se"] or 0), E.power(r["lift"], r["se"]) if r["se"] else None) for r in rows]
     return s.createDataFrame(out, "share double, users long, lift double, planned_se double, power double")
 
 
