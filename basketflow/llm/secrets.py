@@ -107,7 +107,8 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with the value of every base or owner-specific span replaced by mark; n_chars, where there is one, follows.
 
-    Columns and rows stay. Works on the text itself, so nothing is joined for the base kinds;
+    Columns and rows stay. A named value of twelve characters goes also where a shorter match
+    before it takes its name in scan(). Works on the text itself, so nothing is joined for the base kinds;
     the further kinds are few and are joined by their text's hash.
     """
     found = scan(docs, text).where(F.size(F.filter("spans", lambda s: s["k"] >= len(BASE))) > 0)

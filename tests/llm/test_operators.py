@@ -1,0 +1,170 @@
+"""The training-data operators against brute force, round trips and edge cases."""
+
+import hashlib
+import json
+import random
+import re
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from basketflow.llm import chat, decontaminate, html_text, jaccard, langid, licenses, pieces, rollup, secrets, shingles, spotsigs
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"w{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_jaccard_join_is_brute_force(spark):
+    rng = random.Random(3)
+    texts = [None, "", " \n", "one two", "One TWO", "one"]
+    for g in range(4):
+        base = [f"b{g}_{rng.randrange(50)}" for _ in range(60)]
+        texts += [edited(rng, base, rng.randrange(5)) for _ in range(14)] + [" ".join(base)] * 2
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts += [f"{passage} {' '.join(f'x{rng.randrange(10**6)}' for _ in range(rng.randrange(4, 40)))}" for _ in range(25)]
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    top = list(range(len(texts)))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in combinations(range(len(texts)), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = root(a), root(b)
+            top[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(spark, texts)).collect()}
+    assert got == {i: (len(s), root(i)) for i, s in enumerate(sets)}
+    assert jaccard.join(docs(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_prefix_levels_keep_every_pair():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        n = int(rng.integers(4, 60))
+        x = np.sort(rng.choice(200, n, replace=False)).astype(np.uint64)
+        y = np.sort(np.unique(np.concatenate([x[rng.random(n) < 0.9], rng.choice(200, 2).astype(np.uint64)])))
+        both = len(np.intersect1d(x, y))
+        if 100 * both < 75 * (len(x) + len(y) - both):
+            continue
+        df = rng.integers(1, 400, 200)
+        (tx, lx, mx), (ty, ly, my) = (jaccard.prefix(s, df[s.astype(int)]) for s in (x, y))
+        m = min(mx, my)
+        assert len(np.intersect1d(tx[lx <= m], ty[ly <= m])) >= m
+
+
+def test_pieces_equal_the_library():
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    texts = [None, "", " ", "  a", "a  b   c\n\n d\t", "日本語テキスト 🎉🎉 emoji", "x" * 500, "éàü  " * 20, "\n", " " * 40, "The quick brown fox, it's 3.14!", "word " * 300]
+    e = pieces.Encoder()
+    for t, got in zip(texts, (x for b in e.batches(texts, 40) for x in b), strict=True):
+        assert got.tolist() == sp.encode(t or "")
+        assert e.model.decoded(got) == (t or "")
+
+
+def test_chat_round_trip_and_layouts(spark):
+    tricky = ["\\### Assistant: </turn> ok", "", "####", "</turn>\n", "a\\", "### user: x", "\\\\#</"]
+    records = [json.dumps({"messages": [{"role": "user" if i % 2 == 0 else "assistant", "content": t} for i, t in enumerate(tricky)]})]
+    records += [json.dumps({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}), json.dumps({"instruction": "do", "input": "x", "output": "y", "id": 3}), json.dumps({"prompt": "p", "completion": "c"}), '{"other": 1}', "", None]
+    rows = spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")
+    got = chat.formatted(chat.canonical(rows)).withColumn("back", chat.read_back(F.col("formatted"))).orderBy("conv_id").collect()
+    assert [r.layout for r in got] == ["messages", "conversations", "instruction", "completion", None, None, None]
+    assert all([tuple(t) for t in r.back] == [tuple(t) for t in r.turns] for r in got)
+    assert [t.text for t in got[0].back] == tricky and got[2].turns[0].text == "do\n\nx"
+    one = chat.digest(chat.formatted(chat.canonical(rows))).orderBy("conv_id").first()
+    loss = "".join(tricky[1::2])
+    assert (one.n_turns, one.loss_chars, one.loss_sha256) == (len(tricky), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_secret_spans_and_ownership(spark):
+    token = "ghp_" + "a1B2" * 9
+    texts = ["password=abcdefghijkl x AKIAABCDEFGHIJKLMN é deadbeefdeadbeef", "Token : 'short' secret:token: abcdefghijklmnop", None, "", token, f"é {token} widely", f"{token}!", f"{token}?", "gho_" + "z" * 36]
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan(docs(spark, texts), max_repos=1)).collect()}
+    assert got[0].spans == "assign:0:21,access:24:42,hex:45:61" and got[1].spans == "" and got[2].spans == ""
+    assert got[4].spans == "" and got[8].spans == "github:0:40"
+    clean = [r.text for r in secrets.redacted(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert clean[0] == "password=[SECRET] x [SECRET] é [SECRET]" and clean[1] == texts[1].replace("abcdefghijklmnop", "[SECRET]") and clean[2] is None
+
+
+def test_decontamination_slots():
+    item = "in june a train left Paris with 120 wagons and then 120 more wagons of coal for the northern line"
+    ix = decontaminate.Index([(7, item), (8, ""), (9, "too short")])
+    same = "so " + item + " and more"
+    other = same.replace("120", "95").replace("Paris", "Lyon")
+    broken = same.replace("120", "95", 1)
+    got = [(r, i) for r, i, *_ in ix.found(pa.array([same, other, broken, None, "", "nothing at all here", item]))]
+    assert got == [(0, 7), (1, 7), (6, 7)]
+
+
+def test_language(spark):
+    rows = docs(spark, ["the cat and the dog are here", "der Hund und die Katze sind hier", "12 !!", None, ""]).withColumn("lang", F.when(F.col("doc_id") == 1, "de").otherwise(F.col("lang")))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identified(rows, langid.profiles(rows.where("doc_id < 2"))).collect()}
+    assert got[0][0] == "en" and got[1][0] == "de" and got[2] == got[3] == got[4] == ("und", 0.0)
+    assert langid.Judge({})("abc") == ("und", 0.0)
+
+
+def test_rollup_is_idempotent_and_signed(spark, tmp_path):
+    r = rollup.Rollup(spark, f"file://{tmp_path}/r")
+    assert r.totals().count() == 0
+    row = "op string, source string, lang string, tokenizer_version string, n_tokens long, old_source string, old_lang string, old_n_tokens long"
+    first = spark.createDataFrame([("insert", "a", "en", "v", 5, None, None, None), ("insert", "a", "en", "v", 7, None, None, None), ("insert", None, "en", "v", 1, None, None, None)], row)
+    assert r.commit("b1", first) and not r.commit("b1", first)
+    second = spark.createDataFrame([("delete", "a", "en", "v", 5, None, None, None), ("revise", "b", "en", "v", 9, "a", "en", 7)], row)
+    assert r.commit("b2", second)
+    assert {(x.source, x.n_docs, x.n_tokens) for x in r.totals().collect()} == {("b", 1, 9), (None, 1, 1)}
+
+
+def test_licenses(spark):
+    texts = ["Licensed under the Apache License, Version 2.0.\nx", "lorem. Released under the MIT License. more", "license to kill", None, "\n".join([licenses.SENTENCES["mit-grant"], licenses.SENTENCES["mit-notice"]])]
+    assert [r.licenses for r in licenses.digest(docs(spark, texts)).orderBy("doc_id").collect()] == ["Apache-2.0", "MIT", "", "", "MIT"]
+    assert all(re.search(licenses.KEYWORDS, k) for k in licenses.KNOWN)
+
+
+def test_html(spark):
+    page = "<html><head><title>t</title><script>var x='</p>';</script></head><body><nav><a href=1>menu</a></nav><div class=ad>buy</div><article><h1>Head &amp; more</h1><p>One\n two &lt;b&gt;</p><p><b>Three.<br><p>Four</article><div class='comments'><p>Nice post!</p></div><footer>&copy; us</footer></body>"
+    rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<")], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extracted(rows).collect()}
+    assert got[1][0] == "Head & more\nOne two <b>\nThree.\nFour" and got[2] == ("", 0) and got[3] == ("", 0)
+    held = html_text.labelled_pages(80, 5)
+    right = total = 0
+    for p, own in held:
+        text = html_text.trained().text(p).split("\n")
+        right += len(set(text) & set(own))
+        total += len(set(text) | set(own))
+    assert right / total > 0.9
+
+
+def test_spotsigs_next_and_likeness(spark):
+    texts = ["the cat sat on a mat it was fine", "der Hund ist ein Tier und die Katze auch", "", None, "xyz", "the cat sat on a mat it was fine", "!!"]
+    rows = docs(spark, texts)
+    got = {r.doc_id: r for r in spotsigs.digest(rows).collect()}
+    for i, t in enumerate(texts):
+        t, nxt = t or "", texts[i - 1 if i else len(texts) - 1] or ""
+        half = len(t) // 2
+        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()
+    assert got[0].fingerprint == got[5].fingerprint != "" and got[2].fingerprint == got[3].fingerprint == "" and got[3].near_next == 1.0 and got[5].near_next == 0.0
+    many = spark.range(5000).select((F.col("id") * 3).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    nxt = spotsigs.with_next(many, {"n": F.col("text")}, rows=100).collect()
+    assert len(nxt) == 5000 and all(int(r.n) == (r.doc_id // 3 - 1) % 5000 for r in nxt)
+
+
+def test_shingle_edges():
+    got = dict(shingles.sets(pa.array([None, "", "a b c d e f", "A B", "a\tb", "é É"])))
+    assert [len(got[i]) for i in range(6)] == [0, 0, 2, 1, 1, 1] and got[3].tolist() == got[4].tolist()
