@@ -8,8 +8,9 @@ entries to read) and their sum over l (at most so many candidates reach l matche
 verified). A pair with l1 and l2 must share min(l1, l2) shingles of that level.
 
 Candidates come in two rounds, so that a group of copies never makes all its pairs. In the
-first each class meets only the leader of a shingle's list (of about its own size); verified
-links make components. In the second, pairs that are still in different components meet in
+first each class meets only the leader of a shingle's list: of those of about its own size the
+one with the largest share of frequent shingles, in a group of copies the least edited.
+Verified links make components. In the second, pairs that are still in different components meet in
 the lists that hold several; verified again. Every link is thus found or is inside a component.
 Frequencies come from all documents; the broadcast part of them is the most frequent
 MOST_FREQUENT shingles at most, which bounds it at any size. The order affects cost only,
@@ -148,20 +149,20 @@ def prefix(s: np.ndarray, df: np.ndarray, percent: int = NEED, levels: int = LEV
 
 def _prefixes(bits: int, frequent, percent: int):
     def rows(held):
-        keys, ns, ls, tokens, levels = zip(*held, strict=True)
+        keys, ns, ls, cs, tokens, levels = zip(*held, strict=True)
         at = np.repeat(np.arange(len(held), dtype=np.uint32), [len(t) for t in tokens])
         t, lev = np.concatenate(tokens), np.concatenate(levels)
         order = np.argsort(t, kind="stable")
         starts, low = _cut(t[order], bits)
         at, lev = at[order], lev[order]
-        k, n, lv = np.array(keys, np.int64), np.array(ns, np.uint32), np.array(ls, np.uint8)
+        k, n, lv, cen = np.array(keys, np.int64), np.array(ns, np.uint32), np.array(ls, np.uint8), np.array(cs, np.uint8)
         r, blobs = [], []
         for x in range(1 << bits):
             a, b = starts[x], starts[x + 1]
             if a < b:
                 u, own = np.unique(at[a:b], return_inverse=True)
                 r.append(x)
-                blobs.append(struct.pack("<II", b - a, len(u)) + k[u].tobytes() + n[u].tobytes() + lv[u].tobytes() + _planes(low[a:b]) + _planes(own.astype(np.uint32)) + lev[a:b].tobytes())
+                blobs.append(struct.pack("<II", b - a, len(u)) + k[u].tobytes() + n[u].tobytes() + lv[u].tobytes() + cen[u].tobytes() + _planes(low[a:b]) + _planes(own.astype(np.uint32)) + lev[a:b].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(blobs, pa.binary())], ["r", "blob"])
 
     def run(batches):
@@ -178,7 +179,7 @@ def _prefixes(bits: int, frequent, percent: int):
                     i = np.minimum(np.searchsorted(token, cut), len(token) - 1)
                     df = np.where(token[i] == cut, counts[i], df)
                 t, lev, level = prefix(s, df, percent)
-                held.append((key, len(s), level, t, lev))
+                held.append((key, len(s), level, int(255 * (df > 1).mean()), t, lev))
                 size += len(t)
                 if size >= _FLUSH:
                     yield rows(held)
@@ -196,30 +197,34 @@ def _lists(percent: int):
     """Of one range's blobs: the lists of two classes or more, each row with the leader of its list and size band."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        cols = [[] for _ in range(5)]
+        cols = [[] for _ in range(6)]
         for blob in table.column("blob").to_pylist():
             c, d = struct.unpack_from("<II", blob)
             at = 8
             k = np.frombuffer(blob, np.int64, d, at)
             n = np.frombuffer(blob, np.uint32, d, at + 8 * d)
             lv = np.frombuffer(blob, np.uint8, d, at + 12 * d)
-            at += 13 * d
+            cen = np.frombuffer(blob, np.uint8, d, at + 13 * d)
+            at += 14 * d
             own = _unplanes(blob[at + 4 * c : at + 8 * c], np.uint32)
-            for x, v in zip(cols, (_unplanes(blob[at : at + 4 * c], np.uint32), k[own], n[own], lv[own], np.frombuffer(blob, np.uint8, c, at + 8 * c)), strict=True):
+            for x, v in zip(cols, (_unplanes(blob[at : at + 4 * c], np.uint32), k[own], n[own], lv[own], np.frombuffer(blob, np.uint8, c, at + 8 * c), cen[own]), strict=True):
                 x.append(v)
-        t, k, n, lv, lev = map(np.concatenate, cols)
-        order = np.lexsort((k, t))
-        t, k, n, lv, lev = t[order], k[order], n[order], lv[order], lev[order]
+        t, k, n, lv, lev, cen = map(np.concatenate, cols)
+
+        def only(keep):
+            return t[keep], k[keep], n[keep], lv[keep], lev[keep], cen[keep]
+
+        t, k, n, lv, lev, cen = only(np.lexsort((k, t)))
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-        t, k, n, lv, lev = t[new], k[new], n[new], lv[new], lev[new]
+        t, k, n, lv, lev, cen = only(new)
         edge = np.ones(len(t) + 1, bool)
         edge[1:-1] = t[1:] != t[:-1]
-        many = ~(edge[:-1] & edge[1:])
-        t, k, n, lv, lev = t[many], k[many], n[many], lv[many], lev[many]
+        t, k, n, lv, lev, cen = only(~(edge[:-1] & edge[1:]))
         band = np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent)).astype(np.int64) if percent < 100 else n.astype(np.int64)
-        order = np.lexsort((k, band, t))
-        t, k, n, lv, lev, band = t[order], k[order], n[order], lv[order], lev[order], band[order]
+        order = np.lexsort((k, 255 - cen.astype(np.int64), band, t))
+        t, k, n, lv, lev, cen = only(order)
+        band = band[order]
         head = np.ones(len(t), bool)
         head[1:] = (t[1:] != t[:-1]) | (band[1:] != band[:-1])
         lead = np.maximum.accumulate(np.where(head, np.arange(len(t)), 0))
@@ -235,33 +240,54 @@ def _similar(percent: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                keep = []
+                both, linked = [], []
                 for (_, x), (_, y) in zip(shingles.sets(b.column(2)), shingles.sets(b.column(3)), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                    both.append(len(np.intersect1d(x, y, assume_unique=True)))
+                    linked.append(100 * both[-1] >= percent * (len(x) + len(y) - both[-1]))
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(both, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "both", "linked"])
 
     return run
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) of classes that link, judged on whole shingle sets of one text each."""
+    """Pairs (a, b) of classes with the size of their intersection and whether they link, from whole texts."""
     pairs = written(pairs.select("a", "b"), name)
     used = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
     texts = docs.join(reps.join(used, "k"), "doc_id").groupBy("k").agg(F.min_by("text", "doc_id").alias("text"))
     texts = written(texts, f"{name}-texts")
     both = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
-    out = written(both.select("a", "b", "ta", "tb").mapInArrow(_similar(percent), "a long, b long"), "links")
+    out = written(both.select("a", "b", "ta", "tb").mapInArrow(_similar(percent), "a long, b long, both long, linked boolean"), "links")
     forget(texts)
     forget(pairs)
     return out
 
 
-def _matched(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) from list rows (a, na, la, leva, b, nb, lb, levb) that share as many tokens as they must."""
+def _matched(rows: DataFrame, percent: int, whole: bool = False) -> DataFrame:
+    """Pairs (a, b) from list rows (a, na, la, leva, b, nb, lb, levb) that share as many tokens as they must.
+
+    whole: the rows hold every token that two classes share in their prefixes. Beyond the shorter
+    reach of the two prefixes at most need - l tokens are left, so the shared ones so far
+    must make up the rest of the least intersection. Where both were compared with one pivot
+    (pa = pb, ia and ib in common with it), they share at most the smaller of what they have
+    in the pivot and the smaller of what they have beside it.
+    """
     m = F.least("la", "lb")
-    fits = (F.greatest("leva", "levb") <= m) & (100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long"))
-    return rows.where(fits).groupBy("a", "b", m.alias("m")).agg(F.count("*").alias("c")).where("c >= m").select("a", "b")
+    near = 100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long")
+    pairs = rows.where(near).groupBy("a", "b", "na", "nb", "la", "lb", *(("pa", "pb", "ia", "ib") if whole else ())).agg(F.count("*").alias("c"), F.count_if(F.greatest("leva", "levb") <= m).alias("cm")).where(F.col("cm") >= m)
+    if whole:
+        left = F.greatest(*(F.ceil(F.col(n) * F.lit(percent) / 100 - 1e-9) - F.col(lv) for n, lv in (("na", "la"), ("nb", "lb"))))
+        least = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
+        most = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+        pairs = pairs.where((F.col("c") + left >= least) & ~F.coalesce((F.col("pa") == F.col("pb")) & (most < least), F.lit(False)))
+    return pairs.select("a", "b")
+
+
+def _pivots(star: DataFrame, classes: DataFrame) -> DataFrame:
+    """(k, p, i): of each class that was compared, the leader p with the most members among those it met, itself included, and the size i of what they share."""
+    size = star.groupBy("a").agg(F.count("*").alias("m"))
+    itself = size.join(classes.where("n_shingles > 0").select(F.col("k").alias("a"), F.col("n_shingles").alias("both")).distinct(), "a").select(F.col("a").alias("k"), "a", "both", "m")
+    met = star.join(size, "a").select(F.col("b").alias("k"), "a", "both", "m").unionByName(itself)
+    return met.groupBy("k").agg(F.max_by(F.struct("a", "both"), F.struct("m", "a")).alias("x")).select("k", F.col("x.a").alias("p"), F.col("x.both").alias("i"))
 
 
 def join(docs: DataFrame, percent: int = NEED, most_frequent: int = MOST_FREQUENT) -> DataFrame:
@@ -277,17 +303,17 @@ def join(docs: DataFrame, percent: int = NEED, most_frequent: int = MOST_FREQUEN
     lists = written(blobs.groupBy("r").applyInArrow(_lists(percent), _LISTS), "lists")
     star = lists.where("k <> lk").select(F.col("lk").alias("a"), F.col("ln").alias("na"), F.col("ll").alias("la"), F.col("llev").alias("leva"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("lev").alias("levb"))
     links = _verified(_matched(star, percent), reps, docs, percent, "star")
-    labels = components(links)
+    labels = components(links.where("linked"))
+    pivots = _pivots(links, one)
     own = lists.select("b", "k", "n", "l", "lev").join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
     mixed = own.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("b")
-    own = written(own.join(mixed, "b"), "mixed")
-    left = own.select(F.col("b").alias("t"), F.col("k").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("lev").alias("leva"), F.col("c").alias("ca"))
-    right = own.select(F.col("b").alias("t"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("lev").alias("levb"), F.col("c").alias("cb"))
-    m = F.least("la", "lb")
-    fits = (F.greatest("leva", "levb") <= m) & (100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long"))
-    cross = _matched(left.join(right, (left.t == right.t) & (F.col("ca") < F.col("cb")) & fits), percent)
+    own = written(own.join(mixed, "b").join(pivots, "k", "left"), "mixed")
+    left = own.select(F.col("b").alias("t"), F.col("k").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("lev").alias("leva"), F.col("c").alias("ca"), F.col("p").alias("pa"), F.col("i").alias("ia"))
+    right = own.select(F.col("b").alias("t"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("lev").alias("levb"), F.col("c").alias("cb"), F.col("p").alias("pb"), F.col("i").alias("ib"))
+    near = 100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long")
+    cross = _matched(left.join(right, (left.t == right.t) & (F.col("ca") < F.col("cb")) & near), percent, whole=True)
     more = _verified(cross, reps, docs, percent, "cross")
-    joined = more.join(labels.select(F.col("k").alias("a"), F.col("c").alias("ca")), "a", "left").join(labels.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b", "left")
+    joined = more.where("linked").join(labels.select(F.col("k").alias("a"), F.col("c").alias("ca")), "a", "left").join(labels.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b", "left")
     higher = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     labels = labels.unionByName(higher.join(labels, "k", "left_anti").select("k", F.col("k").alias("c")))
     labels = labels.join(higher.select(F.col("k").alias("c"), F.col("c").alias("top")), "c", "left").select("k", F.coalesce("top", "c").alias("c"))
