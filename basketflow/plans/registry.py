@@ -189,9 +189,9 @@ def recode_strict(s, d):
     return A.e_day(s, d).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT session, product_id, round(c_time_all, 6) AS c_time_all, round(c_type_last, 6) AS c_type_last FROM feat_b")
+@query("SELECT session, product_id, round(c_time_all, 4) AS c_time_all, round(c_type_last, 4) AS c_type_last FROM feat_b")
 def regex_columns_fill(s, d):
-    return _r(_features(s, d).select("session", "product_id", "c_time_all", "c_type_last"), "c_time_all", "c_type_last")
+    return _r(_features(s, d).select("session", "product_id", "c_time_all", "c_type_last"), "c_time_all", "c_type_last", n=4)
 
 
 @query("SELECT product_id, count(*) FILTER (WHERE event_type = 1) AS carts, max(CASE WHEN event_type = 2 THEN seq END) AS last_purchase FROM day_ev GROUP BY product_id")
@@ -516,14 +516,14 @@ def popular(s, d):
     return _popular_b(s, d)
 
 
-@query("SELECT session, kind, product_id, round(sum(part), 6) AS score FROM part_b GROUP BY ALL")
+@query("SELECT session, kind, product_id, round(sum(part), 4) AS score FROM part_b GROUP BY ALL")
 def covis_scores(s, d):
-    return _r(C.covis_scores(C.history_items(_cases(s, d)[0]), _matrix_b(s, d)), "score")
+    return _r(C.covis_scores(C.history_items(_cases(s, d)[0]), _matrix_b(s, d)), "score", n=4)
 
 
-@query("SELECT session, product_id, round(score, 6) AS score FROM sc_covis")
+@query("SELECT session, product_id, round(score, 4) AS score FROM sc_covis")
 def combined_covis(s, d):
-    return _r(C.combined(C.covis_scores(C.history_items(_cases(s, d)[0]), _matrix_b(s, d))), "score")
+    return _r(C.combined(C.covis_scores(C.history_items(_cases(s, d)[0]), _matrix_b(s, d))), "score", n=4)
 
 
 @query("SELECT session, array_to_string(run, ',') AS run FROM run_item2item")
@@ -552,21 +552,21 @@ def product_stats_night(s, d):
 QUERIES["product_stats"], ORACLE_SQL["product_stats"] = QUERIES.pop("product_stats_night"), ORACLE_SQL.pop("product_stats_night")
 
 
-@query("SELECT session, product_id, round(c_sum, 6) AS c_sum FROM feat_b")
+@query("SELECT session, product_id, round(c_sum, 4) AS c_sum FROM feat_b")
 def candidates(s, d):
     history, cases = _cases(s, d)
-    return _r(features.candidates(C.history_items(history), _matrix_b(s, d), cases).select("session", "product_id", "c_sum"), "c_sum")
+    return _r(features.candidates(C.history_items(history), _matrix_b(s, d), cases).select("session", "product_id", "c_sum"), "c_sum", n=4)
 
 
 _FLOATS = [*S.SCORES, "c_sum", "p_price"]
 
 
 def _fixed(df):
-    """Features as six digits; price_ratio as text of four significant digits."""
-    return _r(df, *_FLOATS).withColumn("price_ratio", F.round(F.col("price_ratio").cast("double"), 3))
+    """Features to four digits, the price ratio to three."""
+    return _r(df, *_FLOATS, n=4).withColumn("price_ratio", F.round(F.col("price_ratio").cast("double"), 3))
 
 
-@query(f"SELECT session, product_id, label, {', '.join(f'round({c}, 6) AS {c}' if c in _FLOATS else 'round(price_ratio::DOUBLE, 3) AS price_ratio' if c == 'price_ratio' else c for c in S.FEATURES)} FROM feat_b")
+@query(f"SELECT session, product_id, label, {', '.join(f'round({c}, 4) AS {c}' if c in _FLOATS else 'round(price_ratio::DOUBLE, 3) AS price_ratio' if c == 'price_ratio' else c for c in S.FEATURES)} FROM feat_b")
 def features_24(s, d):
     return _fixed(_features(s, d))
 
@@ -726,13 +726,13 @@ def ingest_stats(s, d):
 # -- online scoring: the batch operators over a micro-batch
 
 
-@query("SELECT session, product_id, round(c_sum, 6) AS c_sum, h_events, s_events FROM feat_b")
+@query("SELECT session, product_id, round(c_sum, 4) AS c_sum, h_events, s_events FROM feat_b")
 def online_features(s, d):
     """The batch features for sessions that come through the codec."""
     history, cases = _cases(s, d)
     back = stream.decode(stream.encode(history)).join(history.select("session", "seq", "pos"), ["session", "seq"])
     stats = features.product_stats(split.stats_events(A.e_day(s, d), "B"), B)
-    return _r(features.build(back, cases, _matrix_b(s, d), stats).select("session", "product_id", "c_sum", "h_events", "s_events"), "c_sum")
+    return _r(features.build(back, cases, _matrix_b(s, d), stats).select("session", "product_id", "c_sum", "h_events", "s_events"), "c_sum", n=4)
 
 
 @query("SELECT session, array_to_string(run, ',') AS run FROM run_covis")
