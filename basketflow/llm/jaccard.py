@@ -7,7 +7,7 @@ n - need + l. Each class picks l by its estimated cost: the frequencies in that
 entries to read) and their sum over l (at most so many candidates reach l matches and are
 verified). A pair with l1 and l2 must share min(l1, l2) shingles of that level.
 
-Candidates come in two rounds, so that a group of copies never makes all its pairs. In the
+Candidates come in two rounds, so that copies which their leader links make no pairs. In the
 first each class meets only the leader of a shingle's list: of those of about its own size the
 one with the largest share of frequent shingles, in a group of copies the least edited.
 Verified links make components. In the second, pairs that are still in different components meet in
