@@ -11,7 +11,8 @@ Candidates come in two rounds, so that copies which their leader links make no p
 first each class meets only the leader of a shingle's list: of those of about its own size the
 one with the largest share of frequent shingles, in a group of copies the least edited.
 Verified links make components. In the second, pairs that are still in different components meet in
-the lists that hold several; verified again. Every link is thus found or is inside a component.
+the lists that hold several, in the shortest they share and only where enough more are to come
+for both; verified again. Every link is thus found or is inside a component.
 Frequencies come from all documents; the broadcast part of them is the most frequent
 MOST_FREQUENT shingles at most, which bounds it at any size. The order affects cost only,
 never the result.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketflow.llm import shingles
@@ -262,24 +263,39 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int,
     return out
 
 
-def _matched(rows: DataFrame, percent: int, whole: bool = False) -> DataFrame:
-    """Pairs (a, b) from list rows (a, na, la, leva, b, nb, lb, levb) that share as many tokens as they must.
+def _near(percent: int):
+    return 100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long")
 
-    whole: the rows hold every token that two classes share in their prefixes. Beyond the shorter
-    reach of the two prefixes at most need - l tokens are left, so the shared ones so far
-    must make up the rest of the least intersection. Where both were compared with one pivot
-    (pa = pb, ia and ib in common with it), they share at most the smaller of what they have
-    in the pivot and the smaller of what they have beside it.
-    """
+
+def _matched(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) from list rows (a, na, la, leva, b, nb, lb, levb) that share as many tokens as they must."""
     m = F.least("la", "lb")
-    near = 100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long")
-    pairs = rows.where(near).groupBy("a", "b", "na", "nb", "la", "lb", *(("pa", "pb", "ia", "ib") if whole else ())).agg(F.count("*").alias("c"), F.count_if(F.greatest("leva", "levb") <= m).alias("cm")).where(F.col("cm") >= m)
-    if whole:
-        left = F.greatest(*(F.ceil(F.col(n) * F.lit(percent) / 100 - 1e-9) - F.col(lv) for n, lv in (("na", "la"), ("nb", "lb"))))
-        least = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
-        most = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-        pairs = pairs.where((F.col("c") + left >= least) & ~F.coalesce((F.col("pa") == F.col("pb")) & (most < least), F.lit(False)))
-    return pairs.select("a", "b")
+    pairs = rows.where(_near(percent)).groupBy("a", "b", "la", "lb").agg(F.count_if(F.greatest("leva", "levb") <= m).alias("cm"))
+    return pairs.where(F.col("cm") >= m).select("a", "b")
+
+
+def _crossing(own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components that may link, from own (t, k, n, l, c, p, i, size): every list that holds several components.
+
+    Beyond the shorter reach of two prefixes at most need - l tokens are left, so of the least
+    intersection so many must be among the lists that both are in. Each class orders its lists
+    alike, the shortest first; a pair that shares r lists shares its first one where both have
+    r - 1 or more to come, and the pair is made there only: the long lists, which come last,
+    make pairs for classes that share many others. Where both were compared with one
+    pivot (pa = pb, ia and ib in common with it), they share at most the smaller of what they
+    have in the pivot and the smaller of what they have beside it. All this is in the
+    condition of the join.
+    """
+    mine = Window.partitionBy("k")
+    own = own.withColumn("rest", F.count("*").over(mine) - F.row_number().over(mine.orderBy("size", "t")))
+    left, right = (own.select("t", F.col("k").alias(x), *(F.col(y).alias(y + x) for y in ("n", "l", "c", "p", "i", "rest"))) for x in "ab")
+    beyond = F.greatest(*(F.expr(f"(n{x} * {percent}L + 99) div 100 - l{x}") for x in "ab"))
+    least = F.expr(f"((na + nb) * {percent}L + {99 + percent}) div {100 + percent}")
+    most = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    pivoted = F.coalesce((F.col("pa") == F.col("pb")) & (most < least), F.lit(False))
+    must = F.greatest(F.least("la", "lb"), least - beyond)
+    met = (left.t == right.t) & (F.col("ca") < F.col("cb")) & _near(percent) & (F.least("resta", "restb") + 1 >= must) & ~pivoted
+    return left.join(right, met).select("a", "b").distinct()
 
 
 def _pivots(star: DataFrame, classes: DataFrame) -> DataFrame:
@@ -305,13 +321,10 @@ def join(docs: DataFrame, percent: int = NEED, most_frequent: int = MOST_FREQUEN
     links = _verified(_matched(star, percent), reps, docs, percent, "star")
     labels = components(links.where("linked"))
     pivots = _pivots(links, one)
-    own = lists.select("b", "k", "n", "l", "lev").join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
-    mixed = own.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("b")
-    own = written(own.join(mixed, "b").join(pivots, "k", "left"), "mixed")
-    left = own.select(F.col("b").alias("t"), F.col("k").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("lev").alias("leva"), F.col("c").alias("ca"), F.col("p").alias("pa"), F.col("i").alias("ia"))
-    right = own.select(F.col("b").alias("t"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("lev").alias("levb"), F.col("c").alias("cb"), F.col("p").alias("pb"), F.col("i").alias("ib"))
-    near = 100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long")
-    cross = _matched(left.join(right, (left.t == right.t) & (F.col("ca") < F.col("cb")) & near), percent, whole=True)
+    own = lists.select(F.col("b").alias("t"), "k", "n", "l").join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
+    mixed = own.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("t", "size")
+    own = written(own.join(mixed, "t").join(pivots, "k", "left"), "mixed")
+    cross = _crossing(own, percent)
     more = _verified(cross, reps, docs, percent, "cross")
     joined = more.where("linked").join(labels.select(F.col("k").alias("a"), F.col("c").alias("ca")), "a", "left").join(labels.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b", "left")
     higher = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
