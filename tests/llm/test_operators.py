@@ -55,6 +55,31 @@ def test_jaccard_join_is_brute_force(spark):
     assert jaccard.join(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_crossing_makes_every_pair_that_may_link_and_few_others(spark):
+    """One common passage in many classes of different components: the pairs made hold all that share enough lists."""
+    rng = random.Random(11)
+    rows, sets = [], {}
+    for k in range(60):
+        base = (k // 3) * 1000
+        own = {base + rng.randrange(26) for _ in range(60)} | {rng.randrange(900_000, 900_006) for _ in range(rng.randrange(9))} | {10**6 + 100 * k + x for x in range(rng.randrange(9))}
+        sets[k] = own
+    n, level = 100, 2
+    size = {t: sum(t in s for s in sets.values()) for s in sets.values() for t in s}
+    for k, s in sets.items():
+        rows += [(t, k, n, level, k, None, None, size[t]) for t in s if size[t] > 1]
+    own = spark.createDataFrame(rows, "t long, k long, n int, l int, c long, p long, i long, size long")
+    got = sorted((r.a, r.b) for r in jaccard._crossing(own, 75).collect())
+    least = 86 - (75 - level)
+    must = {(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= max(level, least)}
+    met = {(a, b) for a, b in combinations(sets, 2) if sets[a] & sets[b]}
+    assert len(got) == len(set(got)) and must <= set(got) <= met
+    assert must and len(got) < len(met) / 4
+    pivoted = own.withColumn("p", F.lit(7).cast("long")).withColumn("i", F.lit(0).cast("long"))
+    assert sorted((r.a, r.b) for r in jaccard._crossing(pivoted, 75).collect()) == got
+    halves = own.withColumn("p", F.lit(7).cast("long")).withColumn("i", F.when(F.col("k") % 2 == 0, 60).otherwise(0).cast("long"))
+    assert {(a, b) for a, b in got if (a - b) % 2 == 0} == {(r.a, r.b) for r in jaccard._crossing(halves, 75).collect()}
+
+
 def test_prefix_levels_keep_every_pair():
     rng = np.random.default_rng(1)
     for _ in range(300):
