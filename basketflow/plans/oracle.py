@@ -15,7 +15,7 @@ def _adapter(session: str) -> str:
 def _prepared(ev: str, until: str = "TRUE") -> str:
     return f"""SELECT session, product_id, event_type, ts FROM (
     SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, seq DESC, product_id, event_type) AS rn
-    FROM (SELECT session, product_id, event_type, max(epoch_ms(event_time) // 1000) AS ts, max(seq) AS seq FROM {ev} WHERE {until} GROUP BY ALL)) WHERE rn <= 30"""
+    FROM (SELECT session, product_id, event_type, max(epoch_us(event_time) // 1000000) AS ts, max(seq) AS seq FROM {ev} WHERE {until} GROUP BY ALL)) WHERE rn <= 30"""
 
 
 def _weights(prepared: str) -> str:
@@ -87,9 +87,9 @@ def _features() -> str:
     scores = [f"c_{k}_{t}" for k in ("time", "type", "buy2buy") for t in ("all", "last")]
     zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in [*scores, "c_sum"])
     return f"""SELECT c.session, c.product_id, CAST(c.product_id = p.target AS INT) AS label, {zero}, CAST(i.h_events IS NOT NULL AS INT) AS in_history, i.h_events, i.h_rank,
-    epoch_ms(p.cut_time) // 1000 - epoch_ms(i.h_last) // 1000 AS h_seconds, i.h_max_type, s.p_events_1d, s.p_events_7d, s.p_carts_7d, s.p_purchases_7d, s.p_price,
+    epoch_us(p.cut_time) // 1000000 - epoch_us(i.h_last) // 1000000 AS h_seconds, i.h_max_type, s.p_events_1d, s.p_events_7d, s.p_carts_7d, s.p_purchases_7d, s.p_price,
     (s.p_price / l.price)::FLOAT AS price_ratio, CAST(s.p_category = l.category_id AS INT) AS same_category, CAST(s.p_brand = l.brand AS INT) AS same_brand, e.s_events, e.s_products,
-    epoch_ms(p.cut_time) // 1000 - epoch_ms(e.s_start) // 1000 AS s_seconds, l.event_type AS l_type
+    epoch_us(p.cut_time) // 1000000 - epoch_us(e.s_start) // 1000000 AS s_seconds, l.event_type AS l_type
   FROM (SELECT session, product_id FROM (SELECT x.*, row_number() OVER (PARTITION BY x.session ORDER BY round(c_sum, 9) DESC, x.product_id) AS rk FROM cb_six x JOIN cb_pick p ON p.session = x.session AND p.last_product <> x.product_id) WHERE rk <= 40
     UNION SELECT i.session, i.product_id FROM cb_items i JOIN cb_pick p ON p.session = i.session AND p.last_product <> i.product_id) c
   LEFT JOIN cb_six USING (session, product_id) LEFT JOIN cb_items i USING (session, product_id) LEFT JOIN stats_b s USING (product_id) JOIN cb_pick p USING (session)
@@ -118,7 +118,7 @@ CTES: dict[str, str] = {
     "all_runs": _ALL,
     "stats_b": product_stats("day_ev", "2024-01-17"),
     "cb_six": _SIX, "feat_b": _FEATURES,
-    "sess_b": """SELECT h.session, h.user_id, CAST((epoch_ms(h.event_time) // 1000 - epoch_ms(TIMESTAMP '2024-01-17') // 1000) // 86400 AS INT) AS day FROM cb_hist h WHERE h.pos = 0""",
+    "sess_b": """SELECT h.session, h.user_id, CAST((epoch_us(h.event_time) // 1000000 - epoch_us(TIMESTAMP '2024-01-17') // 1000000) // 86400 AS INT) AS day FROM cb_hist h WHERE h.pos = 0""",
     "hits_b": """SELECT session, CASE WHEN list_position(r.run, p.target) > 0 THEN 1 ELSE 0 END AS hit, CASE WHEN list_position(t.run, p.target) > 0 THEN 1 ELSE 0 END AS hit_t
     FROM run_item2item r JOIN run_covis t USING (session) JOIN cb_pick p USING (session)""",
     "per_user": """SELECT user_id, count(*) AS n, sum(hit)::BIGINT AS y, sum(hit_t)::BIGINT AS yt FROM sess_b JOIN hits_b USING (session) GROUP BY user_id""",

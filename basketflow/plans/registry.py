@@ -179,7 +179,7 @@ def stats_events(s, d):
     return split.stats_events(A.e_day(s, d), "B").select("seq", "session")
 
 
-@query("SELECT seq, epoch_ms(event_time) // 1000 AS ts FROM day_ev")
+@query("SELECT seq, epoch_us(event_time) // 1000000 AS ts FROM day_ev")
 def project_epoch(s, d):
     return A.e_day(s, d).select("seq", F.unix_seconds("event_time").alias("ts"))
 
@@ -986,7 +986,7 @@ def drift_cap(s, d):
 
 @query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY event_time, seq) - 1 AS pos FROM day_ev WHERE session IN (
     SELECT session FROM day_ev GROUP BY session HAVING min(event_time) >= TIMESTAMP '2024-01-24' AND min(event_time) < TIMESTAMP '2024-02-01')),
-  p AS (SELECT session, pos AS cut, CAST((epoch_ms(event_time) // 1000 - epoch_ms(TIMESTAMP '2024-01-24') // 1000) // 86400 AS INT) AS day FROM o ORDER BY sha256('0:' || session || ':' || pos), session, pos LIMIT 500)
+  p AS (SELECT session, pos AS cut, CAST((epoch_us(event_time) // 1000000 - epoch_us(TIMESTAMP '2024-01-24') // 1000000) // 86400 AS INT) AS day FROM o ORDER BY sha256('0:' || session || ':' || pos), session, pos LIMIT 500)
   SELECT session || ':' || cut AS request, day, o.seq, o.pos FROM o JOIN p USING (session) WHERE pos <= cut""")
 def drift_requests(s, d):
     return drift.requests(A.e_day(s, d), *S.window("C"), 500).select("request", "day", "seq", "pos")
