@@ -1,14 +1,16 @@
 """Chat formatting: records of many layouts become canonical turns and one training string.
 
-A record is a JSON text. Its nested field paths, without value types, are hashed; the hash
-selects a declarative mapping (LAYOUTS) that reads the turns. The template writes a turn as
+A record is a JSON text or a struct. Its nested field paths, without value types, are hashed; the
+hash selects a declarative mapping (LAYOUTS) that reads the turns. The template writes a turn as
 ``### role: text</turn>\n`` with every backslash, ``#`` and ``</`` inside a text escaped by a
 backslash, so neither marker can occur inside a text and the text reads back unchanged.
 
 Defined results: a null text or role is empty; a null, empty or malformed record and one of
 an unknown layout has no turns (layout null) and an empty string; fields beside a layout's own
 make another fingerprint unless the mapping lists them as optional; rows of one conversation
-with the same turn number follow in order of role, then text; repeated rows stay.
+with the same turn number follow in order of role, then text; repeated rows stay. Structs have no
+limit but that of one value (2 GB, beyond which Spark fails); a JSON object that is too large for
+Spark's parsers is an error, never an empty result.
 """
 
 from __future__ import annotations
@@ -19,9 +21,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 END = "</turn>\n"
 TURNS = "array<struct<role:string,text:string>>"
+#: A longer JSON text may be over a limit of try_parse_json (20 million characters a string, 128 MB in all).
+LONG = 1 << 24
+_ANY_LENGTH = {"maxStringLen": str((1 << 31) - 1)}
 
 
 @dataclass(frozen=True)
@@ -81,10 +87,22 @@ def fingerprints(layouts: tuple[Layout, ...] = LAYOUTS) -> dict[str, Layout]:
 
 def fingerprint(record: Column) -> Column:
     """SHA-256 of a record's nested field paths; value types do not count. Null if it is no JSON."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
+    long = F.char_length(record) > LONG
+    shape = F.schema_of_variant(F.coalesce(F.try_parse_json(record), F.when(long, F.from_json(record, "variant", _ANY_LENGTH))))
+    over = long & F.from_json(record, "map<string,string>", _ANY_LENGTH).isNotNull()
+    shape = F.coalesce(shape, F.when(over, F.raise_error(F.lit("a JSON record is too large to be read")).cast("string")))
     return F.sha2(F.regexp_replace(shape, r"(: )(?:STRING|BIGINT|VOID|BOOLEAN|DOUBLE|FLOAT|DECIMAL\(\d+,\s*\d+\)|VARIANT)(?=[,>])", "$1_"), 256)
 
 
+def struct_paths(kind: StructType) -> tuple[str, ...]:
+    """Field paths of a record that is a struct, as in Layout."""
+    out: list[str] = []
+    for f in kind.fields:
+        inner = f.dataType.elementType if isinstance(f.dataType, ArrayType) else None
+        out += [f"{f.name}[].{x}" for x in inner.names] if isinstance(inner, StructType) else [f.name]
+    return tuple(out)
+
+
 def escaped(text: Column) -> Column:
     text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     return F.replace(F.replace(text, F.lit("#"), F.lit("\\#")), F.lit("</"), F.lit("<\\/"))
@@ -95,14 +113,20 @@ def unescaped(text: Column) -> Column:
 
 
 def canonical(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Adds fingerprint, layout and turns (TURNS) to rows with a JSON record."""
+    """Adds fingerprint, layout and turns (TURNS) to rows with a record (JSON text or struct)."""
     by = fingerprints(layouts)
+    kind = df.schema[record].dataType
+    if isinstance(kind, StructType):
+        key = hashlib.sha256(_shape(struct_paths(kind)).encode()).hexdigest()
+        there, x, none = F.col(record).isNotNull(), by.get(key), F.expr(f"cast(array() as {TURNS})")
+        df = df.withColumn("fingerprint", F.when(there, key)).withColumn("layout", F.when(there, F.lit(x.name if x else None).cast("string"))).withColumn("r", F.col(record))
+        return df.withColumn("turns", F.coalesce(F.when(there, F.expr(x.turns).cast(TURNS)), none) if x else none).drop("r")
     df = df.withColumn("fingerprint", fingerprint(F.col(record)))
     name, turns = F.lit(None).cast("string"), F.expr(f"cast(array() as {TURNS})")
     for x in layouts:
         own = F.col("fingerprint").isin([k for k, v in by.items() if v is x])
         name = F.when(own, F.lit(x.name)).otherwise(name)
-        df = df.withColumn("r", F.from_json(record, x.schema)).withColumn(f"turns_{x.name}", F.when(own, F.expr(x.turns)))
+        df = df.withColumn("r", F.from_json(record, x.schema, _ANY_LENGTH)).withColumn(f"turns_{x.name}", F.when(own, F.expr(x.turns)))
     df = df.withColumn("layout", name).withColumn("turns", F.coalesce(*(f"turns_{x.name}" for x in layouts), turns))
     return df.drop("r", *(f"turns_{x.name}" for x in layouts))
 
@@ -131,11 +155,11 @@ def read_back(text: Column) -> Column:
 
 
 def records(conversations: DataFrame) -> DataFrame:
-    """One record of the messages layout for each conv_id of rows (conv_id, turn, role, text)."""
+    """One record (struct) of the messages layout for each conv_id of rows (conv_id, turn, role, text)."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     messages = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
-    return rows.groupBy("conv_id").agg(F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    return rows.groupBy("conv_id").agg(F.struct(messages.alias("messages")).alias("record"))
 
 
 def digest(df: DataFrame) -> DataFrame:

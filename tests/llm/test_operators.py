@@ -118,6 +118,21 @@ def test_chat_round_trip_and_layouts(spark):
     assert (one.n_turns, one.loss_chars, one.loss_sha256) == (len(tricky), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_has_no_silent_size_limit(spark):
+    n = 21_000_000
+    rows = spark.range(1).select(F.col("id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("x"), n).alias("text"))
+    grouped = chat.records(rows)
+    texts = grouped.select("conv_id", F.concat(F.lit('{"messages":[{"role":"assistant","content":"'), F.repeat(F.lit("x"), n), F.lit('"}]}')).alias("record"))
+    for r in (grouped, texts):
+        got = chat.digest(chat.formatted(chat.canonical(r))).first()
+        assert (got.n_turns, got.loss_chars) == (1, n)
+    shaped = spark.createDataFrame([(1, ("q", "a")), (2, None)], "conv_id long, record struct<prompt:string,response:string>")
+    assert [(r.layout, len(r.turns)) for r in chat.canonical(shaped).orderBy("conv_id").collect()] == [("response", 2), (None, 0)]
+    over = spark.range(1).select(F.concat(F.lit('{"messages":[{"role":"user","content":"'), F.repeat(F.lit("x"), 140_000_000), F.lit('"}]}')).alias("record"))
+    with pytest.raises(Exception, match="(?i)large|limit"):
+        chat.canonical(over).select(F.size("turns")).collect()
+
+
 def test_secret_spans_and_ownership(spark):
     token = "ghp_" + "a1B2" * 9
     texts = ["password=abcdefghijkl x AKIAABCDEFGHIJKLMN é deadbeefdeadbeef", "Token : 'short' secret:token: abcdefghijklmnop", None, "", token, f"é {token} widely", f"{token}!", f"{token}?", "gho_" + "z" * 36]
