@@ -2,11 +2,15 @@
 
 A text's tokens are runs of ASCII letters and digits and of bytes above ASCII, lower-cased. A
 token that starts with a digit is a number (several in a row are one), a unit word after a
-number a unit, a capitalised word inside a sentence a name; these become typed placeholders.
+number a unit, a capitalised word inside a sentence a name; these become typed placeholders. A
+capitalised word that opens a sentence, unless it is one of OPENERS, may be a name: windows with
+it are looked up in both readings.
 Runs of WINDOW template tokens (an item with fewer: all of them) are hashed and joined with
 those of the benchmark. Matches of an item that are close together in a text form one
 occurrence. It counts if the windows cover at least COVER of the item's tokens and its slots
-are consistent: each value of the item is replaced by one and the same value throughout.
+are consistent: each value of the item is replaced by one and the same value throughout. Where
+all alignments of an occurrence together are not, or where an opener must be a name, a chain of
+runs that rise in both item and text counts by itself if it is consistent and covers enough.
 
 The benchmark is a query set: it meets all documents in blocks of at most BLOCK windows, each
 broadcast. Defined results: null and empty texts and items match nothing; repeated rows are
@@ -16,6 +20,7 @@ judged each; a null doc_id is kept.
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,10 @@ COVER = 0.6
 BLOCK = 1 << 20
 #: Unit words.
 UNITS = "mm cm m km in ft yd mi mile miles meter meters metre metres inch inches foot feet mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars cent cents euro euros kmh mph kph degrees"
+#: Words that open sentences and are no names.
+OPENERS = "the this that these those there here an and but or nor so yet if when while where what which who whom whose why how he she it we they you his her its our their your my in on at by for from of to with without into over under after before during since until through between about against as than then now once each every all any some no not none both either neither one two three is are was were be been do does did has have had can could should would shall must let given suppose assume find write explain consider calculate compute determine also however because although though"
+#: States kept for one run of tokens beside those of its own diagonal.
+STATES = 64
 _U = np.uint64
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -37,7 +46,7 @@ NUMBER, UNIT, NAME = (shingles.mixed(np.array([x], np.uint64))[0] for x in (11,
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template hash, own hash and slot type (0: none) of all tokens; each row's first token's index (one more at the end)."""
+    """Template hash, own hash and slot type (0: none, 4: possible name) of all tokens; each row's first token's index (one more at the end)."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.uint64)
@@ -78,7 +87,9 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     opens[1:] = stops[start[1:]] > stops[end[:-1]]
     opens[at[:-1][at[:-1] < len(start)]] = True
     kind = np.zeros(len(start), np.int8)
-    kind[upper & lower_next & ~opens] = 3
+    kind[upper & lower_next] = 3
+    kind[upper & lower_next & opens & ~np.isin(own, _hashes(OPENERS))] = 4
+    kind[opens & (kind == 3)] = 0
     number = (head >= 48) & (head <= 57)
     kind[number] = 1
     begins = np.zeros(len(start), bool)
@@ -86,20 +97,37 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     follows = np.zeros(len(start), bool)
     follows[1:] = number[:-1]
     follows &= ~begins
-    kind[follows & ~number & np.isin(own, _units())] = 2
+    kind[follows & ~number & np.isin(own, _hashes(UNITS))] = 2
     template = np.where(kind == 1, NUMBER, np.where(kind == 2, UNIT, np.where(kind == 3, NAME, own)))
     keep = ~(number & follows)
     return template[keep], own[keep], kind[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
 
-_unit_hashes: list[np.ndarray] = []
+_known: dict[str, np.ndarray] = {}
 
 
-def _units() -> np.ndarray:
-    if not _unit_hashes:
-        raw = np.frombuffer(UNITS.encode(), np.uint8)
-        _unit_hashes.append(np.sort(shingles.word_hashes(raw, np.array([0, len(raw)]))[0]))
-    return _unit_hashes[0]
+def _hashes(words: str) -> np.ndarray:
+    if words not in _known:
+        raw = np.frombuffer(words.encode(), np.uint8)
+        _known[words] = np.sort(shingles.word_hashes(raw, np.array([0, len(raw)]))[0])
+    return _known[words]
+
+
+def readings(t: np.ndarray, kind: np.ndarray, width: int):
+    """(first tokens, hashes) of windows in which some or all possible names are read as names."""
+    n = max(0, len(t) - width + 1)
+    bits = np.zeros(n, np.int64)
+    for x in range(width):
+        bits |= (kind[x : x + n] == 4).astype(np.int64) << x
+    at = np.flatnonzero(bits)
+    bits = bits[at]
+    there = np.unique(bits).tolist()
+    for mask in range(1, 1 << width):
+        if any(b & mask == mask for b in there):
+            p = at[bits & mask == mask]
+            w = t[p[:, None] + np.arange(width)]
+            w[:, [x for x in range(width) if mask >> x & 1]] = NAME
+            yield p, shingles.windows(w.reshape(-1), width)[::width]
 
 
 class Index:
@@ -114,57 +142,119 @@ class Index:
                 k = len(self.items)
                 self.items[k] = (item, own, kind)
                 width = min(window, len(t))
-                rows[width] += [(h, k, i) for i, h in enumerate(shingles.windows(t, width).tolist())]
+                rows[width] += [(h, k, i, True) for i, h in enumerate(shingles.windows(t, width).tolist())]
+                rows[width] += [(h, k, i, False) for p, hs in readings(t, kind, width) for i, h in zip(p.tolist(), hs.tolist(), strict=True)]
         self.by = {}
         for width, r in rows.items():
-            h, k, i = (np.array(x, t) for x, t in zip(zip(*r, strict=True), (np.uint64, np.int64, np.int64), strict=True))
+            h, k, i, plain = (np.array(x, t) for x, t in zip(zip(*r, strict=True), (np.uint64, np.int64, np.int64, bool), strict=True))
             o = np.argsort(h, kind="stable")
             u, first, many = np.unique(h[o], return_index=True, return_counts=True)
-            self.by[width] = (u, first, many, k[o], i[o])
+            self.by[width] = (u, first, many, k[o], i[o], plain[o])
 
     def found(self, texts: pa.Array, cover: float = COVER):
         """(row, item_id, tokens covered, tokens of the item, verbatim) of occurrences that count, the best of each item."""
         for at, data, offsets in shingles.pieces(texts):
             t, own, kind, words = tokens(data, offsets)
             hits = []
-            for width, (u, first, many, k, i) in self.by.items():
-                h = shingles.windows(t, width)
-                if not len(h):
-                    continue
-                j = np.minimum(np.searchsorted(u, h), len(u) - 1)
-                p = np.flatnonzero(u[j] == h)
-                row = np.searchsorted(words, p, "right") - 1
-                inside = p + width <= words[row + 1]
-                p, row = p[inside], row[inside]
-                for q, r in zip(p.tolist(), row.tolist(), strict=True):
-                    g = j[q]
-                    hits += [(r, int(k[x]), q, int(i[x]), width) for x in range(first[g], first[g] + many[g])]
-            yield from ((at + r, *rest) for r, *rest in self._judged(hits, own, kind, cover))
-
-    def _judged(self, hits, own, kind, cover):
+            for width, (u, first, many, k, i, plain) in self.by.items():
+                own_words = shingles.windows(t, width)
+                for own_reading, at_token, h in ((True, np.arange(len(own_words)), own_words), *((False, *x) for x in readings(t, kind, width))):
+                    if not len(h):
+                        continue
+                    j = np.minimum(np.searchsorted(u, h), len(u) - 1)
+                    same = np.flatnonzero(u[j] == h)
+                    p, j = at_token[same], j[same]
+                    row = np.searchsorted(words, p, "right") - 1
+                    inside = p + width <= words[row + 1]
+                    for q, r, g in zip(p[inside].tolist(), row[inside].tolist(), j[inside].tolist(), strict=True):
+                        hits += [(r, int(k[x]), q, int(i[x]), width, own_reading and bool(plain[x])) for x in range(first[g], first[g] + many[g])]
+            yield from ((at + r, *rest) for r, *rest in self._judged(hits, own, cover))
+
+    def _judged(self, hits, own, cover):
         hits.sort()
-        best, at = {}, 0
+        best = {}
+        for (r, k), group in groupby(hits, key=lambda x: x[:2]):
+            item, item_own, _ = self.items[k]
+            group = list(group)
+            plain = [x[2:5] for x in group if x[5]]
+            n, got = len(item_own), (0, False)
+            for named, these in ((False, plain), (True, sorted({x[2:5] for x in group}))):
+                reach = len({i + x for _, i, w in these for x in range(w)})
+                if reach < cover * n or reach <= got[0] or (named and len(plain) == len(group)):
+                    continue
+                for part in () if named else self._occurrences(these, n):
+                    pairs = {(i + x, q + x) for q, i, w in part for x in range(w)}
+                    covered = len({i for i, _ in pairs})
+                    if covered >= cover * n and covered > got[0] and (slots := self._slots(k, sorted(pairs), own, named)) is not None:
+                        got = (covered, all(a[1] == b for a, b in slots.items()))
+                if reach > got[0]:
+                    chain = self._chain(k, these, own, named, reach)
+                    got = chain if chain[0] >= cover * n and chain[0] > got[0] else got
+            if got[0] > best.get((r, item), (0,))[0]:
+                best[r, item] = (got[0], n, got[1])
+        return sorted((r, item, *v) for (r, item), v in best.items())
+
+    def _occurrences(self, hits, n):
+        """Runs of hits (q, i, width) that are close together."""
+        at = 0
         while at < len(hits):
-            r, k = hits[at][:2]
             to = at
-            item, item_own, item_kind = self.items[k]
-            n = len(item_own)
-            while to < len(hits) and hits[to][:2] == (r, k) and hits[to][2] - hits[at][2] <= 2 * n and (to == at or hits[to][2] - hits[to - 1][2] <= 2 * self.window):
+            while to < len(hits) and hits[to][0] - hits[at][0] <= 2 * n and (to == at or hits[to][0] - hits[to - 1][0] <= 2 * self.window):
                 to += 1
-            pairs = {(i + x, q + x) for _, _, q, i, w in hits[at:to] for x in range(w)}
-            covered = len({i for i, _ in pairs})
-            if covered >= cover * n:
-                slots: dict = {}
-                ok = verbatim = True
-                for i, q in sorted(pairs):
-                    if item_kind[i]:
-                        a, b = int(item_own[i]), int(own[q])
-                        verbatim &= a == b
-                        ok &= slots.setdefault((int(item_kind[i]), a), b) == b
-                if ok and covered > best.get((r, item), (0,))[0]:
-                    best[r, item] = (covered, n, verbatim)
+            yield hits[at:to]
             at = to
-        return sorted((r, item, *v) for (r, item), v in best.items())
+
+    def _slots(self, k, pairs, own, named):
+        """What replaces each (type, value) of the item; None if one has two replacements."""
+        _, item_own, item_kind = self.items[k]
+        slots: dict = {}
+        for i, q in pairs:
+            kind = int(item_kind[i])
+            if kind in (1, 2, 3) or (named and kind == 4):
+                b = int(own[q])
+                if slots.setdefault((min(kind, 3), int(item_own[i])), b) != b:
+                    return None
+        return slots
+
+    def _chain(self, k, hits, own, named, reach):
+        """(tokens covered, verbatim) of the best consistent chain of runs that rise in item and text."""
+        n, width = len(self.items[k][1]), hits[0][2]
+        runs: list[list[int]] = []  # first item token, first text token, tokens
+        for q, i, w in sorted(hits, key=lambda x: (x[0] - x[1], x[0])):
+            if runs and q - i == runs[-1][1] - runs[-1][0] and q <= runs[-1][1] + runs[-1][2]:
+                runs[-1][2] = q + w - runs[-1][1]
+            else:
+                runs.append([i, q, w])
+        runs.sort(key=lambda x: (x[1] + x[2], x[0] + x[2]))
+        best, held = (0, False), []
+        for i, q, m in runs:
+            own_slots = self._slots(k, [(i + x, q + x) for x in range(m)], own, named)
+            states = [] if own_slots is None else [(m, True, q, own_slots)]  # covered, one diagonal, start, slots
+            for i0, q0, m0, before in reversed(held):
+                if q - (q0 + m0 - width) > 2 * self.window:
+                    if q - (q0 + m0) > 2 * (n + self.window):
+                        break
+                    continue
+                skip = max(0, i0 + m0 - i, q0 + m0 - q)
+                if skip >= m or not before:
+                    continue
+                more = own_slots if not skip else self._slots(k, [(i + x, q + x) for x in range(skip, m)], own, named)
+                for covered, one, start, slots in before if more is not None else ():
+                    if q + m - width - start <= 2 * n and all(slots.get(a, b) == b for a, b in more.items()):
+                        states.append((covered + m - skip, one and q - i == q0 - i0, start, slots | more))
+            states.sort(key=lambda x: -x[0])
+            kept, seen = [], set()
+            for s in states:
+                key = (s[1], s[2], frozenset(s[3].items()))
+                if key not in seen and (s[1] or len(kept) < STATES):
+                    seen.add(key)
+                    kept.append(s)
+            for covered, _, _, slots in kept:
+                best = max(best, (covered, all(a[1] == b for a, b in slots.items())))
+            if best == (reach, True):
+                break
+            held.append((i, q, m, kept))
+        return best
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK):

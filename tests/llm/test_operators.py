@@ -153,6 +153,21 @@ def test_decontamination_slots():
     assert got == [(0, 7), (1, 7), (6, 7)]
 
 
+def test_decontamination_judges_each_alignment_by_itself():
+    trains = "One train travels at 60 miles in 2 hours and the other train travels at 80 miles in 3 hours. Which train is faster?"
+    line = "in june a train left Paris with 120 wagons and then 240 more wagons of coal for the northern line"
+    apples = "Tom has 5 apples. Jane has 3 apples. How many in all?"
+    ix = decontaminate.Index([(1, trains), (2, line), (3, apples)])
+    lyon, rome = (line.replace("120", a).replace("240", b).replace("Paris", c) for a, b, c in (("7", "8", "Lyon"), ("15", "16", "Rome")))
+    texts = [trains, f"So. {trains} Yes.", trains.replace("60", "61").replace("80", "82"), f"{lyon} {rome}", f"{lyon} {rome} {line}"]
+    texts += [apples, "Ann has 7 apples. Bob has 9 apples. How many in all?", "He said that Ann has 7 apples. Bob has 9 apples. How many in all?"]
+    got = {(r, i): (n, v) for r, i, n, _, v in ix.found(pa.array(texts))}
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 3), (7, 3)}
+    assert [got[x][1] for x in sorted(got)] == [True, True, False, False, True, True, False, False]
+    thrice = decontaminate.Index([(4, "Tom has 5 apples. Jane has 3 apples. Tom eats 2 apples.")])
+    assert [r for r, *_ in thrice.found(pa.array([f"Ann has 7 apples. Bob has 9 apples. {x} eats 4 apples." for x in ("Ann", "Eve", "Bob")]))] == [0]
+
+
 def test_language(spark):
     rows = docs(spark, ["the cat and the dog are here", "der Hund und die Katze sind hier", "12 !!", None, ""]).withColumn("lang", F.when(F.col("doc_id") == 1, "de").otherwise(F.col("lang")))
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identified(rows, langid.profiles(rows.where("doc_id < 2"))).collect()}
