@@ -3,7 +3,9 @@
 Base kinds (assign, access, hex) are always reported. Further kinds are candidates only: the
 value's hash is counted over the whole corpus by distinct repositories and owners, and a
 candidate is added where its value belongs to few of both (a live-looking credential); a
-widely copied value is an example. Offsets are code points, the end exclusive.
+widely copied value is an example. Offsets are code points, the end exclusive. A private key is
+its whole block, to the END line, the next BEGIN or the end of the text; its value is its body
+without white space and line marks, so a wrapped and an unwrapped copy are one value.
 
 Defined results: a null text is empty and has no spans; a null repository or owner counts as
 one of its own; repeated rows get the same result each; text columns of other names stay out.
@@ -35,10 +37,14 @@ ADDED = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29, "eyJ"),
     ("private", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", 0, 27, "PRIVATE KEY"),
 )
+#: A private key's block; the entry in ADDED has its first line only, as the SQL has.
+_BLOCK = r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----([\s\S]*?)(?:-----END [A-Z ]{0,32}PRIVATE KEY-----|(?=-----BEGIN )|\z)"
+#: What is searched for: as BASE and ADDED, and what is taken out of a value.
+KINDS = tuple((*x, None) if x[0] != "private" else (x[0], _BLOCK, 1, 0, x[4], r"\\[nrt]|[^A-Za-z0-9+/=]") for x in (*BASE, *ADDED))
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def spans(text: Column, k: int, pattern: str, group: int, least: int, holds: str | None) -> Column:
+def spans(text: Column, k: int, pattern: str, group: int, least: int, holds: str | None, without: str | None = None) -> Column:
     """Leftmost matches that do not overlap: the text between them and they themselves add up."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.expr(f"named_struct('at', 0, 'out', cast(array() as {SPANS}))")
@@ -47,6 +53,7 @@ def spans(text: Column, k: int, pattern: str, group: int, least: int, holds: str
         start = acc["at"] + F.char_length(x["b"])
         end = start + F.char_length(x["m"])
         value = F.regexp_extract(x["m"], pattern, group) if group else x["m"]
+        value = F.regexp_replace(value, without, "") if without else value
         one = F.when(F.char_length(value) >= least, F.array(F.struct(start.alias("start"), F.lit(k).alias("kind"), end.alias("end"), value.alias("value")))).otherwise(F.expr(f"cast(array() as {SPANS})"))
         return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
 
@@ -59,7 +66,7 @@ def spans(text: Column, k: int, pattern: str, group: int, least: int, holds: str
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds found (SPANS, by start then kind) of all kinds."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn("found", F.array_sort(F.concat(*(spans(body, k, p, g, n, h) for k, (_, p, g, n, h) in enumerate((*BASE, *ADDED))))))
+    return docs.withColumn("found", F.array_sort(F.concat(*(spans(body, k, *x[1:]) for k, x in enumerate(KINDS)))))
 
 
 def ownership(rows: DataFrame) -> DataFrame:
@@ -115,7 +122,7 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> Dat
     more = found.select("t", F.explode("spans").alias("s")).where(F.col("s.k") >= len(BASE)).groupBy("t").agg(F.array_sort(F.collect_set(F.col("s.kind"))).alias("_more"))
     out = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(more.withColumnRenamed("t", "_t"), "_t", "left")
     body = F.col(text)
-    for kind, pattern, _, _, _ in ADDED:
+    for kind, pattern, *_ in KINDS[len(BASE) :]:
         body = F.when(F.array_contains("_more", kind), F.regexp_replace(body, pattern, mark)).otherwise(body)
     value = r"(?=[A-Za-z0-9+/_.=-]{12})[A-Za-z0-9+/_.=-]+"
     body = F.regexp_replace(body, ASSIGN.replace("([A-Za-z0-9+/_.=-]+)", f"(?:{value})").replace(f"({_NAMES})", f"((?:{_NAMES})").replace(r"[\"']?(?:", r"[\"']?)(?:"), "$1" + mark.replace("$", r"\$"))

@@ -143,6 +143,23 @@ def test_secret_spans_and_ownership(spark):
     assert clean[0] == "password=[SECRET] x [SECRET] é [SECRET]" and clean[1] == texts[1].replace("abcdefghijklmnop", "[SECRET]") and clean[2] is None
 
 
+def test_private_keys_are_owned_by_their_bodies_and_redacted_whole(spark):
+    def key(body, end="\n-----END RSA PRIVATE KEY-----"):
+        return f"-----BEGIN RSA PRIVATE KEY-----\n{body}{end}"
+
+    bodies = [f"MIIE{i}" + "\n".join(c * 64 for c in "abc") for i in range(6)]
+    copies = [key("MIIEcopied\nABCD"), key("MIIEcopied\\nABCD"), key("MIIEcopiedABCD")]
+    texts = [f"é {key(b)} end" for b in bodies] + copies + [f"{key('MIIEcut', '')}", key("MIIEone", "\n") + key("MIIEtwo")]
+    rows = docs(spark, texts)
+    got = {r.doc_id: r.spans.split(",") for r in secrets.digest(secrets.scan(rows)).collect()}
+    assert all(f"private:2:{len(t) - 4}" in got[i] for i, t in enumerate(texts[:6]))
+    assert not any("private" in x for i in (6, 7, 8) for x in got[i]) and got[9] == [f"private:0:{len(texts[9])}"]
+    first = len(key("MIIEone", "\n"))
+    assert got[10] == [f"private:0:{first}", f"private:{first}:{len(texts[10])}"]
+    clean = [r.text for r in secrets.redacted(rows).orderBy("doc_id").collect()]
+    assert clean == ["é [SECRET] end"] * 6 + copies + ["[SECRET]", "[SECRET][SECRET]"]
+
+
 def test_decontamination_slots():
     item = "in june a train left Paris with 120 wagons and then 120 more wagons of coal for the northern line"
     ix = decontaminate.Index([(7, item), (8, ""), (9, "too short")])
