@@ -1,7 +1,9 @@
 """License scans by sentence rules.
 
-A text is cut into sentences (at line ends and after . ! ? ; : before white space), each
-lower-cased with runs of all but a-z and 0-9 made one space. Known sentences have ids; a
+A text is cut into lines and after . ! ? ; : before white space, each piece lower-cased with
+runs of all but a-z and 0-9 made one space. A sentence is one piece, or the longest run of pieces
+that make a known one with single line ends (and comment marks) between them; punctuation and
+blank lines end it. Known sentences have ids; a
 text's sequence of ids is matched against ordered rules, each a run of ids that are next to
 each other in that sequence (other sentences may lie between). Only texts that hold one of
 KEYWORDS are cut: every known sentence holds one.
@@ -55,6 +57,7 @@ RULES = (
 )
 KEYWORDS = "licen[cs]|permission|redistribut|warrant|copyright|comply|compliance|applicable law"
 _END = r"([.!?;:])\s+"
+_HARD = "\x02"
 
 
 def normal(sentence: str) -> str:
@@ -73,15 +76,19 @@ def _known() -> dict[str, str]:
 KNOWN = _known()
 
 
+#: Whole pieces that make a known sentence, longest first.
+_PATTERN = f"(?<![^\n{_HARD}])(?:{'|'.join(k.replace(' ', f'[ {chr(10)}]') for k in sorted(KNOWN, key=len, reverse=True))})(?![^\n{_HARD}])"
+
+
 def sequence(text: Column) -> Column:
     """Ids of a text's known sentences, in order."""
-    whole = F.coalesce(text, F.lit(""))
-    parts = F.split(F.regexp_replace(whole, _END, "$1\n"), "\n", -1)
+    low = F.lower(F.coalesce(text, F.lit("")))
     table = F.create_map(*(F.lit(x) for kv in KNOWN.items() for x in kv))
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    some = F.filter(parts, lambda s: F.lower(s).rlike(KEYWORDS))
-    ids = F.filter(F.transform(some, lambda s: F.try_element_at(table, plain(s))), lambda x: x.isNotNull())
-    return F.when(F.lower(whole).rlike(KEYWORDS), ids).otherwise(F.array().cast("array<string>"))
+    plain = F.regexp_replace(F.replace(low, F.lit(_HARD), F.lit(" ")), r"(?m)^[^a-z0-9\n]*(?:dnl|rem)(?= |$)", "")
+    for pattern, by in ((_END, _HARD), (r"\n[^a-z0-9\n]*(?=\n)", _HARD), (f"[^a-z0-9\n{_HARD}]+", " "), (f" ?([\n{_HARD}]) ?", "$1"), ("^ | $", "")):
+        plain = F.regexp_replace(plain, pattern, by)
+    ids = F.transform(F.regexp_extract_all(plain, F.lit(_PATTERN), F.lit(0)), lambda s: F.try_element_at(table, F.replace(s, F.lit("\n"), F.lit(" "))))
+    return F.when(low.rlike(KEYWORDS), ids).otherwise(F.array().cast("array<string>"))
 
 
 def licensed(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import textwrap
 from itertools import combinations
 
 import numpy as np
@@ -209,6 +210,24 @@ def test_licenses(spark):
     assert all(re.search(licenses.KEYWORDS, k) for k in licenses.KNOWN)
 
 
+def test_licenses_in_wrapped_texts(spark):
+    s = licenses.SENTENCES
+
+    def wrapped(*ids, mark="", width=72):
+        return f"\n{mark.rstrip()}\n".join("\n".join(mark + x for x in textwrap.wrap(s.get(i, i), width)) for i in ids)
+
+    bsd = ("bsd-grant", f"1. {s['bsd-source']}", f"2. {s['bsd-binary']}")
+    apache = f"{s['apache-2-the']};\n{s['apache-may']}\n{s['apache-copy']}\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n"
+    texts = [
+        wrapped("MIT License", "Copyright (c) 2020 Someone", "mit-grant", "mit-notice"), wrapped("mit-grant", "mit-notice", mark=" * "), wrapped(*bsd, mark="# "), wrapped(*bsd, f"3. {s['bsd-endorse']}", width=60),
+        wrapped(f"{s['gpl-redistribute']} {s['gpl-warranty']} without even the implied warranty", mark="// "), wrapped("gpl-redistribute", "gpl-warranty", mark="dnl "), apache + wrapped("apache-as-is"),
+        s["mit-grant"].replace("any person", "any\n\nperson") + "\n" + s["mit-notice"], "A title\nReleased under\r\nthe MIT License.\nand more",
+    ]
+    got = licenses.digest(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == ["MIT", "MIT", "BSD-2-Clause", "BSD-2-Clause,BSD-3-Clause", "GPL-3.0", "GPL-3.0", "Apache-2.0", "", "MIT"]
+    assert got[6].sentence_ids == "apache-2-the,apache-may,apache-copy,apache-as-is"
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><script>var x='</p>';</script></head><body><nav><a href=1>menu</a></nav><div class=ad>buy</div><article><h1>Head &amp; more</h1><p>One\n two &lt;b&gt;</p><p><b>Three.<br><p>Four</article><div class='comments'><p>Nice post!</p></div><footer>&copy; us</footer></body>"
     rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<")], "page_id long, url string, html string")
