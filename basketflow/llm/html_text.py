@@ -5,7 +5,8 @@ its ancestors (tags, and words of their class, id and role) and of its text. A t
 chain model, trained here on labelled pages by full-batch gradient ascent of the conditional
 likelihood, labels the blocks by Viterbi; the article's blocks are the main text.
 
-Scripts, styles, head, form controls and comments in the markup are no blocks. Defined
+Scripts, styles, head, form controls, comments in the markup and hidden elements are no blocks;
+hidden by an attribute of that name, aria-hidden="true" or display:none in style. Defined
 results: a null or empty page, and one without article blocks, has an empty text; broken
 markup is read as far as it goes (an unclosed tag is text); nothing is cut or dropped by size.
 """
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""", re.S)
 _ATTR = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_NAMED = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_MAY_HIDE = re.compile("hidden|display", re.I)
+_CSS_COMMENT = re.compile(r"/\*.*?\*/", re.S)
 #: HTML's element groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset("script style noscript template head title textarea select option button svg math iframe object canvas audio video datalist".split())
@@ -51,6 +54,23 @@ _TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "div", "bloc
 _SAYS = (("copyright", re.compile(r"©|\(c\)|all rights reserved|copyright", re.I)), ("asks", re.compile(r"\b(cookies?|subscribe|sign up|log in|newsletter|share this|accept|privacy policy|advertisement|sponsored)\b", re.I)), ("replies", re.compile(r"\b(repl(?:y|ies)|comments?|said:|wrote:)\b", re.I)))
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether a tag's attributes hide it; of attributes of one name the first counts, as in browsers."""
+    values: dict[str, str] = {}
+    for name, value in _NAMED.findall(attributes):
+        values.setdefault(name.lower(), html.unescape(value.strip("\"'")).strip().lower())
+    if values.get("hidden", "until-found") != "until-found" or values.get("aria-hidden") == "true":
+        return True
+    shown, fixed = "", False
+    for part in _CSS_COMMENT.sub("", values.get("style", "")).split(";"):
+        name, _, value = part.partition(":")
+        if name.strip() == "display":
+            value, mark, _ = value.partition("!")
+            if mark or not fixed:
+                shown, fixed = value.strip(), bool(mark)
+    return shown == "none"
+
+
 def blocks(page: str | None) -> list[tuple[str, list[str]]]:
     """(text, features) of a page's leaf blocks in order."""
     page = page or ""
@@ -113,7 +133,7 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
         for a in _ATTR.finditer(m[3]):
             for w in _WORD.findall(a[1].lower()):
                 roles.update(_ROLE_OF.get(w, ()))
-        skip = tag in SKIP or bool(m[3] and _HIDDEN.search(m[3]))
+        skip = tag in SKIP or bool(m[3] and _MAY_HIDE.search(m[3]) and _hidden(m[3]))
         gone += skip
         stack.append((tag, frozenset(roles), skip))
     end()

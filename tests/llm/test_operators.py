@@ -242,6 +242,15 @@ def test_html(spark):
     assert right / total > 0.9
 
 
+def test_html_hides_by_attributes_not_by_words():
+    shown = ['class="overflow-hidden"', 'style="overflow: hidden"', 'aria-hidden="false"', 'href="/hidden-gems"', 'title="a hidden gem"', "hidden=until-found", 'data-display="display:none"', 'style="display:none;display:block"', "data-hidden", 'class=x data-a="b>c hidden"', "href=/a/hidden"]
+    gone = ["hidden", 'class="x" hidden', 'HIDDEN=""', "hidden='hidden'", 'aria-hidden="true"', "aria-hidden=TRUE", 'style="color:red; display : none"', "style='DISPLAY:none !important;display:block'", "style=display:none", 'style="display:/* x */none"']
+    for attributes, there in [(x, True) for x in shown] + [(x, False) for x in gone]:
+        for tag in ("article", "p", "a"):
+            found = html_text.blocks(f"<body>a <{tag} {attributes}>text</{tag}> b</body>")
+            assert any("text" in x for x, _ in found) == there, attributes
+
+
 def test_spotsigs_next_and_likeness(spark):
     texts = ["the cat sat on a mat it was fine", "der Hund ist ein Tier und die Katze auch", "", None, "xyz", "the cat sat on a mat it was fine", "!!"]
     rows = docs(spark, texts)
