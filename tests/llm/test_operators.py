@@ -265,6 +265,24 @@ def test_spotsigs_next_and_likeness(spark):
     assert len(nxt) == 5000 and all(int(r.n) == (r.doc_id // 3 - 1) % 5000 for r in nxt)
 
 
+@pytest.mark.parametrize("least", [0.5, 0.75, 0.9])
+def test_spotsigs_near_pairs_are_brute_force(spark, least):
+    rng = random.Random(5)
+    texts = [None, "", "!!"]
+    for g in range(6):
+        base = [x for i in range(10 + 8 * g) for x in ("the", f"{rng.choice('abcdefgh')}ord{g}x{i}", f"thing{rng.randrange(40)}")]
+        texts += [" ".join(base)] * 2 + [edited(rng, base, rng.randrange(1, 7)) for _ in range(6)] + [" ".join(base[: len(base) * k // 10]) for k in (7, 8, 9)]
+    rows = docs(spark, texts)
+    sets = {}
+    for r in rows.select("doc_id", spotsigs.signatures(F.coalesce("text", F.lit(""))).alias("s")).orderBy("doc_id").collect():
+        if r.s:
+            sets.setdefault(frozenset(r.s), r.doc_id)
+    like = {tuple(sorted((sets[x], sets[y]))): len(x & y) / len(x | y) for x, y in combinations(sets, 2)}
+    want = {k: v for k, v in like.items() if v >= least}
+    got = [((r.a, r.b), r.likeness) for r in spotsigs.near_pairs(rows, least).collect()]
+    assert want and len(want) < len(like) and len(got) == len(want) and dict(got) == pytest.approx(want)
+
+
 def test_shingle_edges():
     got = dict(shingles.sets(pa.array([None, "", "a b c d e f", "A B", "a\tb", "é É"])))
     assert [len(got[i]) for i in range(6)] == [0, 0, 2, 1, 1, 1] and got[3].tolist() == got[4].tolist()
