@@ -5,10 +5,15 @@ its ancestors (tags, and words of their class, id and role) and of its text. A t
 chain model, trained here on labelled pages by full-batch gradient ascent of the conditional
 likelihood, labels the blocks by Viterbi; the article's blocks are the main text.
 
-Scripts, styles, head, form controls, comments in the markup and hidden elements are no blocks;
-hidden by an attribute of that name, aria-hidden="true" or display:none in style. Defined
+Markup is read in one pass whose time grows with the page's length whatever is in it. Scripts,
+styles, head, form controls, comments in the markup and hidden elements are no blocks;
+hidden by an attribute of that name, aria-hidden="true" or display:none in style. The ends of head,
+p, li and the like may be left out; an inline end tag closes nothing beyond its own block. Defined
 results: a null or empty page, and one without article blocks, has an empty text; broken
-markup is read as far as it goes (an unclosed tag is text); nothing is cut or dropped by size.
+markup is read as far as it goes: a < that begins no tag and an unclosed tag are text, an
+attribute's quote that is never closed is part of its value, a tag whose quotes hide every later > (and from there on
+every tag) ends at its first >; nothing is cut or dropped by size. Repeated rows come back each;
+columns beside page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -23,21 +28,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""", re.S)
-_ATTR = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_NAME = re.compile(r"[^\s/>]++")
+_SPACE = re.compile(r"[\s/]*+")
+_ATTRIBUTE = re.compile(r"=?[^\s/>=]*+")
+_VALUE = re.compile(r"\s*+=\s*+")
+_BARE = re.compile(r"[^\s>]*+")
 _WORD = re.compile(r"[a-z]+")
-_NAMED = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_MAY_HIDE = re.compile("hidden|display", re.I)
 _CSS_COMMENT = re.compile(r"/\*.*?\*/", re.S)
 #: HTML's element groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset("script style noscript template head title textarea select option button svg math iframe object canvas audio video datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-_CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+_ROW, _PART = frozenset(("tr", "td", "th")), frozenset(("tr", "td", "th", "tbody", "thead", "tfoot"))
+_CLOSES = {"li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": _ROW, "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "tbody": _PART, "thead": _PART, "tfoot": _PART}
 #: What words of tags, classes and ids say about what is below.
 ROLES = {
-    "nav": "nav navbar navigation menu menubar breadcrumb breadcrumbs toc pagination pager tabs",
+    "nav": "nav navbar navigation menu menubar breadcrumb breadcrumbs toc pagination pager tabs skip",
     "header": "header masthead banner topbar top logo",
     "footer": "footer foot bottom colophon copyright legal imprint",
     "aside": "aside sidebar side widget related recommended rail complementary teaser trending popular",
@@ -50,19 +58,24 @@ ROLES = {
     "content": "main content body text prose maincontent articlebody",
 }
 _ROLE_OF = {w: [r for r, ws in ROLES.items() if w in ws.split()] for ws in ROLES.values() for w in ws.split()}
+
+
+@lru_cache(maxsize=1 << 14)
+def _roles(word: str) -> tuple[str, ...]:
+    """Roles of a word, or of the longest known word of five letters or more that it begins with."""
+    return next((tuple(_ROLE_OF[word[:n]]) for n in (len(word), *range(min(len(word) - 1, 16), 4, -1)) if word[:n] in _ROLE_OF), ())
+
+
 _TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "div", "blockquote", "pre", "figcaption", "section", "article", "body", "dd", "dt")
 _SAYS = (("copyright", re.compile(r"©|\(c\)|all rights reserved|copyright", re.I)), ("asks", re.compile(r"\b(cookies?|subscribe|sign up|log in|newsletter|share this|accept|privacy policy|advertisement|sponsored)\b", re.I)), ("replies", re.compile(r"\b(repl(?:y|ies)|comments?|said:|wrote:)\b", re.I)))
 
 
-def _hidden(attributes: str) -> bool:
-    """Whether a tag's attributes hide it; of attributes of one name the first counts, as in browsers."""
-    values: dict[str, str] = {}
-    for name, value in _NAMED.findall(attributes):
-        values.setdefault(name.lower(), html.unescape(value.strip("\"'")).strip().lower())
-    if values.get("hidden", "until-found") != "until-found" or values.get("aria-hidden") == "true":
+def _hidden(values: dict[str, str]) -> bool:
+    """Whether a tag's attributes hide it."""
+    if values.get("hidden", "until-found").lower() != "until-found" or values.get("aria-hidden", "").lower() == "true":
         return True
     shown, fixed = "", False
-    for part in _CSS_COMMENT.sub("", values.get("style", "")).split(";"):
+    for part in _CSS_COMMENT.sub("", values.get("style", "").lower()).split(";"):
         name, _, value = part.partition(":")
         if name.strip() == "display":
             value, mark, _ = value.partition("!")
@@ -71,80 +84,178 @@ def _hidden(attributes: str) -> bool:
     return shown == "none"
 
 
+def _attributes(page: str, at: int, last: dict[str, int]) -> tuple[dict[str, str], int]:
+    """A tag's attributes from behind its name, of one name the first, and where the tag ends (-1: nowhere)."""
+    values: dict[str, str] = {}
+    size = len(page)
+    while True:
+        at = _SPACE.match(page, at).end()
+        if at >= size:
+            return values, -1
+        if page[at] == ">":
+            return values, at + 1
+        m = _ATTRIBUTE.match(page, at)
+        name, at, value = m[0].lower(), m.end(), ""
+        if eq := _VALUE.match(page, at):
+            at = eq.end()
+            quote = page[at : at + 1]
+            if quote in last and last[quote] > at:
+                end = page.index(quote, at + 1)
+                value, at = page[at + 1 : end], end + 1
+            else:
+                m = _BARE.match(page, at)
+                value, at = m[0], m.end()
+        if name not in values:
+            values[name] = html.unescape(value).strip()
+
+
+def tags(page: str):
+    """(start, end, name, whether it ends an element, attributes) of a page's tags in order; of a comment the name is empty."""
+    last = {q: page.rfind(q) for q in ("\"", "'")}
+    final, at, loose = page.rfind(">"), page.find("<"), False
+    while 0 <= at < final:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            yield at, (len(page) if end < 0 else end + 3), "", False, {}
+            at = len(page) if end < 0 else page.find("<", end + 3)
+            if at < 0 or end < 0:
+                return
+            continue
+        closes = page.startswith("/", at + 1)
+        first = page[at + 1 + closes : at + 2 + closes]
+        if first.isascii() and first.isalpha():
+            m = _NAME.match(page, at + 1 + closes)
+            values, end = (None, -1) if loose else _attributes(page, m.end(), last)
+            if end < 0:
+                loose, end = True, page.find(">", m.end()) + 1
+                values = values if values is not None and end <= 0 else _attributes(page[m.end() : end], 0, {})[0]
+            if end <= 0:
+                return
+            yield at, end, m[0].lower(), closes, values
+        elif closes or first in ("!", "?"):
+            end = page.find(">", at + 1) + 1
+            yield at, end, "", False, {}
+        else:
+            end = at + 1
+        at = page.find("<", end)
+
+
+class _Open:
+    """An open element: what is true of everything below it. inline: its open inline elements by name, if it is a block."""
+
+    __slots__ = ("inline", "near", "own", "roles", "skip", "tag")
+
+    def __init__(self, tag, roles, near, own, skip, inline):
+        self.tag, self.roles, self.near, self.own, self.skip, self.inline = tag, roles, near, own, skip, inline
+
+
+_PAGE = _Open("", frozenset(), "none", "none", False, None)
+
+
 def blocks(page: str | None) -> list[tuple[str, list[str]]]:
     """(text, features) of a page's leaf blocks in order."""
     page = page or ""
-    stack: list[tuple[str, frozenset, bool]] = []
+    stack: list[_Open] = []
+    frames: list[int] = []  # places of the blocks in the stack
+    count: dict[str, int] = {}  # open blocks by name
+    loose: dict[str, int] = {}  # open inline elements outside all blocks
     out: list[tuple[str, list[str]]] = []
     parts: list[str] = []
-    links, at, gone = 0, 0, 0  # gone: open elements that are skipped
+    links, at, gone, in_link, body = 0, 0, 0, False, False  # gone: open elements that are skipped
 
     def end() -> None:
         nonlocal links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, _features(text, stack, links / max(1, sum(map(len, parts))))))
+                out.append((text, _features(text, stack[-1] if stack else _PAGE, links / max(1, sum(map(len, parts))))))
             parts.clear()
             links = 0
 
     def pop(n: int) -> None:
         nonlocal gone
-        gone -= sum(x[2] for x in stack[n:])
-        del stack[n:]
+        while len(stack) > n:
+            x = stack.pop()
+            gone -= x.skip
+            if frames and frames[-1] == len(stack):
+                frames.pop()
+                count[x.tag] -= 1
+            else:
+                own = stack[frames[-1]].inline if frames else loose
+                own[x.tag] -= 1
 
-    size = len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else size]
+    def read(text: str) -> None:
+        nonlocal links
+        if text and stack and stack[-1].tag == "head" and not text.isspace():
+            pop(len(stack) - 1)
         if text and not gone:
             parts.append(text)
-            if any(x[0] == "a" for x in stack):
+            if in_link:
                 links += len(text)
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+
+    size = len(page)
+    for start, stop, tag, closes, values in tags(page):
+        if start < at:  # inside a script or the like
             continue
-        tag = m[2].lower()
+        read(page[at:start])
+        at = stop
         if tag in BLOCK:
             end()
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
+        if closes:
+            if tag == "a":
+                in_link = False
+            if tag in ("body", "html"):
+                continue
+            if tag in BLOCK or tag == "head":
+                if count.get(tag):
+                    pop(next(i for i in reversed(frames) if stack[i].tag == tag))
+            elif (stack[frames[-1]].inline if frames else loose).get(tag):
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
             continue
+        if not tag or tag == "html":
+            continue
+        if stack and stack[-1].tag == "head" and tag not in HEAD:
+            pop(len(stack) - 1)
         if tag in VOID:
             continue
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in _CLOSES.get(tag, ()) or (stack[i][0] == "p" and tag in BLOCK):
-                pop(i)
-                break
-            if stack[i][0] in BLOCK:
-                break
+        while frames and tag in BLOCK and ((x := stack[frames[-1]].tag) == "p" or x in _CLOSES.get(tag, ())):
+            pop(frames[-1])
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else size
-            continue
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(page, at)
+            if close or tag in ("script", "style"):
+                at = close.end() if close else size
+                continue
+        if tag == "a":
+            in_link = True
         if tag == "body":
+            if body:
+                continue
+            body = True
             pop(0)
         roles = set(_ROLE_OF.get(tag, ()))
-        for a in _ATTR.finditer(m[3]):
-            for w in _WORD.findall(a[1].lower()):
-                roles.update(_ROLE_OF.get(w, ()))
-        skip = tag in SKIP or bool(m[3] and _MAY_HIDE.search(m[3]) and _hidden(m[3]))
+        for k in ("class", "id", "role", "itemprop") if tag != "body" else ():
+            for w in _WORD.findall(values.get(k, "").lower()):
+                roles.update(_roles(w))
+        skip = tag in SKIP and tag not in RAW or tag == "head" or bool(values) and _hidden(values)
+        block = tag in BLOCK or tag == "head"
+        if not (block or roles or skip):
+            continue
+        above = stack[-1] if stack else _PAGE
+        if block:
+            frames.append(len(stack))
+            count[tag] = count.get(tag, 0) + 1
+        else:
+            own = stack[frames[-1]].inline if frames else loose
+            own[tag] = own.get(tag, 0) + 1
         gone += skip
-        stack.append((tag, frozenset(roles), skip))
+        stack.append(_Open(tag, above.roles if roles <= above.roles else above.roles | roles, min(roles) if roles else above.near, tag if block else above.own, skip, {} if block else None))
+    read(page[at:])
     end()
     return out
 
 
-def _features(text: str, stack: list, link: float) -> list[str]:
-    own = next((x[0] for x in reversed(stack) if x[0] in BLOCK), "none")
-    roles = set().union(*(x[1] for x in stack)) if stack else set()
-    near = next((r for x in reversed(stack) for r in sorted(x[1])), "none")
-    n = len(text)
+def _features(text: str, above: _Open, link: float) -> list[str]:
+    own, roles, near, n = above.own, above.roles, above.near, len(text)
     out = ["bias", f"tag:{own if own in _TAGS else 'other'}", f"near:{near}", *(f"in:{r}" for r in roles)]
     if not roles:
         out.append("in:nothing")
@@ -155,11 +266,11 @@ def _features(text: str, stack: list, link: float) -> list[str]:
     out.append(f"len:{0 if n < 25 else 1 if n < 80 else 2 if n < 250 else 3}")
     out.append(f"link:{0 if link == 0 else 1 if link < 0.5 else 2}")
     out.append(f"stop:{text[-1] in '.!?:;'}")
-    out += [f"says:{k}" for k, p in _SAYS if n < 400 and p.search(text)]
+    out += [f"says:{k}" for k, p in _SAYS if 300 * sum(1 for _ in p.finditer(text)) >= n]
     return out
 
 
-def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[str]]]:
+def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
     """Pages (html, texts of their article's blocks in order), made by rule in many layouts."""
     rng = random.Random(seed)
     syllables = [a + b for a in "b d f g k l m n p r s t v z th st".split() for b in "a e i o u en er an on".split()]
@@ -178,7 +289,8 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[str]]]:
         word = rng.choice(ROLES[kind].split())
         if tag not in ("div", "section") and rng.random() < 0.5:
             return f"<{tag}>{body}</{tag}>"
-        return f'<{rng.choice(["div", "div", "section", tag])} {rng.choice(["class", "id"])}="{rng.choice(["", "site-", "page "])}{word}">{body}</div>'.replace("</div>", "</div>", 1)
+        tag = rng.choice(["div", "div", "section", tag])
+        return f'<{tag} {rng.choice(["class", "id"])}="{rng.choice(["", "site-", "page "])}{word}">{body}</{tag}>'
 
     def other(kind: str) -> str:
         body = {
@@ -202,23 +314,34 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[str]]]:
         body = [f"<h1>{keep(words(2, 9).capitalize())}</h1>"] if rng.random() < 0.8 else []
         for _ in range(rng.randint(1, 14)):
             x = rng.random()
-            if x < 0.72:
+            if x < 0.42:
                 body.append(f"<p>{keep(sentence(1, 60))}" + rng.choice(["</p>", "</p>", ""]))
-            elif x < 0.8:
-                body.append(f"<h2>{keep(words(1, 6).capitalize())}</h2>")
-            elif x < 0.86:
-                body.append("<ul>" + "".join(f"<li>{keep(sentence(2, 12))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
-            elif x < 0.9:
+            elif x < 0.52:
+                one, two, three = sentence(1, 30), words(1, 8), rng.choice([sentence(1, 30), sentence(1, 6), "."])
+                one = one if rng.random() < 0.85 else ""
+                keep(f"{one} {two} {three}")
+                body.append(f"<p>{one} {rng.choice(['<a href=/x>', '<a href=/x>', '<em>', '<strong>', '<code>'])}{two}</a></em> {three}</p>")
+            elif x < 0.6:
+                body.append(f"<{(h := rng.choice(['h2', 'h2', 'h3', 'h4']))}>{keep(words(1, 6).capitalize())}</{h}>")
+            elif x < 0.68:
+                linked = rng.random() < 0.3
+                body.append((tag := rng.choice(["<ul>", "<ol>"])) + "".join("<li>" + ("<a href=/y>" if linked else "") + f"{keep(sentence(2, 12))}</a></li>" for _ in range(rng.randint(2, 5))) + f"</{tag[1:]}")
+            elif x < 0.71:
                 body.append(f"<blockquote><p>{keep(sentence(4, 30))}</p></blockquote>")
-            elif x < 0.93:
-                body.append(f"<table><tr><td>{keep(words(1, 3))}</td><td>{keep(words(1, 3))}</td></tr></table>")
-            elif x < 0.97:
+            elif x < 0.76:
+                rows = [[keep(words(1, 4)) for _ in range(2)] for _ in range(rng.randint(1, 4))]
+                body.append("<table>" + "".join("<tr>" + "".join(f"<{(c := rng.choice(['td', 'td', 'th']))}>{x}</{c}>" for x in r) + "</tr>" for r in rows) + "</table>")
+            elif x < 0.81:
+                terms = "".join(f"<dt>{keep(words(1, 3))}</dt><dd>{keep(sentence(2, 20))}</dd>" for _ in range(rng.randint(1, 3))) if rng.random() < 0.5 else ""
+                body.append(f"<dl>{terms}</dl>" if terms else rng.choice([lambda: f"<pre>{keep(words(2, 9))}</pre>", lambda: f"<figure><img src=z><figcaption>{keep(sentence(2, 12))}</figcaption></figure>"])())
+            elif x < 0.85:
                 body.append(f"<p><b>{keep(sentence(1, 8))}<br>")
             else:
-                body.append(other(rng.choice(["ad", "ad", "aside", "share", "form", "notice"])))
-        open_, close = rng.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main-content">', "</div>"), ('<div class="post-body">', "</div>"), ('<div class="entry">', "</div>"), ("<div>", "</div>"), ("", "")])
-        before = [other(k) for k in ("notice", "header", "nav", "form", "ad", "aside") if rng.random() < 0.5]
-        after = [other(k) for k in ("share", "comment", "aside", "ad", "form", "notice", "footer") if rng.random() < 0.45]
+                body.append(other(rng.choice(["ad", "ad", "aside", "share", "share", "form", "notice"])))
+        open_, close = rng.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main-content">', "</div>"), ('<div class="post-body">', "</div>"), ('<div class="entry">', "</div>"), ("<div>", "</div>"), ("<div>", "</div>"), ("", ""), ("", "")])
+        few = rng.choice([0.1, 0.5, 0.5])
+        before = [other(k) for k in ("notice", "header", "nav", "form", "ad", "aside") if rng.random() < few]
+        after = [other(k) for k in ("share", "comment", "aside", "ad", "form", "notice", "footer") if rng.random() < few]
         pages.append((f"<html><head><title>{words(2, 5)}</title></head><body>" + "".join([*before, open_, *body, close, *after]) + "</body></html>", own))
     return pages
 
