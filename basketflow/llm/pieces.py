@@ -1,16 +1,20 @@
 """SentencePiece encoding and decoding of a byte-fallback BPE model by suffix-array matching.
 
 The distinct space-delimited parts of a batch are concatenated and indexed by an array of their
-suffixes, sorted as far as the longest piece reaches. Every piece is found by binary search as
+suffixes, sorted as far as the longest piece reaches, INDEXED code points at a time (a longer part
+in blocks that overlap by the longest piece). Every piece is found by binary search as
 one range of that array; the ranges' suffixes are edges (position, length, piece), sorted by
 position. They are then relaxed in the model's order: in each part, again and again, the pair
-of neighbours whose joint edge has the best score (ties: the leftmost) becomes one, all parts at
-once. (The models of this kind join by score; the best sum over edges would be another
-segmentation.) Parts end before a run of spaces, which no piece crosses. A character without
+of neighbours whose joint edge has the best score (ties: the leftmost) becomes one. (The models of
+this kind join by score; the best sum over edges would be another segmentation.) All parts go at once; in
+a long one so do all pairs that are the best within the reach of the longest piece to both sides: a piece
+scores worse than those it is joined from, so nothing beyond can come before. Parts end before a run of spaces, which no piece crosses. A character without
 an edge becomes its UTF-8 bytes' pieces.
 
 Defined results: a null or empty text has no pieces and decodes to an empty text; U+2581
-decodes as a space, as in the model's own tools; texts of any length are encoded whole.
+decodes as a space, as in the model's own tools; texts of any length are encoded whole, in memory
+of some 60 bytes for each character of a part without spaces. Repeated rows come back each; a column
+that has the name of an added one is replaced by it.
 """
 
 from __future__ import annotations
@@ -27,10 +31,11 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Code points of distinct parts that are indexed together, and parts that a worker remembers.
+#: Code points of distinct parts that are indexed together, parts that a worker remembers, and the longest it does.
 INDEXED = 1 << 18
-REMEMBERED = 400_000
-_NONE = np.int64(1 << 40)
+REMEMBERED = 200_000
+SHORT = 32
+_NONE = np.int32((1 << 31) - 1)
 
 
 class Model:
@@ -54,13 +59,19 @@ class Model:
         if len(self.bytes) != 256 or any(SPACE in p.lstrip(SPACE) for p, _, _ in found):
             raise ValueError("the model needs byte pieces and pieces that have spaces at their start only")
         self.longest = max(len(p) for p, _, _ in found)
+        if self.longest > 31:
+            raise ValueError("a piece is longer than 31 characters")
+        self.powers = 2.0 ** np.arange(32)
+        self.lower = (self.powers - 1).astype(np.uint32)
         self.alphabet = np.array(sorted({ord(c) for p, _, _ in found for c in p}), np.uint32)
         self.width = int(len(self.alphabet) + 1).bit_length()
         scores = sorted({-s for _, _, s in found})
         rank = {s: k for k, s in enumerate(scores)}
         keys = self.keys(np.array([[ord(c) for c in p] + [0] * (self.longest - len(p)) for p, _, _ in found], np.uint32))
         over = self.keys(np.array([[ord(c) for c in p] + [0xFFFFFFFF] * (self.longest - len(p)) for p, _, _ in found], np.uint32))
-        self.pieces = (keys, over, np.array([len(p) for p, _, _ in found]), np.array([i for _, i, _ in found], np.int64), np.array([rank[-s] for _, _, s in found], np.int64))
+        self.pieces = (keys, over, np.array([len(p) for p, _, _ in found]), np.array([i for _, i, _ in found], np.int32))
+        self.ranks = np.full(sp.get_piece_size() + 1, _NONE, np.int32)  # by id; the last is no piece
+        self.ranks[self.pieces[3]] = [rank[-s] for _, _, s in found]
 
     def letters(self, cp: np.ndarray) -> np.ndarray:
         """Alphabet numbers from 1; 0 for characters outside, the largest for the code 0xFFFFFFFF."""
@@ -82,30 +93,44 @@ class Model:
             out.append(k)
         return out
 
-    def edges(self, cp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tables [position, length]: the piece there (-1: none) and its rank (less is joined sooner).
+    def edges(self, cp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edges sorted by position, then length: of each position the bits of their lengths and where its first is, and all edges' pieces.
 
         ends: of each position, the end of its part; no edge reaches beyond.
         """
-        n = len(cp)
-        letters = np.zeros(n + self.longest, np.uint64)
-        letters[:n] = self.letters(cp)
-        view = np.lib.stride_tricks.sliding_window_view(letters, self.longest)[:n]
-        keys = self.packed(view)
-        order = np.lexsort(keys[::-1])
-        low, high = self._range([k[order] for k in keys], self.pieces[0], "left"), self._range([k[order] for k in keys], self.pieces[1], "right")
-        many = np.maximum(high - low, 0)
-        piece = np.repeat(np.arange(len(many)), many)
-        at = order[np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
-        length = self.pieces[2][piece]
-        fits = at + length <= ends[at]
-        at, piece, length = at[fits], piece[fits], length[fits]
-        by = np.argsort(at, kind="stable")
-        at, piece, length = at[by], piece[by], length[by]
-        ids = np.full((n, self.longest + 1), -1, np.int32)
-        ranks = np.full((n, self.longest + 1), _NONE, np.int64)
-        ids[at, length], ranks[at, length] = self.pieces[3][piece], self.pieces[4][piece]
-        return ids, ranks
+        n, bits, ids = len(cp), [], []
+        for lo in range(0, n, INDEXED):
+            hi = min(n, lo + INDEXED)
+            letters = np.zeros(hi - lo + self.longest, np.uint64)
+            letters[: min(n, hi + self.longest) - lo] = self.letters(cp[lo : hi + self.longest])
+            keys = self.packed(np.lib.stride_tricks.sliding_window_view(letters, self.longest)[: hi - lo])
+            order = np.lexsort(keys[::-1])
+            keys = [k[order] for k in keys]
+            low, high = self._range(keys, self.pieces[0], "left"), self._range(keys, self.pieces[1], "right")
+            many = np.maximum(high - low, 0)
+            piece = np.repeat(np.arange(len(many), dtype=np.int32), many)
+            at = order[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            length = self.pieces[2][piece]
+            fits = at + lo + length <= ends[lo + at]
+            at, piece, length = at[fits], piece[fits], length[fits]
+            own = np.bincount(at, weights=self.powers[length], minlength=hi - lo).astype(np.uint32)
+            many = np.bitwise_count(own).astype(np.int64)  # a counting sort by position and length
+            place = np.empty(len(at), np.int32)
+            place[(np.cumsum(many) - many)[at] + np.bitwise_count(own[at] & self.lower[length])] = self.pieces[3][piece]
+            bits.append(own)
+            ids.append(place)
+        bits, ids = np.concatenate(bits or [np.zeros(0, np.uint32)]), np.concatenate(ids or [np.zeros(0, np.int32)])
+        many = np.bitwise_count(bits).astype(np.int64)
+        return bits, np.cumsum(many) - many, ids
+
+    def _looked_up(self, edges, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The pieces at these positions that are so long; -1 where there is none."""
+        bits, first, ids = edges
+        own, length = bits[at], length.astype(np.uint32)
+        there = np.flatnonzero(own >> length & np.uint32(1))
+        out = np.full(len(at), -1, np.int32)
+        out[there] = ids[first[at[there]] + np.bitwise_count(own[there] & self.lower[length[there]])]
+        return out
 
     @staticmethod
     def _range(sorted_keys, wanted, side):
@@ -123,20 +148,41 @@ class Model:
             lo, hi = np.where(go, mid + 1, lo), np.where(open_ & ~go, mid, hi)
         return lo
 
+    def _pairs(self, edges, start, end, part) -> np.ndarray:
+        """Of each token with the next one of its part: the rank of the piece they make."""
+        out = np.full(len(start), _NONE, np.int32)
+        ok = np.flatnonzero((part[1:] == part[:-1]) & (end[1:] - start[:-1] <= self.longest))
+        out[ok] = self.ranks[self._looked_up(edges, start[ok], end[ok + 1] - start[ok])]
+        return out
+
+    def _safe(self, pair: np.ndarray) -> np.ndarray:
+        """Pairs that nothing in reach comes before; of pairs of one rank in a row every second from the first on."""
+        least, width = pair.copy(), 1
+        while width <= self.longest:  # the least of each 2 * longest + 1 or more around
+            step = min(width, self.longest + 1 - width) or 1
+            wider = least.copy()
+            np.minimum(wider[step:], least[:-step], out=wider[step:])
+            np.minimum(wider[:-step], least[step:], out=wider[:-step])
+            least, width = wider, width + step
+        good = (pair == least) & (pair < _NONE)
+        first = np.ones(len(pair), bool)
+        first[1:] = pair[1:] != pair[:-1]
+        place = np.arange(len(pair))
+        run = np.maximum.accumulate(np.where(first, place, 0))
+        bad = np.maximum.accumulate(np.where(good, -1, place))  # the last one before that is not safe
+        return np.flatnonzero(good & (bad < run) & ((place - run) % 2 == 0))
+
     def encoded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all parts in order, and how many each has."""
         lengths = np.array([len(p) for p in parts], np.int64)
         cp = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
         stops = np.cumsum(lengths)
-        own = np.repeat(np.arange(len(parts)), lengths)
-        ids, ranks = self.edges(cp, stops[own])
-        start, end, part = np.arange(len(cp)), np.arange(1, len(cp) + 1), own
+        part = np.repeat(np.arange(len(parts)), lengths)
+        edges = self.edges(cp, stops[part])
+        start, end = np.arange(len(cp)), np.arange(1, len(cp) + 1)
+        pair = self._pairs(edges, start, end, part)
         done_s, done_e = [], []
         while len(start):
-            pair = np.full(len(start), _NONE)
-            long = np.minimum(end[1:] - start[:-1], self.longest + 1)
-            ok = (part[1:] == part[:-1]) & (long <= self.longest)
-            pair[:-1][ok] = ranks[start[:-1][ok], long[ok]]
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             best = np.minimum.reduceat(pair, first)
             many = np.diff(np.append(first, len(start)))
@@ -146,27 +192,33 @@ class Model:
                 done_e.append(end[~live])
             at = np.flatnonzero(live & (pair == np.repeat(best, many)))
             at = at[np.concatenate([[True], part[at][1:] != part[at][:-1]])] if len(at) else at
+            if many.max() > 2 * self.longest:
+                at = np.union1d(at, self._safe(pair))
             end[at] = end[at + 1]
             live[at + 1] = False
-            start, end, part = start[live], end[live], part[live]
+            changed = np.zeros(len(start), bool)
+            changed[at] = True
+            changed[at[at > 0] - 1] = True
+            changed[np.maximum(at - 2, 0)[~live[np.maximum(at - 1, 0)]]] = True  # the one before, where the token between has gone
+            start, end, part, pair, changed = start[live], end[live], part[live], pair[live], np.flatnonzero(changed[live])
+            if len(start):
+                both = np.minimum(changed + 1, len(start) - 1)
+                ok = (part[both] == part[changed]) & (both > changed) & (end[both] - start[changed] <= self.longest)
+                pair[changed] = _NONE
+                pair[changed[ok]] = self.ranks[self._looked_up(edges, start[changed[ok]], end[both[ok]] - start[changed[ok]])]
         s, e = np.concatenate(done_s), np.concatenate(done_e)
         by = np.argsort(s)
         s, e = s[by], e[by]
-        got = ids[s, e - s].astype(np.int64)
+        got = self._looked_up(edges, s, e - s).astype(np.int64)
         if (missing := np.flatnonzero(got < 0)).size:
+            raw = [chr(c).encode("utf-8", "surrogatepass") for c in cp[s[missing]].tolist()]
             counts = np.ones(len(s), np.int64)
-            pieces = {int(i): [self.bytes[b] for b in chr(int(cp[s[i]])).encode("utf-8", "surrogatepass")] for i in missing}
-            for i, v in pieces.items():
-                counts[i] = len(v)
+            counts[missing] = [len(x) for x in raw]
             at = np.concatenate([[0], np.cumsum(counts)])
             flat = np.repeat(got, counts)
-            for i, v in pieces.items():
-                flat[at[i] : at[i] + len(v)] = v
-            cuts = at[np.searchsorted(s, stops)]
-            got = flat
-        else:
-            cuts = np.searchsorted(s, stops)
-        return got.astype(np.int32), np.diff(cuts, prepend=0)
+            flat[flat < 0] = [self.bytes[b] for x in raw for b in x]
+            return flat.astype(np.int32), np.diff(at[np.searchsorted(s, stops)], prepend=0)
+        return got.astype(np.int32), np.diff(np.searchsorted(s, stops), prepend=0)
 
     def decoded(self, ids: np.ndarray) -> str:
         """The text of piece ids; control pieces are left out, bytes that are no UTF-8 become U+FFFD each."""
@@ -224,32 +276,39 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.ids) > REMEMBERED:
             self._empty()
-        rows, new, ids = [], [], self.ids
+        rows, new, ids, long = [], [], self.ids, []
         for t in texts:
             row = []
             for p in _PART.findall(SPACE + t.replace(" ", SPACE)) if t else ():
                 i = ids.get(p)
                 if i is None:
-                    i = ids[p] = len(ids)
-                    new.append(p)
+                    if len(p) > SHORT:  # not remembered
+                        long.append(p)
+                        i = -len(long)
+                    else:
+                        i = ids[p] = len(ids)
+                        new.append(p)
                 row.append(i)
             rows.append(np.array(row, np.int64))
-        flat, sizes, at = [self.flat], [self.sizes], 0
-        while at < len(new):
+        got = [self._indexed(new), self._indexed(long)]
+        self.flat, self.sizes = (np.concatenate([a, *(x[i] for x in got[0])]) for i, a in enumerate((self.flat, self.sizes)))
+        flat, sizes = (np.concatenate([a, *(x[i] for x in got[1])]) for i, a in enumerate((self.flat, self.sizes))) if long else (self.flat, self.sizes)
+        starts, out = np.cumsum(sizes) - sizes, []
+        for row in rows:
+            row = np.where(row < 0, len(self.sizes) - 1 - row, row)
+            many = sizes[row]
+            out.append(flat[np.repeat(starts[row] - (np.cumsum(many) - many), many) + np.arange(many.sum())])
+        return out
+
+    def _indexed(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        out, at = [], 0
+        while at < len(parts):
             to, size = at, 0
-            while to < len(new) and (to == at or size < INDEXED):
-                size += len(new[to])
+            while to < len(parts) and (to == at or size < INDEXED):
+                size += len(parts[to])
                 to += 1
-            got, many = self.model.encoded(new[at:to])
-            flat.append(got)
-            sizes.append(many)
+            out.append(self.model.encoded(parts[at:to]))
             at = to
-        self.flat, self.sizes = np.concatenate(flat), np.concatenate(sizes)
-        starts = np.cumsum(self.sizes) - self.sizes
-        out = []
-        for row in rows:
-            many = self.sizes[row]
-            out.append(self.flat[np.repeat(starts[row] - (np.cumsum(many) - many), many) + np.arange(many.sum())])
         return out
 
 
