@@ -1,14 +1,17 @@
 """Chat formatting: records of many layouts become canonical turns and one training string.
 
 A record is a JSON text or a struct. Its nested field paths, without value types, are hashed; the
-hash selects a declarative mapping (LAYOUTS) that reads the turns. The template writes a turn as
+hash selects a declarative mapping (LAYOUTS) that reads the turns. A struct with just the fields of one
+layout is of that layout; in another struct a record's fields are those that are not null, so that one
+column holds records of many layouts. The template writes a turn as
 ``### role: text</turn>\n`` with every backslash, ``#`` and ``</`` inside a text escaped by a
 backslash, so neither marker can occur inside a text and the text reads back unchanged.
 
 Defined results: a null text or role is empty; a null, empty or malformed record and one of
 an unknown layout has no turns (layout null) and an empty string; fields beside a layout's own
 make another fingerprint unless the mapping lists them as optional; rows of one conversation
-with the same turn number follow in order of role, then text; repeated rows stay. Structs have no
+with the same turn number follow in order of role, then text, null turns first; repeated rows stay;
+a column that has the name of an added one is replaced by it, and the other columns stay. Structs have no
 limit but that of one value (2 GB, beyond which Spark fails); a JSON object that is too large for
 Spark's parsers is an error, never an empty result.
 """
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 END = "</turn>\n"
 TURNS = "array<struct<role:string,text:string>>"
@@ -96,11 +99,23 @@ def fingerprint(record: Column) -> Column:
 
 def struct_paths(kind: StructType) -> tuple[str, ...]:
     """Field paths of a record that is a struct, as in Layout."""
-    out: list[str] = []
-    for f in kind.fields:
-        inner = f.dataType.elementType if isinstance(f.dataType, ArrayType) else None
-        out += [f"{f.name}[].{x}" for x in inner.names] if isinstance(inner, StructType) else [f.name]
-    return tuple(out)
+    return tuple(p for f in kind.fields for p in _paths(f))
+
+
+def _paths(f: StructField) -> list[str]:
+    inner = f.dataType.elementType if isinstance(f.dataType, ArrayType) else None
+    return [f"{f.name}[].{x}" for x in inner.names] if isinstance(inner, StructType) else [f.name]
+
+
+def _present(record: str, kind: StructType) -> Column:
+    """Fingerprint of a struct's fields that are not null."""
+    parts = [F.when(F.col(f"`{record}`.`{f.name}`").isNotNull(), _shape(tuple(_paths(f)))[len("OBJECT<") : -1]) for f in sorted(kind.fields, key=lambda f: f.name)]
+    return F.sha2(F.concat(F.lit("OBJECT<"), F.concat_ws(", ", *parts), F.lit(">")), 256)
+
+
+def _added(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with these columns, all worked out from df as it is."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in columns), *(v.alias(k) for k, v in columns.items()))
 
 
 def escaped(text: Column) -> Column:
@@ -117,25 +132,26 @@ def canonical(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...]
     by = fingerprints(layouts)
     kind = df.schema[record].dataType
     if isinstance(kind, StructType):
-        key = hashlib.sha256(_shape(struct_paths(kind)).encode()).hexdigest()
-        there, x, none = F.col(record).isNotNull(), by.get(key), F.expr(f"cast(array() as {TURNS})")
-        df = df.withColumn("fingerprint", F.when(there, key)).withColumn("layout", F.when(there, F.lit(x.name if x else None).cast("string"))).withColumn("r", F.col(record))
-        return df.withColumn("turns", F.coalesce(F.when(there, F.expr(x.turns).cast(TURNS)), none) if x else none).drop("r")
-    df = df.withColumn("fingerprint", fingerprint(F.col(record)))
+        there = F.col(f"`{record}`").isNotNull()
+        fixed = hashlib.sha256(_shape(struct_paths(kind)).encode()).hexdigest()
+        key = F.when(there, F.lit(fixed) if fixed in by else _present(record, kind))
+        top = lambda x: {p.partition("[].")[0] for p in x.paths}
+        layouts = tuple(x for x in layouts if top(x) <= set(kind.names))
+        read = lambda x: f"`{record}`"
+    else:
+        key = fingerprint(F.col(f"`{record}`"))
+        read = lambda x: f"from_json(`{record}`, '{x.schema}', map('maxStringLen', '{_ANY_LENGTH['maxStringLen']}'))"
     name, turns = F.lit(None).cast("string"), F.expr(f"cast(array() as {TURNS})")
     for x in layouts:
-        own = F.col("fingerprint").isin([k for k, v in by.items() if v is x])
+        own = key.isin([k for k, v in by.items() if v is x])
         name = F.when(own, F.lit(x.name)).otherwise(name)
-        df = df.withColumn("r", F.from_json(record, x.schema, _ANY_LENGTH)).withColumn(f"turns_{x.name}", F.when(own, F.expr(x.turns)))
-    df = df.withColumn("layout", name).withColumn("turns", F.coalesce(*(f"turns_{x.name}" for x in layouts), turns))
-    return df.drop("r", *(f"turns_{x.name}" for x in layouts))
+        turns = F.when(own, F.expr(f"transform(array({read(x)}), r -> {x.turns})[0]").cast(TURNS)).otherwise(turns)
+    return _added(df, fingerprint=key, layout=name, turns=F.coalesce(turns, F.expr(f"cast(array() as {TURNS})")))
 
 
 def formatted(df: DataFrame) -> DataFrame:
     """Adds formatted and loss_spans (start, end in code points of formatted) to rows with turns."""
     parts = F.transform("turns", lambda t: F.struct(F.concat(F.lit("### "), F.replace(escaped(t["role"]), F.lit(":"), F.lit("\\:")), F.lit(": ")).alias("head"), escaped(t["text"]).alias("body"), t["role"].alias("role")))
-    df = df.withColumn("parts", parts)
-    df = df.withColumn("formatted", F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), ""))
     none = F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int>>))")
 
     def step(acc, p):
@@ -144,7 +160,8 @@ def formatted(df: DataFrame) -> DataFrame:
         own = F.when(p["role"] == "assistant", F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
         return F.struct((end + len(END)).alias("at"), F.concat(acc["spans"], own).alias("spans"))
 
-    return df.withColumn("loss_spans", F.aggregate("parts", none, step)["spans"]).drop("parts")
+    whole = F.array_join(F.transform(parts, lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
+    return _added(df, formatted=whole, loss_spans=F.aggregate(parts, none, step)["spans"])
 
 
 def read_back(text: Column) -> Column:
@@ -155,11 +172,24 @@ def read_back(text: Column) -> Column:
 
 
 def records(conversations: DataFrame) -> DataFrame:
-    """One record (struct) of the messages layout for each conv_id of rows (conv_id, turn, role, text)."""
+    """One record for each conv_id of rows (conv_id, turn, role, text), in the narrowest layout that holds its roles.
+
+    system, user and assistant in this order (system not empty), and user and assistant, are one field
+    each; longer ones of user and assistant alone are a list of `from` and `value`; all others are messages.
+    """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    messages = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
-    return rows.groupBy("conv_id").agg(F.struct(messages.alias("messages")).alias("record"))
+    t = F.col("t")
+    roles = F.transform(t, lambda x: x["role"])
+    is_ = lambda *names: roles == F.array(*map(F.lit, names))
+    three, two = is_("system", "user", "assistant") & (t[0]["text"] != ""), is_("user", "assistant")
+    pair = ~three & ~two & F.forall(roles, lambda r: r.isin("user", "assistant"))
+    text = lambda i: F.get(t, i)["text"]
+    record = F.struct(
+        F.when(~three & ~two & ~pair, F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))).alias("messages"),
+        F.when(pair, F.transform(t, lambda x: F.struct(F.when(x["role"] == "user", "human").otherwise("gpt").alias("from"), x["text"].alias("value")))).alias("conversations"),
+        F.when(three, text(0)).alias("system"), F.when(three, text(1)).when(two, text(0)).alias("prompt"), F.when(three, text(2)).when(two, text(1)).alias("response"),
+    )
+    return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t")).select("conv_id", record.alias("record"))
 
 
 def digest(df: DataFrame) -> DataFrame:
