@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketflow.llm import chat, decontaminate, html_text, jaccard, langid, licenses, pieces, rollup, secrets, spotsigs
-from basketflow.llm.store import shared_dir, table
+from basketflow.llm.store import shared_dir, table, written
 
 CONTROL = "\\### Assistant: </turn> ok"
 
@@ -32,11 +32,18 @@ def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One batch of inserts, committed twice: the second time adds nothing."""
-    counts = rollup.inserts(rollup.counted(table(spark, sf_dir, "documents")))
+    """All documents inserted, counted anew by another tokenizer and revised, those without tokens deleted; each batch committed twice, which adds nothing, and the first ones compacted."""
+    both = written(rollup.recounted(table(spark, sf_dir, "documents"), (rollup.DEFAULT_RANKS, rollup.MANY_RANKS)), "counts")
+    old = both.select("source", "lang", F.lit(rollup.VERSION).alias("tokenizer_version"), F.col("n_tokens_0").alias("n_tokens"))
+    new = both.select("source", "lang", F.lit(rollup.MANY_VERSION).alias("tokenizer_version"), F.col("n_tokens_1").alias("n_tokens"), "n_tokens_0")
     kept = rollup.Rollup(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
-    for _ in range(2):
-        kept.commit("documents", counts)
+    before = {"source": F.col("source"), "lang": F.col("lang"), "tokenizer_version": F.lit(rollup.VERSION), "n_tokens": F.col("n_tokens_0")}
+    batches = {"documents": rollup.changes(old, "insert"), "tokenizer": rollup.changes(new, "revise", **before), "empty": rollup.changes(new.where("n_tokens = 0"), "delete")}
+    for name, changed in batches.items():
+        for _ in range(2):
+            kept.commit(name, changed)
+        if name == "tokenizer":
+            kept.compact()
     return kept.totals()
 
 
