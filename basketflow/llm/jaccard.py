@@ -18,7 +18,8 @@ MOST_FREQUENT shingles at most, which bounds it at any size. The order affects c
 never the result.
 
 Defined results: a text without words has no shingles and is its own component; a null doc_id
-never names a component unless it is alone; repeated rows come back as often as they are there.
+never names a component unless it is alone; repeated rows come back as often as they are there,
+and rows of one doc_id with different texts are judged each; columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +42,12 @@ LEAST_FREQUENT = 8
 LEVELS = 8
 #: Cost of verifying a candidate's shingle against that of reading one list entry.
 VERIFY = 0.05
+#: Shingles of a range of hashes that one task holds, and the most bits that name a range (for some 3e13 shingles).
+RANGE = 1 << 21
+MOST_BITS = 24
 _FLUSH = 1 << 20
+#: Classes of a list that meet those of another block of it in one task.
+BLOCK = 1 << 12
 
 
 def _need(n, percent: int):
@@ -53,15 +59,16 @@ def _classes(percent: int):
         for b in batches:
             got = [(len(s), shingles.set_key(s) if len(s) else 0) for _, s in shingles.sets(b.column(1))]
             n, k = zip(*got, strict=True) if got else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.int64())], ["doc_id", "n_shingles", "k"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), b.column(2)], ["doc_id", "n_shingles", "k", "h"])
 
     return run
 
 
-def _cut(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted tokens: where each of 2**bits ranges starts, and the next 32 bits of each token."""
-    starts = np.searchsorted(tokens, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    return np.append(starts, len(tokens)), ((tokens << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+def _cut(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted tokens: the ranges of 2**bits that have any, where each starts (and the end), and the next 32 bits of each token."""
+    r = (tokens >> np.uint64(64 - bits)).astype(np.int32)
+    starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    return r[starts], np.append(starts, len(tokens)), ((tokens << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -79,10 +86,9 @@ def _counted(bits: int):
 
     def rows(tokens: list[np.ndarray]):
         u, c = np.unique(np.concatenate(tokens) >> np.uint64(32 - bits) << np.uint64(32 - bits), return_counts=True)
-        starts, low = _cut(u, bits)
-        c = np.minimum(c, 65535).astype(np.uint16)
-        r = [x for x in range(1 << bits) if starts[x] < starts[x + 1]]
-        blobs = [struct.pack("<I", starts[x + 1] - starts[x]) + _planes(low[starts[x] : starts[x + 1]]) + _planes(c[starts[x] : starts[x + 1]]) for x in r]
+        r, starts, low = _cut(u, bits)
+        c = c.astype(np.uint32)
+        blobs = [struct.pack("<I", b - a) + _planes(low[a:b]) + _planes(c[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(blobs, pa.binary())], ["r", "blob"])
 
     def run(batches):
@@ -91,7 +97,7 @@ def _counted(bits: int):
             for _, s in shingles.sets(b.column(0)):
                 held.append(s)
                 size += len(s)
-                if size >= 4 * _FLUSH:
+                if size >= max(4 * _FLUSH, 1 << bits):
                     yield rows(held)
                     held, size = [], 0
         if size:
@@ -106,7 +112,7 @@ def _frequent(bits: int, least: int):
         for blob in table.column("blob").to_pylist():
             n = struct.unpack_from("<I", blob)[0]
             low.append(_unplanes(blob[4 : 4 + 4 * n], np.uint32))
-            count.append(_unplanes(blob[4 + 4 * n :], np.uint16))
+            count.append(_unplanes(blob[4 + 4 * n :], np.uint32))
         u, at = np.unique(np.concatenate(low), return_inverse=True)
         df = np.bincount(at, weights=np.concatenate(count)).astype(np.int64)
         keep = df >= least
@@ -154,16 +160,13 @@ def _prefixes(bits: int, frequent, percent: int):
         at = np.repeat(np.arange(len(held), dtype=np.uint32), [len(t) for t in tokens])
         t, lev = np.concatenate(tokens), np.concatenate(levels)
         order = np.argsort(t, kind="stable")
-        starts, low = _cut(t[order], bits)
+        r, starts, low = _cut(t[order], bits)
         at, lev = at[order], lev[order]
         k, n, lv, cen = np.array(keys, np.int64), np.array(ns, np.uint32), np.array(ls, np.uint8), np.array(cs, np.uint8)
-        r, blobs = [], []
-        for x in range(1 << bits):
-            a, b = starts[x], starts[x + 1]
-            if a < b:
-                u, own = np.unique(at[a:b], return_inverse=True)
-                r.append(x)
-                blobs.append(struct.pack("<II", b - a, len(u)) + k[u].tobytes() + n[u].tobytes() + lv[u].tobytes() + cen[u].tobytes() + _planes(low[a:b]) + _planes(own.astype(np.uint32)) + lev[a:b].tobytes())
+        blobs = []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            u, own = np.unique(at[a:b], return_inverse=True)
+            blobs.append(struct.pack("<II", b - a, len(u)) + k[u].tobytes() + n[u].tobytes() + lv[u].tobytes() + cen[u].tobytes() + _planes(low[a:b]) + _planes(own.astype(np.uint32)) + lev[a:b].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(blobs, pa.binary())], ["r", "blob"])
 
     def run(batches):
@@ -254,7 +257,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int,
     """Pairs (a, b) of classes with the size of their intersection and whether they link, from whole texts."""
     pairs = written(pairs.select("a", "b"), name)
     used = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-    texts = docs.join(reps.join(used, "k"), "doc_id").groupBy("k").agg(F.min_by("text", "doc_id").alias("text"))
+    texts = docs.join(reps.join(used, "k"), ["doc_id", "h"]).groupBy("k").agg(F.min("text").alias("text"))
     texts = written(texts, f"{name}-texts")
     both = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
     out = written(both.select("a", "b", "ta", "tb").mapInArrow(_similar(percent), "a long, b long, both long, linked boolean"), "links")
@@ -284,17 +287,20 @@ def _crossing(own: DataFrame, percent: int) -> DataFrame:
     make pairs for classes that share many others. Where both were compared with one
     pivot (pa = pb, ia and ib in common with it), they share at most the smaller of what they
     have in the pivot and the smaller of what they have beside it. All this is in the
-    condition of the join.
+    condition of the join. A list of many classes is dealt out in blocks, each of which meets each.
     """
     mine = Window.partitionBy("k")
     own = own.withColumn("rest", F.count("*").over(mine) - F.row_number().over(mine.orderBy("size", "t")))
-    left, right = (own.select("t", F.col("k").alias(x), *(F.col(y).alias(y + x) for y in ("n", "l", "c", "p", "i", "rest"))) for x in "ab")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    mine, all_ = F.pmod(F.hash("k"), blocks), F.explode(F.sequence(F.lit(0), blocks - 1))
+    sides = zip("ab", ((mine, all_), (all_, mine)), strict=True)
+    left, right = (own.select("t", i.alias("u"), j.alias("v"), F.col("k").alias(x), *(F.col(y).alias(y + x) for y in ("n", "l", "c", "p", "i", "rest"))) for x, (i, j) in sides)
     beyond = F.greatest(*(F.expr(f"(n{x} * {percent}L + 99) div 100 - l{x}") for x in "ab"))
     least = F.expr(f"((na + nb) * {percent}L + {99 + percent}) div {100 + percent}")
     most = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     pivoted = F.coalesce((F.col("pa") == F.col("pb")) & (most < least), F.lit(False))
     must = F.greatest(F.least("la", "lb"), least - beyond)
-    met = (left.t == right.t) & (F.col("ca") < F.col("cb")) & _near(percent) & (F.least("resta", "restb") + 1 >= must) & ~pivoted
+    met = (left.t == right.t) & (left.u == right.u) & (left.v == right.v) & (F.col("ca") < F.col("cb")) & _near(percent) & (F.least("resta", "restb") + 1 >= must) & ~pivoted
     return left.join(right, met).select("a", "b").distinct()
 
 
@@ -308,15 +314,16 @@ def _pivots(star: DataFrame, classes: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, percent: int = NEED, most_frequent: int = MOST_FREQUENT) -> DataFrame:
     """documents (doc_id, text) to (doc_id, n_shingles, component_id): one row per row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     spark = docs.sparkSession
-    one = written(docs.mapInArrow(_classes(percent), "doc_id long, n_shingles long, k long"), "classes")
+    one = written(docs.mapInArrow(_classes(percent), "doc_id long, n_shingles long, k long, h long"), "classes")
     total = one.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = min(16, max(4, int(total // (1 << 21)).bit_length()))
-    reps = one.where("n_shingles > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("doc_id"))
+    bits = min(MOST_BITS, max(4, int(total // RANGE).bit_length()))
+    reps = one.where("n_shingles > 0 and doc_id is not null").groupBy("k").agg(F.min(F.struct("doc_id", "h")).alias("d")).select("k", "d.*")  # rows of one id may differ
     frequent = spark.sparkContext.broadcast(_frequencies(docs, total, bits, most_frequent))
     blobs = docs.select("text").mapInArrow(_prefixes(bits, frequent, percent), "r int, blob binary")
     lists = written(blobs.groupBy("r").applyInArrow(_lists(percent), _LISTS), "lists")
+    frequent.destroy()
     star = lists.where("k <> lk").select(F.col("lk").alias("a"), F.col("ln").alias("na"), F.col("ll").alias("la"), F.col("llev").alias("leva"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("lev").alias("levb"))
     links = _verified(_matched(star, percent), reps, docs, percent, "star")
     labels = components(links.where("linked"))
@@ -331,7 +338,7 @@ def join(docs: DataFrame, percent: int = NEED, most_frequent: int = MOST_FREQUEN
     labels = labels.unionByName(higher.join(labels, "k", "left_anti").select("k", F.col("k").alias("c")))
     labels = labels.join(higher.select(F.col("k").alias("c"), F.col("c").alias("top")), "c", "left").select("k", F.coalesce("top", "c").alias("c"))
     named = reps.join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
-    least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    least = written(named.groupBy("c").agg(F.min("doc_id").alias("component_id")).where("c is not null"), "names")  # a table of its own, so that the join can split a large component
     named = named.join(least, "c").select("k", "component_id")
     for x in (lists, own, links, more):
         forget(x)
