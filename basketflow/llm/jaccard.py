@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from basketflow.llm import shingles
 from basketflow.llm.components import components
-from basketflow.llm.store import forget, written
+from basketflow.llm.store import held, written
 
 NEED = 75
 MOST_FREQUENT = 1 << 20
@@ -125,14 +125,14 @@ def _frequent(bits: int, least: int):
 def _frequencies(docs: DataFrame, total: int, bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent tokens, at most so many, and their document frequencies."""
     blobs = docs.select("text").mapInArrow(_counted(bits), "r int, blob binary")
-    found = written(blobs.groupBy("r").applyInArrow(_frequent(bits, LEAST_FREQUENT), "token long, df long"), "frequent")
+    found = held(blobs.groupBy("r").applyInArrow(_frequent(bits, LEAST_FREQUENT), "token long, df long"))
     sizes = {x["b"]: x["n"] for x in found.groupBy(F.floor(F.log2("df")).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}
     least, n = 64, 0
     while least - 1 in range(64) and n + sizes.get(least - 1, 0) <= most:
         least -= 1
         n += sizes.get(least, 0)
     got = found.where(F.col("df") >= (1 << least)).toArrow() if n else None
-    forget(found)
+    found.unpersist()
     if got is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     token, df = got.column("token").to_numpy().view(np.uint64), got.column("df").to_numpy()
@@ -253,16 +253,14 @@ def _similar(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
-    """Pairs (a, b) of classes with the size of their intersection and whether they link, from whole texts."""
-    pairs = written(pairs.select("a", "b"), name)
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, keep: list[DataFrame]) -> DataFrame:
+    """Pairs (a, b) of classes with the size of their intersection and whether they link, from whole texts; adds what it holds to keep."""
+    pairs = held(pairs.select("a", "b"))
     used = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-    texts = docs.join(reps.join(used, "k"), ["doc_id", "h"]).groupBy("k").agg(F.min("text").alias("text"))
-    texts = written(texts, f"{name}-texts")
+    texts = held(docs.join(reps.join(used, "k"), ["doc_id", "h"]).groupBy("k").agg(F.min("text").alias("text")))
     both = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
-    out = written(both.select("a", "b", "ta", "tb").mapInArrow(_similar(percent), "a long, b long, both long, linked boolean"), "links")
-    forget(texts)
-    forget(pairs)
+    out = held(both.select("a", "b", "ta", "tb").mapInArrow(_similar(percent), "a long, b long, both long, linked boolean"))
+    keep += [pairs, texts, out]
     return out
 
 
@@ -322,24 +320,25 @@ def join(docs: DataFrame, percent: int = NEED, most_frequent: int = MOST_FREQUEN
     reps = one.where("n_shingles > 0 and doc_id is not null").groupBy("k").agg(F.min(F.struct("doc_id", "h")).alias("d")).select("k", "d.*")  # rows of one id may differ
     frequent = spark.sparkContext.broadcast(_frequencies(docs, total, bits, most_frequent))
     blobs = docs.select("text").mapInArrow(_prefixes(bits, frequent, percent), "r int, blob binary")
-    lists = written(blobs.groupBy("r").applyInArrow(_lists(percent), _LISTS), "lists")
-    frequent.destroy()
+    lists = held(blobs.groupBy("r").applyInArrow(_lists(percent), _LISTS))
+    keep = [lists]
     star = lists.where("k <> lk").select(F.col("lk").alias("a"), F.col("ln").alias("na"), F.col("ll").alias("la"), F.col("llev").alias("leva"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("lev").alias("levb"))
-    links = _verified(_matched(star, percent), reps, docs, percent, "star")
+    links = _verified(_matched(star, percent), reps, docs, percent, keep)
     labels = components(links.where("linked"))
     pivots = _pivots(links, one)
     own = lists.select(F.col("b").alias("t"), "k", "n", "l").join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
     mixed = own.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("t", "size")
-    own = written(own.join(mixed, "t").join(pivots, "k", "left"), "mixed")
-    cross = _crossing(own, percent)
-    more = _verified(cross, reps, docs, percent, "cross")
+    own = held(own.join(mixed, "t").join(pivots, "k", "left"))
+    more = _verified(_crossing(own, percent), reps, docs, percent, keep)
     joined = more.where("linked").join(labels.select(F.col("k").alias("a"), F.col("c").alias("ca")), "a", "left").join(labels.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b", "left")
     higher = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     labels = labels.unionByName(higher.join(labels, "k", "left_anti").select("k", F.col("k").alias("c")))
     labels = labels.join(higher.select(F.col("k").alias("c"), F.col("c").alias("top")), "c", "left").select("k", F.coalesce("top", "c").alias("c"))
-    named = reps.join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
-    least = written(named.groupBy("c").agg(F.min("doc_id").alias("component_id")).where("c is not null"), "names")  # a table of its own, so that the join can split a large component
-    named = named.join(least, "c").select("k", "component_id")
-    for x in (lists, own, links, more):
-        forget(x)
+    members = held(reps.join(labels, "k", "left").select("k", "doc_id", F.coalesce("c", "k").alias("c")))
+    least = held(members.groupBy("c").agg(F.min("doc_id").alias("component_id")))  # held, so that the join can split a large component
+    least.count()
+    named = written(members.join(least, "c").select("k", "component_id"), "names")
+    for x in (*keep, own, members, least):
+        x.unpersist()
+    frequent.destroy()
     return one.join(named, "k", "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))

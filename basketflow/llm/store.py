@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,6 +26,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df, kept on the executors' disks for an operator that reads it more than once and unpersists it; what a lost executor held is worked out again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table made by written() that nothing reads any more."""
     spark = df.sparkSession
@@ -34,5 +40,13 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, with as many _ before them as no column of df has."""
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
