@@ -105,26 +105,35 @@ _KINDS = (*secrets.BASE, *secrets.ADDED)
 _SECRETS = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
 f AS ({" UNION ALL ".join(_spans_sql(k, p, g, n) for k, (_, p, g, n, _) in enumerate(_KINDS))}),
-o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS repos, count(DISTINCT coalesce(split_part(source, '/', 1), chr(0))) AS owners FROM f GROUP BY value),
-t AS (SELECT f.*, repos <= 2 AND owners <= 1 AS live,
-        (['{"','".join(x[0] for x in _KINDS)}'])[kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(s + len AS BIGINT) AS name
-      FROM f JOIN o USING (value)),
-k AS (SELECT * FROM t WHERE kind < {len(secrets.BASE)} OR live),
+o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) <= 2 AND count(DISTINCT coalesce(split_part(source, '/', 1), chr(0))) <= 1
+        AND len(list_distinct(string_split(value, ''))) >= {secrets.LEAST_VARIED} AS live FROM f GROUP BY value),
+j AS (SELECT f.*, live FROM f JOIN o USING (value)),
+t AS (SELECT DISTINCT rid, kind, CAST(s AS BIGINT) AS s, CAST(s + len AS BIGINT) AS e FROM j WHERE kind < {len(secrets.BASE)} OR live
+      UNION SELECT rid, {len(_KINDS)}, CAST(s + len - length(value) AS BIGINT), CAST(s + len AS BIGINT) FROM j WHERE kind < {len(secrets.BASE)} AND live),
+k AS (SELECT *, (['{"','".join([x[0] for x in _KINDS] + [secrets.LIVE])}'])[kind + 1] || ':' || s || ':' || e AS name FROM t),
 g AS (SELECT rid, {", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{x[0]}" for k, x in enumerate(secrets.BASE))},
         string_agg(name, ',' ORDER BY s, kind) FILTER (WHERE kind < {len(secrets.BASE)}) AS base,
-        string_agg(name, ',' ORDER BY s, kind) AS spans, count(*) FILTER (WHERE live) AS live
+        string_agg(name, ',' ORDER BY s, kind, e) AS spans, count(*) FILTER (WHERE kind >= {len(secrets.BASE)}) AS live
       FROM k GROUP BY rid)
 SELECT doc_id, {", ".join(f"coalesce(n_{x[0]}, 0) AS n_{x[0]}" for x in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256,
   coalesce(spans, '') AS spans, coalesce(live, 0) AS n_owner_specific
 FROM d LEFT JOIN g USING (rid)
 """
 
+_H = licenses._HARD
 _KNOWN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in licenses.KNOWN.items()) + "}"
 _NAMES = ", ".join(f"CASE WHEN contains(line, ' {' '.join(ids)} ') THEN '{name}' END" for name, ids in licenses.RULES)
+_STEPS = (  # without lookarounds: ends of pieces are doubled, so that each match has its own
+    (rf"(?m)^[^a-z0-9\n]*(?:dnl|rem)( |$)", r"\1"), (licenses._END, _H), (r"(?:\n[^a-z0-9\n]*)+\n", _H + "\n"), (f"[^a-z0-9\n{_H}]+", " "), (f" ?([\n{_H}]) ?", r"\1"), ("^ | $", ""), (f"([\n{_H}])", r"\1\1"),
+)
+_PLAIN = f"replace(lower(coalesce(text, '')), '{_H}', ' ')"
+for _p, _by in _STEPS:
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_p}', '{_by}', 'g')"
+_ANY = licenses.ANY_KNOWN.replace("[ \n]", "(?: |\n\n)").replace(_H, _H + _H)
 _LICENSES = f"""
 WITH s AS (
-  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '{licenses._END}', '\\1' || chr(10), 'g'), chr(10)),
-    lambda x: ({_KNOWN})[trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL) AS ids
+  SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '{licenses.KEYWORDS}') THEN
+    list_transform(regexp_extract_all({_PLAIN}, '(?:^|[\n{_H}])({_ANY})(?:[\n{_H}]|$)', 1), lambda x: ({_KNOWN})[replace(replace(x, '\n\n', ' '), '{_H}{_H}', '{_H}')]) ELSE [] END AS ids
   FROM documents
 ), l AS (SELECT doc_id, ids, ' ' || array_to_string(ids, ' ') || ' ' AS line FROM s)
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,

@@ -1,14 +1,16 @@
 """Secret scans: candidates by pattern, told apart by how widely their values are owned.
 
-Base kinds (assign, access, hex) are always reported. Further kinds are candidates only: the
-value's hash is counted over the whole corpus by distinct repositories and owners, and a
-candidate is added where its value belongs to few of both (a live-looking credential); a
-widely copied value is an example. Offsets are code points, the end exclusive. A private key is
+Base kinds (assign, access, hex) are always reported. The value of every candidate is hashed and
+counted over the whole corpus by distinct repositories and owners. A value that belongs to few of both, and has
+LEAST_VARIED different characters or more, looks like a live credential; a
+widely copied one is an example. Candidates of further kinds are added where they look live, and so is, as a span of
+its own of the kind `live`, the value of a base candidate. Offsets are code points, the end exclusive. A private key is
 its whole block, to the END line, the next BEGIN or the end of the text; its value is its body
 without white space and line marks, so a wrapped and an unwrapped copy are one value.
 
 Defined results: a null text is empty and has no spans; a null repository or owner counts as
-one of its own; repeated rows get the same result each; text columns of other names stay out.
+one of its own; repeated rows get the same result each, rows of one doc_id with different texts their own; other
+columns are not read, and redacted() returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketflow.llm.store import written
+from basketflow.llm.store import fresh, written
 
 
 def _either(word: str) -> str:
@@ -41,6 +43,9 @@ ADDED = (
 _BLOCK = r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----([\s\S]*?)(?:-----END [A-Z ]{0,32}PRIVATE KEY-----|(?=-----BEGIN )|\z)"
 #: What is searched for: as BASE and ADDED, and what is taken out of a value.
 KINDS = tuple((*x, None) if x[0] != "private" else (x[0], _BLOCK, 1, 0, x[4], r"\\[nrt]|[^A-Za-z0-9+/=]") for x in (*BASE, *ADDED))
+#: The kind of a base candidate's value that looks live, behind all kinds that are searched for.
+LIVE = "live"
+LEAST_VARIED = 6
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -63,10 +68,13 @@ def spans(text: Column, k: int, pattern: str, group: int, least: int, holds: str
     return F.when(there, some).otherwise(F.expr(f"cast(array() as {SPANS})"))
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds found (SPANS, by start then kind) of all kinds."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn("found", F.array_sort(F.concat(*(spans(body, k, *x[1:]) for k, x in enumerate(KINDS)))))
+def candidates(body: Column, kinds: slice = slice(None)) -> Column:
+    """SPANS of a text, by start then kind, of all kinds or some."""
+    return F.array_sort(F.concat(*(spans(body, k, *x[1:]) for k, x in list(enumerate(KINDS))[kinds])))
+
+
+def _varied(value: Column) -> Column:
+    return F.size(F.array_distinct(F.split(value, ""))) >= LEAST_VARIED
 
 
 def ownership(rows: DataFrame) -> DataFrame:
@@ -82,22 +90,31 @@ def scan(docs: DataFrame, text: str = "text", repo: str = "source", owner: str |
 
     owner: column of owners; None takes the part of repo before the first slash.
     """
-    names = F.array(*(F.lit(x[0]) for x in (*BASE, *ADDED)))
-    who = F.substring_index(F.col(repo), "/", 1) if owner is None else F.col(owner)
-    base = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text"), F.coalesce(repo, F.lit("\0")).alias("repo"), F.coalesce(who, F.lit("\0")).alias("owner"))
-    base = candidates(base).select("doc_id", "repo", "owner", F.xxhash64("text").alias("t"), F.transform("found", lambda s: F.struct(s["start"], s["kind"], s["end"], F.xxhash64(s["value"]).alias("h"))).alias("found"))
-    base = written(base, "secrets")
-    rows = base.where(F.size("found") > 0).distinct().select("doc_id", "t", "repo", "owner", F.explode("found").alias("s")).select("doc_id", "t", "repo", "owner", "s.*")
-    counts = ownership(rows.select("h", "repo", "owner"))
-    live = (F.col("n_repos") <= max_repos) & (F.col("n_owners") <= max_owners)
-    told = rows.join(counts, "h").select("doc_id", "t", "repo", "owner", F.struct("start", "kind", "end", live.alias("live")).alias("s"))
-    kept = told.where((F.col("s.kind") < len(BASE)) | F.col("s.live")).groupBy("doc_id", "t", "repo", "owner").agg(F.array_sort(F.collect_set("s")).alias("spans"))
+    names = F.array(*(F.lit(x[0]) for x in KINDS), F.lit(LIVE))
+    body, base_kind = F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col("s.kind") < len(BASE)
+    base = docs.select("doc_id", body.alias("text"), *_owners(repo, owner))
+    at = lambda s: F.when(s["kind"] < len(BASE), s["end"] - F.char_length(s["value"])).otherwise(s["start"])
+    found = F.transform(candidates(F.col("text")), lambda s: F.struct(s["start"], s["kind"], s["end"], at(s).alias("at"), _varied(s["value"]).alias("varied"), F.xxhash64(s["value"]).alias("h")))
+    base = written(base.select("doc_id", "repo", "owner", F.xxhash64("text").alias("t"), found.alias("found")), "secrets")
+    rows = base.where(F.size("found") > 0).distinct().select("doc_id", "t", "repo", "owner", F.explode("found").alias("s"), F.col("s.h").alias("h"))
+    counts = written(ownership(rows.select("h", "repo", "owner")), "owners")  # a table of its own, so that the join can split a common value
+    live = (F.col("n_repos") <= max_repos) & (F.col("n_owners") <= max_owners) & F.col("s.varied")
+    span = lambda start, kind: F.struct(start.alias("start"), kind.alias("kind"), F.col("s.end").alias("end"), live.alias("live"))
+    both = F.array(F.when(base_kind | live, span(F.col("s.start"), F.col("s.kind"))), F.when(base_kind & live, span(F.col("s.at"), F.lit(len(KINDS)))))
+    told = rows.join(counts, "h").select("doc_id", "t", "repo", "owner", F.explode(F.array_compact(both)).alias("s"))
+    kept = told.groupBy("doc_id", "t", "repo", "owner").agg(F.array_sort(F.collect_set("s")).alias("spans"))
     same = [F.col(f"b.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("doc_id", "t", "repo", "owner")]
     out = base.alias("b").join(kept.alias("k"), same[0] & same[1] & same[2] & same[3], "left")
     named = F.transform(F.coalesce("k.spans", F.expr("cast(array() as array<struct<start:int,kind:int,end:int,live:boolean>>)")), lambda s: F.struct(s["start"].alias("start"), F.element_at(names, s["kind"] + 1).alias("kind"), s["end"].alias("end"), s["live"].alias("live"), s["kind"].alias("k")))
     return out.select("b.doc_id", "b.t", named.alias("spans"))
 
 
+def _owners(repo: str, owner: str | None) -> tuple[Column, Column]:
+    """repo and owner, the part of repo before the first slash if it has no column; null ones have a name of their own."""
+    who = F.substring_index(F.col(f"`{repo}`"), "/", 1) if owner is None else F.col(f"`{owner}`")
+    return F.coalesce(F.col(f"`{repo}`"), F.lit("\0")).alias("repo"), F.coalesce(who, F.lit("\0")).alias("owner")
+
+
 def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -107,27 +124,37 @@ def digest(scanned: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["k"] < len(BASE))
     return scanned.select(
         "doc_id", *(count(x[0]).alias(f"n_{x[0]}") for x in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
-        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_owner_specific"),
+        F.size(F.filter("spans", lambda s: s["k"] >= len(BASE))).cast("long").alias("n_owner_specific"),
     )
 
 
-def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with the value of every base or owner-specific span replaced by mark; n_chars, where there is one, follows.
+def _added(docs: DataFrame, text: str, repo: str, owner: str | None, max_repos: int, max_owners: int) -> DataFrame:
+    """(t, kinds): of each text's hash the further kinds with a value that looks live."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    found = F.explode(candidates(body, slice(len(BASE), None))).alias("s")
+    rows = docs.select(F.xxhash64(body).alias("t"), *_owners(repo, owner), found).select("t", "repo", "owner", F.col("s.kind").alias("kind"), F.xxhash64("s.value").alias("h"), _varied(F.col("s.value")).alias("varied")).distinct()
+    few = ownership(rows.select("h", "repo", "owner")).where((F.col("n_repos") <= max_repos) & (F.col("n_owners") <= max_owners))
+    return rows.where("varied").join(few, "h").groupBy("t").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+
+
+def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", repo: str = "source", owner: str | None = None, max_repos: int = 2, max_owners: int = 1) -> DataFrame:
+    """docs with the value of every base or added span replaced by mark; n_chars, where there is one, follows.
 
     Columns and rows stay. A named value of twelve characters goes also where a shorter match
     before it takes its name in scan(). Works on the text itself, so nothing is joined for the base kinds;
     the further kinds are few and are joined by their text's hash.
     """
-    found = scan(docs, text).where(F.size(F.filter("spans", lambda s: s["k"] >= len(BASE))) > 0)
-    more = found.select("t", F.explode("spans").alias("s")).where(F.col("s.k") >= len(BASE)).groupBy("t").agg(F.array_sort(F.collect_set(F.col("s.kind"))).alias("_more"))
-    out = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(more.withColumnRenamed("t", "_t"), "_t", "left")
-    body = F.col(text)
+    t, kinds = fresh(docs, "t", "kinds")
+    more = _added(docs, text, repo, owner, max_repos, max_owners)
+    out = docs.withColumn(t, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))).join(more.withColumnsRenamed({"t": t, "kinds": kinds}), t, "left")
+    body = F.col(f"`{text}`")
     for kind, pattern, *_ in KINDS[len(BASE) :]:
-        body = F.when(F.array_contains("_more", kind), F.regexp_replace(body, pattern, mark)).otherwise(body)
+        k = next(i for i, x in enumerate(KINDS) if x[0] == kind)
+        body = F.when(F.array_contains(kinds, k), F.regexp_replace(body, pattern, mark)).otherwise(body)
     value = r"(?=[A-Za-z0-9+/_.=-]{12})[A-Za-z0-9+/_.=-]+"
     body = F.regexp_replace(body, ASSIGN.replace("([A-Za-z0-9+/_.=-]+)", f"(?:{value})").replace(f"({_NAMES})", f"((?:{_NAMES})").replace(r"[\"']?(?:", r"[\"']?)(?:"), "$1" + mark.replace("$", r"\$"))
     body = F.regexp_replace(F.regexp_replace(body, r"AKIA[A-Z0-9]{14,}", mark), r"[0-9a-f]{16,}", mark)
-    out = out.withColumn(text, body).drop("_t", "_more")
+    out = out.withColumn(text, body)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(text).isNotNull(), F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(f"`{text}`").isNotNull(), F.char_length(f"`{text}`").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*(f"`{c}`" for c in docs.columns))
