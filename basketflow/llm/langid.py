@@ -8,7 +8,8 @@ the nearest language wins (ties: the first by name). score is 1 - distance / the
 
 Defined results: a null text and one without letters give `und` and score 0, and so do all
 texts where there are no labelled ones; rows with a null language are not learned from; very
-long texts are counted in segments, whole.
+long texts are counted in segments, whole; repeated rows get the same result each; a column that has the name
+of an added one is replaced by it.
 """
 
 from __future__ import annotations
@@ -131,7 +132,8 @@ class Judge:
 
 
 def identified(docs: DataFrame, by: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """Adds lang_pred and score to docs; other columns stay."""
+    """Adds lang_pred and score to docs; other columns stay, but for ones of these names."""
+    docs = docs.drop("lang_pred", "score")
     at, names = docs.columns.index(text), [*docs.columns, "lang_pred", "score"]
 
     def run(batches):

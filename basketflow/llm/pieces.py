@@ -313,7 +313,8 @@ class Encoder:
 
 
 def encoded(docs: DataFrame, path: str = DEFAULT_MODEL, text: str = "text") -> DataFrame:
-    """Adds pieces (array of ids) and decoded (the text they give back) to docs; other columns stay."""
+    """Adds pieces (array of ids) and decoded (the text they give back) to docs; other columns stay, but for ones of these names."""
+    docs = docs.drop("pieces", "decoded")
     at, names = docs.columns.index(text), [*docs.columns, "pieces", "decoded"]
     schema = docs.select("*", F.lit(None).cast("array<int>").alias("pieces"), F.lit("").cast("string").alias("decoded")).schema
 
