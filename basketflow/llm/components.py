@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round gives a node the smallest label among its neighbours and then follows that
     label's own label; rounds end when none changes. Labels fall with doubling reach.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
+    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).select("k", F.least("k", "m").alias("c")), "labels")
     while True:
         near = both.join(labels.select(F.col("k").alias("b"), "c"), "b").groupBy(F.col("a").alias("k")).agg(F.min("c").alias("m"))

@@ -10,19 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir; where it is unset a temporary one, on a local master only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="basketflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and reread; cuts the lineage."""
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """df, written as Parquet to the shared folder and reread; cuts the lineage. narrow: rows of a few numbers, put together in files of Spark's advisory size first."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
