@@ -255,13 +255,13 @@ def _similar(percent: int):
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes with the size of their intersection and whether they link, from whole texts."""
-    pairs = held(pairs.select("a", "b"))
+    pairs = written(pairs.select("a", "b"), "pairs", narrow=True)
     used = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-    texts = held(docs.join(reps.join(used, "k"), ["doc_id", "h"]).groupBy("k").agg(F.min("text").alias("text")))
+    texts = written(docs.join(reps.join(used, "k"), ["doc_id", "h"]).groupBy("k").agg(F.min("text").alias("text")), "texts")
     both = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
     out = written(both.select("a", "b", "ta", "tb").mapInArrow(_similar(percent), "a long, b long, both long, linked boolean"), "links", narrow=True)
-    texts.unpersist()
-    pairs.unpersist()
+    forget(texts)
+    forget(pairs)
     return out
 
 
@@ -321,26 +321,24 @@ def join(docs: DataFrame, percent: int = NEED, most_frequent: int = MOST_FREQUEN
     reps = one.where("n_shingles > 0 and doc_id is not null").groupBy("k").agg(F.min(F.struct("doc_id", "h")).alias("d")).select("k", "d.*")  # rows of one id may differ
     frequent = spark.sparkContext.broadcast(_frequencies(docs, total, bits, most_frequent))
     blobs = docs.select("text").mapInArrow(_prefixes(bits, frequent, percent), "r int, blob binary")
-    lists = held(blobs.groupBy("r").applyInArrow(_lists(percent), _LISTS))
+    lists = written(blobs.groupBy("r").applyInArrow(_lists(percent), _LISTS), "lists", narrow=True)
+    frequent.destroy()
     star = lists.where("k <> lk").select(F.col("lk").alias("a"), F.col("ln").alias("na"), F.col("ll").alias("la"), F.col("llev").alias("leva"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("lev").alias("levb"))
     links = _verified(_matched(star, percent), reps, docs, percent)
     labels = components(links.where("linked"))
     pivots = _pivots(links, one)
     own = lists.select(F.col("b").alias("t"), "k", "n", "l").join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
     mixed = own.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("t", "size")
-    own = held(own.join(mixed, "t").join(pivots, "k", "left"))
+    own = written(own.join(mixed, "t").join(pivots, "k", "left"), "mixed", narrow=True)
     more = _verified(_crossing(own, percent), reps, docs, percent)
     joined = more.where("linked").join(labels.select(F.col("k").alias("a"), F.col("c").alias("ca")), "a", "left").join(labels.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b", "left")
     higher = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     labels = labels.unionByName(higher.join(labels, "k", "left_anti").select("k", F.col("k").alias("c")))
     labels = labels.join(higher.select(F.col("k").alias("c"), F.col("c").alias("top")), "c", "left").select("k", F.coalesce("top", "c").alias("c"))
     members = held(reps.join(labels, "k", "left").select("k", "doc_id", F.coalesce("c", "k").alias("c")))
-    least = held(members.groupBy("c").agg(F.min("doc_id").alias("component_id")))  # held, so that the join can split a large component
-    least.count()
+    least = written(members.groupBy("c").agg(F.min("doc_id").alias("component_id")), "least", narrow=True)  # a table without partitioning, so that the join can split a large component
     named = written(members.join(least, "c").select("k", "component_id"), "names", narrow=True)
-    for x in (lists, own, members, least):
-        x.unpersist()
-    frequent.destroy()
-    for x in (links, more):
+    members.unpersist()
+    for x in (lists, links, own, more, least):
         forget(x)
     return one.join(named, "k", "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
