@@ -1,8 +1,7 @@
-"""Team draft interleaving and the bootstrap: greedy and matrix work in Arrow batches."""
+"""Team draft interleaving: greedy work in Arrow batches."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,30 +45,3 @@ def team_draft(rows: DataFrame, a: str, b: str, k: int = 20, seed: int = 0) -> D
     return rows.withColumn("d", draft(a, b, bits)).select("*", "d.items", "d.team").drop("d")
 
 
-def replicate_sums(users: DataFrame, columns: list[str], replicates: int, seed: int = 0) -> DataFrame:
-    """(replicate, arm, column sums): Poisson(1/2) weights of each user in both arms, from hashes of the user.
-
-    Each batch multiplies its weights with its columns; the partial sums are added by Spark, so
-    a user's weight depends on nothing but the user, the replicate and the seed.
-    """
-    steps = np.cumsum([np.exp(-0.5) * 0.5**i / np.prod(range(1, i + 1)) for i in range(12)])
-
-    def run(batches):
-        for pdf in batches:
-            f = pdf[columns].to_numpy(float)
-            ids = pdf["user_id"].to_numpy(np.int64).view(np.uint64)
-            out = []
-            for r in range(replicates):
-                for arm in (0, 1):
-                    with np.errstate(over="ignore"):
-                        h = ids * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + 2 * r + arm) * 0xBF58476D1CE4E5B9 % (1 << 64))
-                        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                        h ^= h >> np.uint64(31)
-                    w = np.searchsorted(steps, (h >> np.uint64(11)).astype(float) / (1 << 53), "right")
-                    out.append((r, arm, *(w @ f), float(w.sum())))
-            yield pd.DataFrame(out, columns=["replicate", "arm", *columns, "n"])
-
-    schema = "replicate int, arm int, " + ", ".join(f"`{c}` double" for c in columns) + ", n double"
-    parts = users.select("user_id", *columns).mapInPandas(run, schema)
-    return parts.groupBy("replicate", "arm").agg(*(F.sum(c).alias(c) for c in (*columns, "n")))
