@@ -1,11 +1,26 @@
-"""Feature drift: rank AUC, population stability, planted faults and the adversarial check."""
+"""Feature drift: rank AUC, population stability, planted faults, the adversarial check and its monitor.
+
+A check compares two samples of requests of a bounded size, so one task holds it; a grid of checks is as
+many groups of one job.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketflow.functions.boost import Trees
 from basketflow.operators.split import order_hash
+from basketflow.schemas import FEATURES
+
+FAULTS = ("price_in_cents", "time_in_ms", "brand_missing", "category_missing", "views_only")
+FAULT_SHARES = (1.0, 0.25, 0.1, 0.05)
+WINDOW, LEAST, THRESHOLD = 1500, 300, 0.6
+REPORT = "auc double, n_ref int, n_cur int, rows_ref int, rows_cur int, top string, top_share double, psi_top string, psi double, gains array<struct<feature:string,share:double>>, psis array<struct<feature:string,psi:double>>"
 
 
 def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
@@ -22,13 +37,34 @@ def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
     return u.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), (F.sum(F.col("p") * (2 * F.col("below") + F.col("q"))) / (2.0 * F.sum("p") * F.sum("q"))).alias("auc"))
 
 
+def quantiles(long: DataFrame, cuts: list[float], parts: int = 256) -> DataFrame:
+    """(column, edges): of rows (column, v) the distinct values at these shares, linear between two, as numpy has them; nulls do not count.
+
+    Values are counted once each; their running counts come from ranges of approximate quantiles, each
+    numbered in its own task and offset by those before, so that no task holds a column.
+    """
+    v = long.where(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count("*").alias("n"))
+    bounds = v.groupBy("column").agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 10_000).alias("bounds"), F.sum("n").alias("total"))
+    v = v.join(F.broadcast(bounds), "column")  # a row a column
+    v = v.withColumn("part", F.size(F.filter("bounds", lambda b: b < F.col("v"))))
+    sizes = v.groupBy("column", "part").agg(F.sum("n").alias("m"))
+    before = sizes.select("column", "part", (F.sum("m").over(Window.partitionBy("column").orderBy("part")) - F.col("m")).alias("before"))
+    w = Window.partitionBy("column", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    v = v.join(F.broadcast(before), ["column", "part"]).withColumn("upto", F.col("before") + F.sum("n").over(w))
+    rank = lambda q: F.lit(q) * (F.col("total") - 1)
+    there = lambda r: (F.col("upto") - F.col("n") <= r) & (r < F.col("upto"))
+    found = [F.max(F.when(there(f(rank(q))), F.col("v"))).alias(f"q{i}{x}") for i, q in enumerate(cuts) for x, f in (("a", F.floor), ("b", F.ceil))]
+    one = v.groupBy("column").agg(F.first("total").alias("total"), *found)
+    part = [(F.col(f"q{i}b") - F.col(f"q{i}a")) * (rank(q) - F.floor(rank(q))) + F.col(f"q{i}a") for i, q in enumerate(cuts)]
+    return one.select("column", F.array_sort(F.array_distinct(F.array(*part))).alias("edges"))
+
+
 def psi(ref: DataFrame, cur: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
     """(column, psi): the reference's quantile bins and one for missing or non-finite values, floored at 1e-4."""
     finite = lambda c: F.abs(c) < F.lit(float("inf"))
-    cuts = F.array(*(F.lit(i / bins) for i in range(1, bins)))
     kind = lambda df, side: df.select(F.lit(side).alias("side"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("r")).select("side", "r.*")
     long = kind(ref, 0).unionByName(kind(cur, 1)).withColumn("v", F.when(finite(F.col("v")) & ~F.isnan("v"), F.col("v")))
-    edges = long.where("side = 0").groupBy("column").agg(F.array_distinct(F.percentile("v", cuts)).alias("edges"))
+    edges = quantiles(long.where("side = 0"), [i / bins for i in range(1, bins)])
     bin_ = F.when(F.col("v").isNotNull(), F.size(F.filter("edges", lambda e: e <= F.col("v")))).otherwise(-1)
     counts = long.join(F.broadcast(edges), "column").groupBy("column", "edges", bin_.alias("bin")).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     total = Window.partitionBy("column")
@@ -64,18 +100,101 @@ def faults(rows: DataFrame, fault: str, share: float, seed: int = 0) -> DataFram
     return rows.withColumn(column, F.when(h < share, new.cast(rows.schema[column].dataType)).otherwise(F.col(column)))
 
 
-def adversarial(ref: DataFrame, cur: DataFrame, columns: list[str], group: str, folds: int = 5, seed: int = 0) -> DataFrame:
-    """(auc, n) of telling two sets apart out of fold, folds by group; gradient-boosted trees."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    both = ref.withColumn("label", F.lit(0.0)).unionByName(cur.withColumn("label", F.lit(1.0))).fillna(-1.0, columns)
-    fold = F.conv(F.substring(order_hash(seed, F.col(group)), 1, 6), 16, 10).cast("long") % folds
-    rows = VectorAssembler(inputCols=columns, outputCol="x", handleInvalid="keep").transform(both.withColumn("fold", fold)).select("label", "fold", "x")
-    scored = None
-    for k in range(folds):
-        model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=5, maxDepth=3, seed=seed).fit(rows.where(F.col("fold") != k))
-        part = model.transform(rows.where(F.col("fold") == k)).select("label", vector_to_array("probability")[1].alias("score"))
-        scored = part if scored is None else scored.union(part)
-    return auc(scored, "label", "score")
+def _index(ref: np.ndarray, cur: np.ndarray, bins: int = 10) -> float:
+    """The stability index of one column of a sample."""
+    known = ref[np.isfinite(ref)]
+    edges = np.unique(np.quantile(known, np.arange(1, bins) / bins)) if len(known) else np.zeros(0)
+    share = [np.maximum(np.bincount(np.where(np.isfinite(v), np.searchsorted(edges, v, "right") + 1, 0), minlength=len(edges) + 2) / max(1, len(v)), 1e-4) for v in (ref, cur)]
+    return float(((share[1] - share[0]) * np.log(share[1] / share[0])).sum())
+
+
+def _told_apart(y: np.ndarray, score: np.ndarray) -> float:
+    """AUC of a sample, ties as halves."""
+    s, n = pd.Series(score).rank().to_numpy(), y.sum()
+    return float((s[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n))) if 0 < n < len(y) else float("nan")
+
+
+def checks(rows: DataFrame, columns: tuple[str, ...] = FEATURES, folds: int = 5, rounds: int = 30, most: int = 3000, seed: int = 0) -> DataFrame:
+    """(check, REPORT) of rows (check, label 0 or 1, request, columns): how well trees tell the two sides apart, out of fold.
+
+    All rows of a request are in one fold. At most `most` requests of each side of a check are drawn, by a
+    seeded order; top and gains: shares of what splits gain; psi_top and psis: stability indexes, largest first.
+    """
+    w = Window.partitionBy("check", "label").orderBy(order_hash(seed, F.col("check"), F.col("request")), "request")
+    drawn = rows.select("check", "label", "request").distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    kept = rows.select("check", "label", "request", *(F.col(c).cast("double").alias(c) for c in columns)).join(drawn, ["check", "label", "request"])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["label", "place", *columns])
+        x = pdf[list(columns)].to_numpy(float)
+        x = np.where(np.isinf(x), np.sign(x) * 1e30, x)
+        y, fold = pdf["label"].to_numpy(float), pdf["place"].to_numpy() % folds
+        score, gain = np.zeros(len(y)), np.zeros(len(columns))
+        for k in range(folds):
+            train = fold != k
+            if train.any() and not train.all():
+                trees = Trees(rounds).fit(x[train], y[train])
+                score[~train] = trees.score(x[~train])
+                gain += trees.gain
+        gain = gain / gain.sum() if gain.sum() else gain
+        gains = sorted(((c, round(float(g), 6)) for c, g in zip(columns, gain, strict=True)), key=lambda v: (-v[1], v[0]))
+        psis = sorted(((c, round(_index(x[y == 0, i], x[y == 1, i]), 6)) for i, c in enumerate(columns)), key=lambda v: (-v[1], v[0]))
+        n = [int(pdf.loc[pdf["label"] == k, "request"].nunique()) for k in (0, 1)]
+        out = (pdf["check"].iloc[0], round(_told_apart(y, score), 4), *n, int((y == 0).sum()), int((y == 1).sum()), *gains[0], *psis[0])
+        return pd.DataFrame([(*out, [{"feature": c, "share": v} for c, v in gains], [{"feature": c, "psi": v} for c, v in psis])], columns=["check", *(x.split()[0] for x in REPORT.split(", ")[:9]), "gains", "psis"])
+
+    return kept.groupBy("check").applyInPandas(one, f"check string, {REPORT}")
+
+
+def adversarial(ref: DataFrame, cur: DataFrame, columns: tuple[str, ...] = FEATURES, **how) -> DataFrame:
+    """One check of rows (request, columns) on two sides."""
+    both = ref.select(F.lit(0).alias("label"), "request", *columns).unionByName(cur.select(F.lit(1).alias("label"), "request", *columns))
+    return checks(both.withColumn("check", F.lit("check")), columns, **how).drop("check")
+
+
+def halves(rows: DataFrame, seed: int = 0):
+    """0 or 1 of a row's request, drawn by its hash."""
+    return F.conv(F.substring(order_hash(seed, F.lit("half"), F.col("request")), 1, 6), 16, 10).cast("long") % 2
+
+
+@dataclass
+class Monitor:
+    """The live check over sampled requests (request, seq, columns), seq rising with time.
+
+    A new version drops what was sampled before it; the first `window` requests after that are its baseline; from then on
+    the latest `window`, once there are `least`, are checked against it. The baseline is a table that
+    `keep` writes and reads back.
+    """
+
+    keep: object
+    columns: tuple[str, ...] = FEATURES
+    window: int = WINDOW
+    least: int = LEAST
+    threshold: float = THRESHOLD
+    version: str | None = None
+    since: int = -1
+    baseline: DataFrame | None = None
+
+    def _latest(self, sampled: DataFrame) -> DataFrame:
+        """The newest requests, by the last seq of each."""
+        newest = sampled.groupBy("request").agg(F.max("seq").alias("last")).orderBy(F.desc("last"), "request").limit(self.window)
+        return sampled.join(newest, "request")
+
+    def step(self, version: str, sampled: DataFrame) -> dict:
+        """state: new_version, collecting, baseline, ok or alert; with auc, top and psi_top after a check."""
+        if version != self.version:
+            self.version, self.baseline = version, None
+            self.since = sampled.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+            return {"state": "new_version"}
+        fresh = sampled.where(F.col("seq") > self.since)
+        waiting = fresh.select("request").distinct().count()
+        if self.baseline is None:
+            if waiting < self.window:
+                return {"state": "collecting", "waiting": waiting}
+            self.baseline = self.keep(self._latest(fresh).drop("last"))
+            self.since = fresh.agg(F.max("seq")).first()[0]
+            return {"state": "baseline", "waiting": waiting}
+        if waiting < self.least:
+            return {"state": "collecting", "waiting": waiting}
+        got = adversarial(self.baseline, self._latest(fresh), self.columns, most=self.window).first()
+        return {"state": "alert" if got["auc"] > self.threshold else "ok", "waiting": waiting, **{k: got[k] for k in ("auc", "top", "psi_top", "psi")}}
