@@ -5,6 +5,8 @@ The state of a key is one list of encoded events, cut to the newest CAP, with a
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Iterator
 from typing import Any
 
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from basketflow import schemas as S
+from basketflow.operators.split import order_hash
+from basketflow.sources.versions import Versions
 
 TTL_MS = 1_800_000
 CODE = "struct<s:long,e:string,sent:double>"
@@ -69,3 +73,92 @@ def staleness(rows: DataFrame, sent: str, done: str) -> DataFrame:
     """Milliseconds from sent to readable at three percentiles."""
     ms = (F.col(done).cast("double") - F.col(sent).cast("double")) * 1000
     return rows.agg(F.percentile(ms, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"), F.count("*").alias("n")).select("n", *(F.element_at("p", i + 1).alias(c) for i, c in enumerate(("p50", "p95", "p99"))))
+
+
+def partition(session, partitions: int = 6):
+    """The partition of a topic that a session's messages go to."""
+    return (F.crc32(session.cast("string").cast("binary")) % partitions).cast("int")
+
+
+def lag(published: DataFrame, positions: DataFrame) -> DataFrame:
+    """(partitions, lag): messages (partition, offset) that lie behind a consumer's positions (partition, position); one without is at 0."""
+    high = published.groupBy("partition").agg((F.max("offset") + 1).alias("high"))
+    behind = F.greatest(F.col("high") - F.coalesce("position", F.lit(0)), F.lit(0))
+    return high.join(positions, "partition", "left").agg(F.count("*").alias("partitions"), F.sum(behind).alias("lag"))
+
+
+def progress_lag(progress: dict) -> int:
+    """The same of a running query's progress whose source reports offsets by topic and partition."""
+    total = 0
+    for source in progress["sources"]:
+        end, latest = (json.loads(x) if isinstance(x, str) else x for x in (source.get("endOffset") or {}, source.get("latestOffset") or {}))
+        total += sum(max(0, n - end.get(topic, {}).get(p, 0)) for topic, parts in latest.items() for p, n in parts.items())
+    return total
+
+
+def due(events: DataFrame, speed: float) -> DataFrame:
+    """Adds due, the seconds after the start at which a replay at this speed publishes an event."""
+    first = events.agg(F.min(F.unix_seconds("event_time")).alias("t0"))
+    return events.crossJoin(F.broadcast(first)).withColumn("due", (F.unix_seconds("event_time") - F.col("t0")) / F.lit(float(speed))).drop("t0")  # one row
+
+
+def replay(events: DataFrame, path: str, speed: float, step: float = 1.0) -> int:
+    """Publishes recorded events to a folder as messages (session, seq, value, sent), a file a step, each when it is due; gives the number of steps."""
+    rows = due(events, speed)
+    last = rows.agg(F.max("due")).first()[0]
+    began, n = time.time(), 0
+    while last is not None and n * step <= last:
+        time.sleep(max(0.0, began + n * step - time.time()))
+        part = rows.where((F.col("due") >= n * step) & (F.col("due") < (n + 1) * step))
+        encode(part).withColumn("sent", F.lit(time.time())).write.mode("append").parquet(path)
+        n += 1
+    return n
+
+
+def sample(requests: DataFrame, share: float, most: int, seed: int = 0) -> DataFrame:
+    """A share of requests (request, seq, ...), drawn by their hash, of which the newest `most` stay."""
+    h = F.conv(F.substring(order_hash(seed, F.col("request")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    return requests.where(h < share).orderBy(F.desc("seq"), "request").limit(most)
+
+
+class Sampler:
+    """Appends a share of each micro-batch's requests to a capped table; a batch that cannot be written is dropped and counted."""
+
+    def __init__(self, path: str, share: float, most: int, seed: int = 0):
+        self.path, self.share, self.most, self.seed, self.dropped = path, share, most, seed, 0
+
+    def record(self, batch: DataFrame, number: int) -> None:
+        """For foreachBatch."""
+        try:
+            sample(batch, self.share, self.most, self.seed).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        except Exception:  # noqa: BLE001  monitoring never fails a request
+            self.dropped += 1
+
+    def rows(self, spark) -> DataFrame:
+        return spark.read.parquet(self.path).drop("batch").orderBy(F.desc("seq"), "request").limit(self.most)
+
+
+class SessionStore:
+    """Sessions' last events as a versioned table: each batch appends, keeps the newest CAP of a session and drops sessions that have been still for the time to live."""
+
+    def __init__(self, spark, path: str, cap: int = S.CAP, ttl: int = TTL_MS // 1000):
+        self.spark, self.versions, self.cap, self.ttl = spark, Versions(spark, path), cap, ttl
+
+    def append(self, batch: DataFrame, number: int) -> None:
+        """batch: events; a batch of a number that is there already adds nothing. For foreachBatch."""
+        name = f"{number:012d}"
+        if (self.versions.current() or "") >= name:
+            return
+        new = batch.select("session", "seq", "product_id", F.unix_seconds("event_time").alias("time"))
+        both = new if self.versions.current() is None else self.versions.table("events").unionByName(new)
+        w = Window.partitionBy("session").orderBy(F.desc("seq"))
+        last = F.max("time").over(Window.partitionBy("session"))
+        now = new.agg(F.max("time").alias("now"))
+        kept = both.withColumns({"r": F.row_number().over(w), "last": last}).where(F.col("r") <= self.cap).crossJoin(F.broadcast(now))  # one row
+        kept = kept.where(F.col("last") >= F.coalesce(F.col("now"), F.col("last")) - self.ttl).select("session", "seq", "product_id", "time")
+        self.versions.publish(self.versions.build(name, {"events": kept}, {"batch": number}))
+
+    def sessions(self) -> DataFrame:
+        """(session, n_kept, products), oldest first."""
+        rows = self.versions.table("events").groupBy("session").agg(F.count("*").alias("n_kept"), F.array_sort(F.collect_list(F.struct("seq", "product_id"))).alias("x"))
+        return rows.select("session", "n_kept", F.array_join(F.transform("x", lambda v: v["product_id"].cast("string")), ",").alias("products"))
