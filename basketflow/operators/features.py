@@ -45,6 +45,11 @@ def candidates(items: DataFrame, matrix: DataFrame, last: DataFrame) -> DataFram
     return top.union(own).distinct().join(scores, ["session", "product_id"], "left").fillna(0.0, [*S.SCORES, "c_sum"])
 
 
+def price_ratio(price, last):
+    """price / last with the limits of division by zero, so that the engine's ANSI mode does not fail."""
+    return F.when(last != 0, price / last).when(price > 0, F.lit(float("inf"))).when(price == 0, F.lit(float("nan")))
+
+
 def build(history: DataFrame, cases: DataFrame, matrix: DataFrame, products: DataFrame) -> DataFrame:
     """(session, product_id, label, 24 features); a missing feature is null."""
     items = history_items(history)
@@ -54,7 +59,7 @@ def build(history: DataFrame, cases: DataFrame, matrix: DataFrame, products: Dat
         F.max_by(F.struct(F.col("price").alias("l_price"), F.col("category_id").alias("l_category"), F.col("brand").alias("l_brand"), F.col("event_type").alias("l_type")), "pos").alias("l"),
     ).select("session", "s_events", "s_products", "s_start", "l.*")
     seconds = lambda a, b: F.unix_seconds(a) - F.unix_seconds(b)
-    ratio = F.when(F.col("l_price") != 0, F.col("p_price") / F.col("l_price")).when(F.col("p_price") > 0, F.lit(float("inf"))).when(F.col("p_price") == 0, F.lit(float("nan")))
+    ratio = price_ratio(F.col("p_price"), F.col("l_price"))
     df = cands.join(items.drop("h_pos"), ["session", "product_id"], "left").join(products, "product_id", "left").join(cases, "session").join(session, "session")
     df = df.select(
         "session", "product_id", (F.col("product_id") == F.col("target")).cast("int").alias("label"), *S.SCORES, "c_sum", F.col("h_events").isNotNull().cast("int").alias("in_history"), "h_events", "h_rank",

@@ -35,15 +35,20 @@ def jaccard(a: DataFrame, b: DataFrame, key: str, item: str) -> DataFrame:
     return rows.select(key, (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
 
 
-def validate(new: DataFrame, old: DataFrame, popular: DataFrame, overlap: float = 0.2, change: float = 0.25) -> DataFrame:
-    """One row on a version's matrix against the serving one: size change, mean overlap of `time` neighbours of the most popular products, status."""
-    probe = popular.orderBy(F.desc("pop"), "product_id").limit(S.TOP_POPULAR).select("product_id")
-    time = lambda m: m.where("kind = 'time'").join(probe, "product_id", "left_semi").select("product_id", "neighbour")
+def validate(new: DataFrame, old: DataFrame, popular: DataFrame, probes: DataFrame, overlap: float = 0.2, change: float = 0.25) -> DataFrame:
+    """One row on a version's matrix against the serving one: size change, mean overlap of `time` neighbours of the most popular products, probes, status.
+
+    probes: lists (items, scores) that the new version gives; each must have K items with finite scores.
+    """
+    most = popular.orderBy(F.desc("pop"), "product_id").limit(S.TOP_POPULAR).select("product_id")
+    time = lambda m: m.where("kind = 'time'").join(most, "product_id", "left_semi").select("product_id", "neighbour")
     mean = jaccard(time(new), time(old), "product_id", "neighbour").agg(F.avg("jaccard").alias("overlap"))
-    sizes = new.agg(F.count_distinct("product_id").alias("n_new")).crossJoin(old.agg(F.count_distinct("product_id").alias("n_old"))).crossJoin(mean)  # one row each
+    full = (F.size("items") == S.K) & (F.size("scores") == S.K) & F.forall("scores", lambda x: F.abs(x) < F.lit(float("inf")))
+    tried = probes.agg(F.count("*").alias("n_probes"), F.count_if(full).alias("n_full"))
+    sizes = new.agg(F.count_distinct("product_id").alias("n_new")).crossJoin(old.agg(F.count_distinct("product_id").alias("n_old"))).crossJoin(mean).crossJoin(tried)  # one row each
     moved = F.abs(F.col("n_new") - F.col("n_old")) / F.greatest("n_old", F.lit(1))
-    status = F.when(moved > change, "size").when(F.col("overlap") < overlap, "overlap").otherwise("ok")
-    return sizes.select("n_new", "n_old", F.round(moved, 4).alias("change"), F.round("overlap", 4).alias("overlap"), status.alias("status"))
+    status = F.when(moved > change, "size").when(F.coalesce("overlap", F.lit(0.0)) < overlap, "overlap").when(F.col("n_full") < F.col("n_probes"), "probes").otherwise("ok")
+    return sizes.select("n_new", "n_old", F.round(moved, 4).alias("change"), F.round("overlap", 4).alias("overlap"), "n_probes", "n_full", status.alias("status"))
 
 
 def compare_matrices(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -30,12 +30,12 @@ def runs(events: DataFrame) -> DataFrame:
     return rows.withColumn("target", later).drop("head")
 
 
-def cases(events: DataFrame, name: str, n: int = 1_000_000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(history, cases): up to n sessions that start in a window and touch two products, each cut once."""
+def cases(events: DataFrame, name: str, n: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(history, cases): the sessions that start in a window and touch two products, each cut once; n draws so many of them."""
     start, end = S.window(name)
     per = events.groupBy("session").agg(F.min("event_time").alias("first"), F.count_distinct("product_id").alias("products"))
     chosen = per.where((F.col("first") >= F.lit(start)) & (F.col("first") < F.lit(end)) & (F.col("products") >= 2)).select("session")
-    chosen = chosen.orderBy(order_hash(seed, F.col("session")), "session").limit(n)
+    chosen = chosen if n is None else chosen.orderBy(order_hash(seed, F.col("session")), "session").limit(n)
     own = runs(events.join(chosen, "session", "left_semi"))
     w = Window.partitionBy("session").orderBy("event_time", "seq")
     own = own.withColumn("pos", F.row_number().over(w) - 1)
