@@ -36,11 +36,11 @@ def _matrix(weights: str) -> str:
     SELECT *, row_number() OVER (PARTITION BY kind, product_id ORDER BY weight DESC, neighbour) AS rank FROM {weights}) WHERE rank <= 20"""
 
 
-def _cases(ev: str, start: str, end: str, p: str, n: int = 1_000_000) -> dict[str, str]:
+def _cases(ev: str, start: str, end: str, p: str) -> dict[str, str]:
     """Table expressions <p>_own, <p>_pick, <p>_hist for one window."""
     return {
         f"{p}_sess": f"""SELECT session FROM (SELECT session, min(event_time) AS f, count(DISTINCT product_id) AS k FROM {ev} GROUP BY session)
-    WHERE f >= TIMESTAMP '{start}' AND f < TIMESTAMP '{end}' AND k >= 2 ORDER BY sha256('0:' || session), session LIMIT {n}""",
+    WHERE f >= TIMESTAMP '{start}' AND f < TIMESTAMP '{end}' AND k >= 2""",
         f"{p}_runs": f"""SELECT *, sum(head) OVER (PARTITION BY session ORDER BY event_time, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM (
     SELECT *, CASE WHEN coalesce(product_id <> lag(product_id) OVER (PARTITION BY session ORDER BY event_time, seq), TRUE) THEN 1 ELSE 0 END AS head,
       row_number() OVER (PARTITION BY session ORDER BY event_time, seq) - 1 AS pos FROM {ev} WHERE session IN (SELECT session FROM {p}_sess))""",
@@ -97,6 +97,39 @@ def _features() -> str:
   JOIN (SELECT h.* FROM cb_hist h JOIN cb_pick q ON q.session = h.session AND q.cut_pos = h.pos) l USING (session)""", f"SELECT *, c_time_all + c_type_all + c_buy2buy_all AS c_sum FROM (SELECT session, product_id, {sums} FROM part_b GROUP BY ALL)"
 
 
+def _upper(x: str) -> str:
+    """The normal distribution's upper tail at x >= 0, to 7.5e-8 (Abramowitz and Stegun, 26.2.17)."""
+    t = f"(1 / (1 + 0.2316419 * ({x})))"
+    return f"(exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
+
+
+class CDF:
+    """p-value and power as SQL of an effect's distance from 0 in errors."""
+
+    Z, REACH = "1.959963984540054", "2.8015852181129683"
+
+    @staticmethod
+    def p(d: str) -> str:
+        return f"2 * {_upper(f'abs({d})')}"
+
+    @classmethod
+    def power(cls, d: str) -> str:
+        low, high = f"({cls.Z} - abs({d}))", f"({cls.Z} + abs({d}))"
+        return f"(CASE WHEN {low} >= 0 THEN {_upper(f'abs({low})')} ELSE 1 - {_upper(f'abs({low})')} END + {_upper(high)})"
+
+
+def _drafted(a: str, b: str) -> str:
+    """session, target, items and team of the team draft of two lists."""
+    left = "list_filter({0}, lambda x: x >= 0 AND NOT list_contains(items, x))[1]"
+    return f"""SELECT session, target, arg_max(items, i) AS items, arg_max(team, i) AS team FROM (WITH RECURSIVE d AS (
+      SELECT x.session, x.run AS a, y.run AS b, target, sha256('0:' || x.session) AS h, []::BIGINT[] AS items, []::INT[] AS team, 0 AS pa, 0 AS pb, 0 AS i FROM {a} x JOIN {b} y USING (session) JOIN cb_pick USING (session)
+      UNION ALL SELECT session, a, b, target, h, list_append(items, CASE WHEN side = 1 THEN na ELSE nb END), list_append(team, side), pa + CASE WHEN side = 1 THEN 1 ELSE 0 END, pb + CASE WHEN side = 1 THEN 0 ELSE 1 END, i + 1
+      FROM (SELECT *, CASE WHEN na IS NULL THEN -1 WHEN nb IS NULL THEN 1 WHEN pa <> pb THEN CASE WHEN pa < pb THEN 1 ELSE -1 END WHEN (strpos('0123456789abcdef', substr(h, 64 - i // 4, 1)) - 1) >> (i % 4) & 1 = 1 THEN 1 ELSE -1 END AS side
+        FROM (SELECT *, {left.format('a')} AS na, {left.format('b')} AS nb FROM d WHERE i < 20) WHERE na IS NOT NULL OR nb IS NOT NULL)) SELECT * FROM d) GROUP BY session, target"""
+
+
+#: Credit of each session: of the treatment's list against the control's, and of the control's against itself.
+DRAFT = "coalesce(team[list_position(items, target)], 0)"
 _FEATURES, _SIX = _features()
 _ALL = "UNION ALL".join(f" SELECT '{n}' AS model, * FROM run_{n} " for n in ("popular", "history", "item2item", "covis"))
 CTES: dict[str, str] = {
@@ -124,10 +157,36 @@ CTES: dict[str, str] = {
     "per_user": """SELECT user_id, count(*) AS n, sum(hit)::BIGINT AS y, sum(hit_t)::BIGINT AS yt FROM sess_b JOIN hits_b USING (session) GROUP BY user_id""",
     "arm_users": """SELECT user_id, n, CASE WHEN arm = 1 THEN yt ELSE y END AS y, arm FROM (SELECT *, CASE WHEN bucket < 0.5 THEN 1 ELSE 0 END AS arm FROM (
     SELECT *, (('0x' || sha256('ranker-vs-item2item:' || user_id)[1:14])::BIGINT >> 3)::DOUBLE / 9007199254740992 AS bucket FROM per_user))""",
+    "night_sc": "SELECT session, product_id FROM (" + _scores("cb_items", "night_m") + ") GROUP BY ALL",
+    "draft_b": _drafted("run_covis", "run_item2item"), "draft_aa": _drafted("run_item2item", "run_item2item"),
+    "shown_b": """SELECT session, q AS share FROM (SELECT session, row_number() OVER (ORDER BY sha256('0:' || session), session) - 1 AS place, count(*) OVER () AS n FROM cb_sess),
+    (SELECT unnest([1.0, 0.5, 0.2, 0.1, 0.05]::DOUBLE[]) AS q) WHERE place < round(q * n)""",
+    "sess_q": f"""SELECT s.session, user_id, day, q.share, hit, CASE WHEN h.session IS NOT NULL THEN hit_t ELSE hit END AS t, CASE WHEN h.session IS NOT NULL THEN x.credit ELSE y.credit END AS i
+    FROM sess_b s JOIN hits_b USING (session) JOIN (SELECT session, {DRAFT} AS credit FROM draft_b) x USING (session) JOIN (SELECT session, {DRAFT} AS credit FROM draft_aa) y USING (session)
+    CROSS JOIN (SELECT unnest([1.0, 0.5, 0.2, 0.1, 0.05]::DOUBLE[]) AS share) q LEFT JOIN shown_b h ON h.session = s.session AND h.share = q.share""",
+    "panel_q": """SELECT user_id, share, d AS day, count(*) AS n, sum(hit)::BIGINT AS c, sum(t)::BIGINT AS t, sum(i)::BIGINT AS i,
+      CASE WHEN (('0x' || sha256('ranker-vs-item2item:' || user_id)[1:14])::BIGINT >> 3)::DOUBLE / 9007199254740992 < 0.5 THEN 1 ELSE 0 END AS arm
+    FROM sess_q JOIN (SELECT unnest(range(7))::INT AS d) ON day <= d GROUP BY user_id, share, d""",
+    "arm_q": """SELECT *, (yy - 2 * r * yn + r * r * nn) / (sn::DOUBLE * sn) * n / (n - 1) AS v FROM (SELECT share, day, arm, count(*) AS n, sum(n)::BIGINT AS sn, sum(n * n)::BIGINT AS nn, sum(y * y)::BIGINT AS yy, sum(y * n)::BIGINT AS yn, sum(y)::DOUBLE / sum(n) AS r
+      FROM (SELECT *, CASE WHEN arm = 1 THEN t ELSE c END AS y FROM panel_q) GROUP BY share, day, arm)""",
+    "all_q": """SELECT share, day, n, sn, rt - rc AS effect, sqrt(4 * (cc - 2 * rc * cn + rc * rc * nn) / (sn::DOUBLE * sn) * n / (n - 1)) AS se, ri AS pref, sqrt((ii - 2 * ri * inn + ri * ri * nn) / (sn::DOUBLE * sn) * n / (n - 1)) AS pref_se FROM (
+      SELECT share, day, count(*) AS n, sum(n)::BIGINT AS sn, sum(n * n)::BIGINT AS nn, sum(c * c)::BIGINT AS cc, sum(c * n)::BIGINT AS cn, sum(i * i)::BIGINT AS ii, sum(i * n)::BIGINT AS inn,
+        sum(c)::DOUBLE / sum(n) AS rc, sum(t)::DOUBLE / sum(n) AS rt, sum(i)::DOUBLE / sum(n) AS ri FROM panel_q GROUP BY share, day)""",
     "arm_sums": "SELECT arm, count(*) AS n, sum(y * y)::BIGINT AS YY, sum(y * n)::BIGINT AS YN, sum(n * n)::BIGINT AS NN, sum(n)::BIGINT AS SN, sum(y)::BIGINT AS SY FROM arm_users GROUP BY arm",
 }
 
 
+def refresh(p: str, before: str, until: str, day: str) -> str:
+    """Metrics of item to item on window C's cases of one day, with tables of the events before another."""
+    CTES[f"{p}_prep"], CTES[f"{p}_w"], CTES[f"{p}_m"] = _prepared("day_ev", before), _weights(f"{p}_prep"), _matrix(f"{p}_w")
+    CTES[f"{p}_pick"] = f"SELECT * FROM cc_pick WHERE cut_time >= TIMESTAMP '{day}' AND cut_time < TIMESTAMP '{day}' + INTERVAL 1 DAY"
+    CTES[f"{p}_pop"] = f"SELECT product_id, count(*) AS pop FROM day_ev WHERE {before} AND event_time >= TIMESTAMP '{until}' - INTERVAL 7 DAY GROUP BY product_id"
+    CTES[f"{p}_part"] = _scores("cc_items", f"{p}_m")
+    CTES[f"{p}_sc"] = f"SELECT session, product_id, round(sum(part), 9) AS score FROM {p}_part WHERE h_rank = 0 GROUP BY ALL"
+    CTES[f"{p}_run"] = _top(f"{p}_sc", f"{p}_pick", f"{p}_pop")
+    return metrics(f"{p}_run", f"{p}_pick")
+
+
 def sql(body: str) -> str:
     """body with the table expressions that it needs before it."""
     need: dict[str, None] = {}

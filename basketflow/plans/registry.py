@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -9,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketflow import schemas as S
+from basketflow.functions import bootstrap, interleave, replay
 from basketflow.functions import experiment as E
-from basketflow.functions import interleave
 from basketflow.operators import candidates as C
 from basketflow.operators import covisit, drift, features, nightly, ranker, split
-from basketflow.plans.oracle import metrics, product_stats, sql
+from basketflow.plans.oracle import CDF, DRAFT, metrics, product_stats, refresh, sql
 from basketflow.sources import adapters as A
-from basketflow.sources import versions
+from basketflow.sources import topics, versions
+from basketflow.sources.shared import shared
+from basketflow.streaming import online
 from basketflow.streaming import sessions as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,10 +38,14 @@ def query(oracle: str | None = None):
 
 def _tmp(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors share."""
-    import tempfile
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def _once(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder, for queries that read it several times."""
+    at = _tmp(df.sparkSession, "once")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 # -- shared intermediate frames
@@ -83,14 +90,15 @@ def _r(df, *columns, n=6):
 # -- sources, scans, sinks
 
 
-@query()
+@query("""SELECT event_time, CASE event_type WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS event_type, product_id::INT AS product_id, category_id::BIGINT AS category_id, NULL::VARCHAR AS category_code, brand, round(price::FLOAT, 3) AS price, user_id::INT AS user_id, session::VARCHAR AS user_session
+  FROM (SELECT * REPLACE (date_trunc('second', event_time) AS event_time) FROM day_ev)""")
 def src_csv_typed(s, d):
     """Writes events as gzipped raw CSV and reads them typed."""
     at = _tmp(s, "csv")
     name = F.when(F.col("event_type") == 0, "view").when(F.col("event_type") == 1, "cart").otherwise("purchase")
     rows = A.e_day(s, d).select(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss 'UTC'").alias("event_time"), name.alias("event_type"), "product_id", "category_id", F.lit(None).cast("string").alias("category_code"), "brand", "price", "user_id", F.col("session").cast("string").alias("user_session"))
     rows.write.option("header", True).option("compression", "gzip").csv(at)
-    return A.csv_typed(s, at, partitions=s.sparkContext.defaultParallelism)
+    return A.csv_typed(s, at, partitions=s.sparkContext.defaultParallelism).withColumn("price", F.round("price", 3))
 
 
 @query("""SELECT seq, dense_rank() OVER (ORDER BY f, session) - 1 AS session FROM (SELECT *, min(event_time) OVER (PARTITION BY session) AS f FROM day_ev)""")
@@ -146,18 +154,32 @@ def wh_read_night(s, d):
     return versions.read_night(s, at, "2024-01-23", {"weight": "float"})
 
 
-@query("SELECT product_id, string_agg(neighbour, ',' ORDER BY rank) AS neighbours FROM day_m WHERE kind = 'time' GROUP BY product_id")
+_BRANDS = "(SELECT brand, row_number() OVER (ORDER BY brand) - 1 AS code FROM (SELECT DISTINCT p_brand AS brand FROM stats_b WHERE p_brand IS NOT NULL))"
+
+
+def _tables(s, d):
+    return online.export(_matrix_b(s, d), features.product_stats(split.stats_events(A.e_day(s, d), "B"), B), _popular_b(s, d))
+
+
+@query(f"""SELECT product_id, n.time AS time_neighbours, n.type AS type_neighbours, n.buy2buy AS buy2buy_neighbours, p_events_1d, p_events_7d, p_carts_7d, p_purchases_7d, round(p_price, 3) AS p_price, coalesce(b.code, -1) AS brand_code, q.place
+  FROM (SELECT product_id, {', '.join(f"coalesce(string_agg(neighbour, ',' ORDER BY rank) FILTER (WHERE kind = '{k}'), '') AS {k}" for k in S.KINDS)} FROM day_m GROUP BY product_id) n FULL JOIN stats_b USING (product_id)
+  LEFT JOIN {_BRANDS} b ON b.brand = p_brand LEFT JOIN (SELECT product_id, row_number() OVER (ORDER BY pop DESC, product_id) AS place FROM pop_b QUALIFY place <= 200) q USING (product_id)""")
 def artifacts_export(s, d):
-    rows = _matrix_b(s, d).where("kind = 'time'").groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))).alias("x"))
-    return rows.select("product_id", _line(F.transform("x", lambda v: v["neighbour"])).alias("neighbours"))
+    """The serving tables, written and read back: neighbour arrays, statistics with brand codes, popular places."""
+    tables = {k: _once(v) for k, v in _tables(s, d).items()}
+    n = tables["neighbours"].select("product_id", *(_line(f"{k}_n").alias(f"{k}_neighbours") for k in S.KINDS))
+    stats = tables["stats"].select("product_id", "p_events_1d", "p_events_7d", "p_carts_7d", "p_purchases_7d", F.round("p_price", 3).alias("p_price"), F.col("brand_code").cast("long").alias("brand_code"))
+    return n.join(stats, "product_id", "full").join(tables["popular"].select("product_id", "place"), "product_id", "left").withColumn("brand_code", F.coalesce("brand_code", F.lit(-1)))
 
 
-@query("SELECT kind, count(*) AS n FROM day_m GROUP BY kind")
+@query(f"""SELECT 'brands' AS "table", count(*) AS n FROM {_BRANDS} UNION ALL SELECT 'neighbours', count(DISTINCT product_id) FROM day_m UNION ALL SELECT 'popular', least(200, count(*)) FROM pop_b UNION ALL SELECT 'stats', count(*) FROM stats_b""")
 def artifacts_load(s, d):
-    """Builds a version, publishes it and reads it by the pointer."""
+    """Builds a version of all serving tables, publishes it and reads them by the pointer."""
     v = versions.Versions(s, _tmp(s, "versions"))
-    v.publish(v.build("2024-01-16", {"covis": _matrix_b(s, d)}, {"day": "2024-01-16"}))
-    return v.table("covis").groupBy("kind").agg(F.count("*").alias("n"))
+    tables = _tables(s, d)
+    v.publish(v.build("2024-01-16", tables, {"day": "2024-01-16"}))
+    parts = [v.table(k).agg(F.lit(k).alias("table"), F.count("*").alias("n")) for k in tables]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("SELECT session, seq, product_id FROM day_ev WHERE event_time >= TIMESTAMP '2024-01-20' AND event_time < TIMESTAMP '2024-01-22' AND session IN (SELECT session FROM day_ev GROUP BY session HAVING count(*) >= 3)")
@@ -184,9 +206,16 @@ def project_epoch(s, d):
     return A.e_day(s, d).select("seq", F.unix_seconds("event_time").alias("ts"))
 
 
-@query("SELECT event_type, count(*) AS n FROM day_ev GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, TRUE AS refuses_unknown FROM day_ev GROUP BY event_type")
 def recode_strict(s, d):
-    return A.e_day(s, d).groupBy("event_type").agg(F.count("*").alias("n"))
+    """Codes by a strict table; a table that lacks a value that occurs is refused."""
+    names = A.read(s, d, "events").where(F.col("event_type").isin("view", "click", "purchase"))
+    try:
+        names.select(A.recode_strict(F.col("event_type"), {"view": 0, "click": 1}).alias("c")).agg(F.max("c")).collect()
+        refuses = False
+    except Exception as e:  # noqa: BLE001  the engine's error for raise_error
+        refuses = "unknown value" in str(e)
+    return names.groupBy(A.recode_strict(F.col("event_type"), {"view": 0, "click": 1, "purchase": 2}).alias("event_type")).agg(F.count("*").alias("n")).withColumn("refuses_unknown", F.lit(refuses))
 
 
 @query("SELECT session, product_id, round(c_time_all, 6) AS c_time_all, round(c_type_last, 6) AS c_type_last FROM feat_b")
@@ -441,10 +470,77 @@ def stream_consume(s, d):
     return s.read.parquet(out).groupBy("session").agg(F.max_by(F.struct("n_kept", "products"), "batch").alias("l")).select("session", "l.*")
 
 
-@query("""SELECT count(*) AS n, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.95), 6) AS p95, round(quantile_cont(ms, 0.99), 6) AS p99 FROM (SELECT (o_orderkey % 97)::DOUBLE * 1000 AS ms FROM orders)""")
+@query("SELECT count(*) AS n, TRUE AS in_order FROM day_ev WHERE event_time < TIMESTAMP '2024-01-17'")
 def stream_staleness(s, d):
-    rows = A.read(s, d, "orders").select(F.lit(0).cast("long").alias("sent"), (F.col("o_orderkey") % 97).alias("done"))
-    return _r(stream.staleness(rows, "sent", "done"), "p50", "p95", "p99")
+    """Messages that carry when they were sent, consumed as a stream that notes when each is readable; whether 0 <= p50 <= p95 <= p99."""
+    src, out, check = (_tmp(s, x) for x in ("sent", "readable", "sent-check"))
+    ev = A.e_day(s, d).where(F.col("event_time") < F.lit(B))
+    for half in (0, 1):
+        stream.encode(ev.where(F.col("seq") % 2 == half)).withColumn("sent", F.unix_micros(F.current_timestamp()) / 1e6).write.mode("append").parquet(src)
+    rows = s.readStream.schema("session long, seq long, value string, sent double").parquet(src)
+    write = lambda df, i: df.withColumn("done", F.unix_micros(F.current_timestamp()) / 1e6).write.mode("append").parquet(out)
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return stream.staleness(s.read.parquet(out), "sent", "done").select("n", ((F.col("p50") >= 0) & (F.col("p50") <= F.col("p95")) & (F.col("p95") <= F.col("p99"))).alias("in_order"))
+
+
+@query("SELECT count(DISTINCT session % 6) AS partitions, count(*) FILTER (WHERE event_time >= TIMESTAMP '2024-01-24') AS lag FROM day_ev")
+def stream_lag(s, d):
+    """Messages that a consumer has not read which stopped at 24 January, over six partitions."""
+    w = Window.partitionBy("partition").orderBy("event_time", "seq")
+    log = A.e_day(s, d).withColumn("partition", (F.col("session") % 6).cast("int")).withColumn("offset", F.row_number().over(w) - 1)
+    read = log.where(F.col("event_time") < F.lit(C_)).groupBy("partition").agg(F.count("*").alias("position"))
+    return stream.lag(log, read)
+
+
+@query("SELECT session, seq, round((epoch_us(event_time) // 1000000 - min(epoch_us(event_time) // 1000000) OVER ()) / 3600.0::DOUBLE, 6) AS due FROM day_ev WHERE event_time < TIMESTAMP '2024-01-17'")
+def stream_replay(s, d):
+    """Seconds after the start at which a replay at 3600 times the speed publishes each event."""
+    return _r(stream.due(A.e_day(s, d).where(F.col("event_time") < F.lit(B)), 3600).select("session", "seq", "due"), "due")
+
+
+@query("""SELECT request, seq FROM (SELECT session || ':' || seq AS request, seq FROM day_ev) WHERE ('0x' || sha256('0:' || request)[1:8])::BIGINT / 4294967296.0::DOUBLE < 0.25 ORDER BY seq DESC LIMIT 400""")
+def stream_sampler(s, d):
+    """A quarter of the requests, micro-batch by micro-batch, into a table capped at the newest 400."""
+    src, out, check = (_tmp(s, x) for x in ("asked", "sampled", "asked-check"))
+    ev = A.e_day(s, d).select(F.concat_ws(":", "session", "seq").alias("request"), "seq")
+    for half in (0, 1):
+        ev.where(F.col("seq") % 2 == half).coalesce(1).write.mode("append").parquet(src)
+    sampler = stream.Sampler(out, 0.25, 400)
+    s.readStream.schema("request string, seq long").option("maxFilesPerTrigger", 1).parquet(src).writeStream.foreachBatch(sampler.record).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return sampler.rows(s).select("request", "seq")
+
+
+@query("""SELECT session, count(*) AS n_kept, string_agg(product_id, ',' ORDER BY seq) AS products FROM
+  (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS r, max(event_time) OVER (PARTITION BY session) AS last, max(event_time) OVER () AS now FROM long_ev) WHERE r <= 20 AND last >= now - INTERVAL 10 DAY GROUP BY session""")
+def sink_session_store(s, d):
+    """Micro-batches of events appended to a store that keeps 20 events of a session and sessions of the last ten days; the second batch comes twice."""
+    store = stream.SessionStore(s, _tmp(s, "store"), cap=20, ttl=10 * S.DAY)
+    ev = A.e_long(s, d).withColumn("event_time", F.date_trunc("second", "event_time"))
+    half = ev.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
+    for i in (0, 1, 1):
+        store.append(ev.where((F.col("seq") > F.lit(half)) == F.lit(bool(i))), i)
+    return store.sessions()
+
+
+@query("SELECT CAST(session AS VARCHAR) AS key, count(*) AS n, count(*) AS n_offsets FROM day_ev GROUP BY session")
+def sink_kafka(s, d):
+    """Events published as messages keyed by session, in two parts, offsets going on; to a folder, as a broker's connector is not part of PySpark."""
+    at = _tmp(s, "topic")
+    rows = stream.encode(A.e_day(s, d)).select(F.col("session").cast("string").alias("key"), "seq", "value")
+    topics.write_folder(rows.where("seq % 2 = 0"), at)
+    high = s.read.parquet(at).groupBy("partition").agg((F.max("offset") + 1).alias("high"))
+    topics.write_folder(rows.where("seq % 2 = 1"), at, start=_once(high))
+    return s.read.parquet(at).groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("partition", "offset").alias("n_offsets"))
+
+
+@query("SELECT session, product_id, event_type, count(*) AS n FROM day_ev GROUP BY ALL")
+def src_kafka(s, d):
+    """The same topic read as a stream, a few files a micro-batch, and decoded."""
+    at, out, check = (_tmp(s, x) for x in ("topic", "decoded", "topic-check"))
+    topics.write_folder(stream.encode(A.e_day(s, d)).select(F.col("session").cast("string").alias("key"), "seq", "value"), at)
+    rows = stream.decode(topics.read_folder(s, at, most=4).withColumn("seq", F.col("offset")))
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out).groupBy("session", "product_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT user_id, min(event_time) AS start_time, max(event_time) AS last_event, count(*) AS n FROM (
@@ -582,7 +678,7 @@ def metrics_eval(s, d):
 @query(metrics("all_runs", "cb_pick", "model"))
 def baselines_table(s, d):
     history, cases = _cases(s, d)
-    m, pop = _matrix_b(s, d), _popular_b(s, d)
+    m, pop = _once(_matrix_b(s, d)), _popular_b(s, d)
     parts = [C.top_k(C.baseline_scores(n, history, m), cases, pop).withColumn("model", F.lit(n)) for n in ("popular", "history", "item2item", "covis")]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     return C.evaluate(both, cases, ("model",))
@@ -597,23 +693,40 @@ def train_sample(s, d):
     return features.train_sample(_features(s, d)).select("session", "product_id", "label")
 
 
+_TREES = 20
+_models: dict[str, ranker.Ranker] = {}
+
+
+def _model(s, d) -> ranker.Ranker:
+    """The ranker of window B's sample, trained once for a folder."""
+    if d not in _models:
+        _models[d] = ranker.train(_once(features.train_sample(_features(s, d))), trees=_TREES)
+    return _models[d]
+
+
 @query()
 def ranker_train(s, d):
-    """Trained on window B's sample; the importance of each feature."""
-    return ranker.importance(s, ranker.train(features.train_sample(_features(s, d))))
+    """Trained on window B's sample: rows, sessions, rounds, NDCG@10 of the held-out sessions after each, whether it is in the model."""
+    m = _model(s, d)
+    return s.createDataFrame([(i + 1, m.rows, m.sessions, float(n), i < len(m.trees)) for i, n in enumerate(m.ndcg)], "round int, rows long, sessions long, ndcg_10 double, kept boolean")
+
+
+@query()
+def feature_importance(s, d):
+    return ranker.importance(s, _model(s, d))
 
 
-QUERIES["feature_importance"] = QUERIES["ranker_train"]
+def _window_c(s, d):
+    history, cases = _cases(s, d, "C")
+    before = split.stats_events(A.e_day(s, d), "C")
+    return history, cases, before, features.build(history, cases, _once(_matrix_c(s, d)), features.product_stats(before, C_))
 
 
 @query()
 def ranker_score(s, d):
     """Window C ranked by a model of window B."""
-    model = ranker.train(features.train_sample(_features(s, d)))
-    history, cases = _cases(s, d, "C")
-    before = split.stats_events(A.e_day(s, d), "C")
-    rows = features.build(history, cases, _matrix_c(s, d), features.product_stats(before, C_))
-    return C.evaluate(C.top_k(ranker.score(model, rows), cases, C.popular(before, C_)), cases)
+    _, cases, before, rows = _window_c(s, d)
+    return C.evaluate(C.top_k(ranker.score(_model(s, d), rows), cases, C.popular(before, C_)), cases)
 
 
 @query("SELECT count(*) AS n_cases, count(h.session) AS n_hit, round(count(h.session)::DOUBLE / count(*), 6) AS candidate_recall FROM cb_pick LEFT JOIN (SELECT DISTINCT session FROM feat_b WHERE label = 1) h USING (session)")
@@ -621,20 +734,35 @@ def candidate_recall(s, d):
     return ranker.candidate_recall(_features(s, d), _cases(s, d)[1])
 
 
-@query()
+_DAYS = [f"2024-01-{24 + k:02d}" if k < 8 else "2024-02-01" for k in range(8)]
+
+
+def _refresh_sql() -> str:
+    parts = []
+    for k, day in enumerate(_DAYS):
+        for name, until in (("frozen", "2024-01-24"), ("nightly", day)):
+            p, at = f"rd_{name}_{k}", f"event_time < TIMESTAMP '{until}'"
+            parts.append(refresh(p, at, until, day))
+    return " UNION ALL ".join(f"SELECT {k}::INT AS day, '{name}' AS tables, n_cases, recall_20, ndcg_10 FROM ({part})" for (k, name), part in zip([(k, n) for k in range(8) for n in ("frozen", "nightly")], parts, strict=True))
+
+
+@query(_refresh_sql())
 def refresh_daily(s, d):
     """Per day of window C: item-to-item recall with tables frozen at its start and with tables before that day."""
     history, cases = _cases(s, d, "C")
-    ev, out = A.e_day(s, d), None
+    history, cases, ev, out = _once(history), _once(cases), A.e_day(s, d), None
+
+    def tables(until):
+        before = ev.where(F.col("event_time") < until)
+        return _once(covisit.build(before)), _once(C.popular(before, until))
+
+    frozen = tables(F.lit(C_))
     for k in range(8):
         day = F.lit(C_) + F.expr(f"INTERVAL {k} DAYS")
         mine = cases.where((F.col("cut_time") >= day) & (F.col("cut_time") < day + F.expr("INTERVAL 1 DAY")))
         own = history.join(mine.select("session"), "session", "left_semi")
-        for name, until in (("frozen", F.lit(C_)), ("nightly", day)):
-            before = ev.where(F.col("event_time") < until)
-            pop = before.where(F.col("event_time") >= until - F.expr("INTERVAL 7 DAYS")).groupBy("product_id").agg(F.count("*").alias("pop"))
-            run = C.top_k(C.baseline_scores("item2item", own, covisit.build(before)), mine, pop)
-            row = C.evaluate(run, mine).select(F.lit(k).alias("day"), F.lit(name).alias("tables"), "n_cases", "recall_20", "ndcg_10")
+        for name, (matrix, pop) in (("frozen", frozen), ("nightly", frozen if k == 0 else tables(day))):
+            row = C.evaluate(C.top_k(C.baseline_scores("item2item", own, matrix), mine, pop), mine).select(F.lit(k).alias("day"), F.lit(name).alias("tables"), "n_cases", "recall_20", "ndcg_10")
             out = row if out is None else out.unionByName(row)
     return out
 
@@ -647,15 +775,15 @@ def daily_counts(s, d):
     return nightly.daily_counts(A.e_day(s, d), "2024-01-23")
 
 
-@query("""WITH c AS (SELECT CAST(event_time AS DATE) AS d, count(*) AS n, max(event_time) AS last FROM day_ev WHERE event_time >= TIMESTAMP '2024-01-16' AND event_time < TIMESTAMP '2024-01-24' GROUP BY 1),
+_GATE = """SELECT * FROM (WITH c AS (SELECT CAST(event_time AS DATE) AS d, count(*) AS n, max(event_time) AS last FROM day_ev WHERE event_time >= TIMESTAMP '2024-01-16' AND event_time < TIMESTAMP '2024-01-24' GROUP BY 1),
   r AS (SELECT coalesce(max(n) FILTER (WHERE d = DATE '2024-01-23'), 0) AS events, max(last) FILTER (WHERE d = DATE '2024-01-23') AS last, median(n) FILTER (WHERE d < DATE '2024-01-23') AS usual FROM c)
   SELECT '2024-01-23' AS day, events, round(events / usual, 6) AS ratio, CASE WHEN events = 0 THEN 'no events' WHEN last < TIMESTAMP '2024-01-23 23:00:00' THEN 'not complete'
-    WHEN NOT events / usual BETWEEN 0.5 AND 2.0 THEN 'volume' ELSE 'ok' END AS status FROM r""")
-def gate(s, d):
-    return nightly.gate(nightly.daily_counts(A.e_day(s, d), "2024-01-23"), "2024-01-23")
+    WHEN NOT events / usual BETWEEN 0.5 AND 2.0 THEN 'volume' ELSE 'ok' END AS status FROM r)"""
 
 
-ORACLE_SQL["gate"] = ORACLE_SQL["gate"].replace("\nWITH c AS", ",\nc AS")
+@query(_GATE)
+def gate(s, d):
+    return nightly.gate(nightly.daily_counts(A.e_day(s, d), "2024-01-23"), "2024-01-23")
 
 
 @query("SELECT kind, count(*) AS n FROM night_m GROUP BY kind")
@@ -665,13 +793,28 @@ def build_version(s, d):
     return v.table("covis", "2024-01-23").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT n_new, n_old, round(abs(n_new - n_old)::DOUBLE / greatest(n_old, 1), 4) AS change, round(overlap, 4) AS overlap,
-  CASE WHEN abs(n_new - n_old)::DOUBLE / greatest(n_old, 1) > 0.25 THEN 'size' WHEN overlap < 0.2 THEN 'overlap' ELSE 'ok' END AS status
-  FROM (SELECT count(DISTINCT product_id) AS n_new FROM night_m), (SELECT count(DISTINCT product_id) AS n_old FROM day_m), (
+def _probes(s, d, matrix, n: int = 50):
+    """Lists of n sessions of window B, in a seeded order, by the summed co-visitation of a matrix."""
+    history, cases = _cases(s, d)
+    some = cases.orderBy(split.order_hash(0, F.lit("probe"), F.col("session")), "session").limit(n).select("session", "last_product")
+    scores = C.combined(C.covis_scores(C.history_items(history.join(some.select("session"), "session", "left_semi")), matrix))
+    return online.recommend(scores, some, _popular_b(s, d))
+
+
+_PROBED = """SELECT count(*) AS n_probes, count(*) FILTER (WHERE own + filler >= 20) AS n_full FROM (SELECT p.session, count(DISTINCT c.product_id) AS own,
+    (SELECT count(*) FROM (SELECT product_id FROM pop_b ORDER BY pop DESC, product_id LIMIT 200) f WHERE f.product_id <> p.last_product AND f.product_id NOT IN (SELECT product_id FROM night_sc n WHERE n.session = p.session)) AS filler
+  FROM (SELECT session, last_product FROM cb_pick ORDER BY sha256('0:probe:' || session), session LIMIT 50) p LEFT JOIN night_sc c ON c.session = p.session AND c.product_id <> p.last_product GROUP BY p.session, p.last_product)"""
+_VALIDATED = f"""SELECT n_new, n_old, round(abs(n_new - n_old)::DOUBLE / greatest(n_old, 1), 4) AS change, round(overlap, 4) AS overlap, n_probes, n_full,
+  CASE WHEN abs(n_new - n_old)::DOUBLE / greatest(n_old, 1) > 0.25 THEN 'size' WHEN coalesce(overlap, 0) < 0.2 THEN 'overlap' WHEN n_full < n_probes THEN 'probes' ELSE 'ok' END AS status
+  FROM (SELECT count(DISTINCT product_id) AS n_new FROM night_m), (SELECT count(DISTINCT product_id) AS n_old FROM day_m), ({_PROBED}), (
     SELECT avg(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b)))) AS overlap FROM (SELECT product_id, list(neighbour) AS a FROM day_m WHERE kind = 'time' GROUP BY 1)
-    JOIN (SELECT product_id, list(neighbour) AS b FROM night_m WHERE kind = 'time' GROUP BY 1) USING (product_id) JOIN (SELECT product_id FROM pop_b ORDER BY pop DESC, product_id LIMIT 200) USING (product_id))""")
+    JOIN (SELECT product_id, list(neighbour) AS b FROM night_m WHERE kind = 'time' GROUP BY 1) USING (product_id) JOIN (SELECT product_id FROM pop_b ORDER BY pop DESC, product_id LIMIT 200) USING (product_id))"""
+
+
+@query(_VALIDATED)
 def validate(s, d):
-    return nightly.validate(_matrix_c(s, d), _matrix_b(s, d), _popular_b(s, d))
+    new, old = _once(_matrix_c(s, d)), _once(_matrix_b(s, d))
+    return nightly.validate(new, old, _popular_b(s, d), _probes(s, d, new))
 
 
 @query("SELECT 'night-2' AS version, count(*) AS n FROM night_m")
@@ -683,17 +826,24 @@ def publish(s, d):
     return v.table("covis").agg(F.count("*").alias("n")).select(F.lit(v.current()).alias("version"), "n")
 
 
-@query()
+def _dag_sql() -> str:
+    return f"""SELECT gate, CASE WHEN gate = 'ok' THEN validation ELSE 'not built' END AS validation, CASE WHEN gate = 'ok' AND validation = 'ok' THEN '2024-01-23' ELSE '2024-01-16' END AS serving
+  FROM (SELECT status AS gate FROM ({_GATE})), (SELECT status AS validation FROM ({_VALIDATED}))"""
+
+
+@query(_dag_sql())
 def nightly_dag(s, d):
-    """Check, build, validate, publish; a refused night leaves the pointer."""
+    """Check, then build, validate, publish; a refused night is not built and leaves the pointer."""
     v = versions.Versions(s, _tmp(s, "dag"))
     v.publish(v.build("2024-01-16", {"covis": _matrix_b(s, d)}, {}))
-    check = gate(s, d).first()
-    v.build("2024-01-23", {"covis": _matrix_c(s, d)}, {})
-    report = nightly.validate(v.table("covis", "2024-01-23"), v.table("covis"), _popular_b(s, d)).first()
-    if check["status"] == report["status"] == "ok":
-        v.publish("2024-01-23")
-    return s.createDataFrame([(check["status"], report["status"], v.current())], "gate string, validation string, serving string")
+    check, validation = gate(s, d).first()["status"], "not built"
+    if check == "ok":
+        built = v.build("2024-01-23", {"covis": _matrix_c(s, d)}, {})
+        new = v.table("covis", built)
+        validation = nightly.validate(new, v.table("covis"), _popular_b(s, d), _probes(s, d, new)).first()["status"]
+        if validation == "ok":
+            v.publish(built)
+    return s.createDataFrame([(check, validation, v.current())], "gate string, validation string, serving string")
 
 
 @query("""SELECT kind, count(a.weight) AS n_first, count(b.weight) AS n_second, count(*) FILTER (WHERE b.weight IS NULL) AS only_first, count(*) FILTER (WHERE a.weight IS NULL) AS only_second,
@@ -726,32 +876,48 @@ def ingest_stats(s, d):
 # -- online scoring: the batch operators over a micro-batch
 
 
-@query("SELECT session, product_id, round(c_sum, 6) AS c_sum, h_events, s_events FROM feat_b")
-def online_features(s, d):
-    """The batch features for sessions that come through the codec."""
-    history, cases = _cases(s, d)
+_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" if c in _FLOATS else "round(price_ratio::DOUBLE, 3) AS price_ratio" if c == "price_ratio" else c for c in S.FEATURES)
+
+
+def _online(s, d):
+    """Features of window B's sessions that came through the codec, worked out session by session from exported tables."""
+    history = _cases(s, d)[0]
     back = stream.decode(stream.encode(history)).join(history.select("session", "seq", "pos"), ["session", "seq"])
-    stats = features.product_stats(split.stats_events(A.e_day(s, d), "B"), B)
-    return _r(features.build(back, cases, _matrix_b(s, d), stats).select("session", "product_id", "c_sum", "h_events", "s_events"), "c_sum")
+    tables = {k: _once(v) for k, v in _tables(s, d).items()}
+    return online.online_features(back, tables)
 
 
-@query("SELECT session, array_to_string(run, ',') AS run FROM run_covis")
-def recommend(s, d):
-    run, _ = _run(s, d, "covis")
-    return run.select("session", _line("run").alias("run"))
+@query(f"SELECT session, product_id, {_ROUNDED} FROM feat_b")
+def online_features(s, d):
+    return _fixed(_online(s, d))
 
 
-QUERIES["rank"], ORACLE_SQL["rank"] = QUERIES["recommend"], ORACLE_SQL["recommend"]
+def _filled(own: str, pick: str, pop: str) -> str:
+    return f"""SELECT session, array_to_string(list_concat(own, list_filter(filler, lambda x: x <> last_product AND NOT list_contains(own, x))[1:20 - len(own)]), ',') AS items, len(own) AS n_scored FROM (
+    SELECT p.session, p.last_product, coalesce(o.own, []::BIGINT[]) AS own FROM {pick} p LEFT JOIN (SELECT session, list(product_id ORDER BY rk) AS own FROM ({own}) WHERE rk <= 20 GROUP BY session) o USING (session)),
+    (SELECT list(product_id ORDER BY pop DESC, product_id) AS filler FROM (SELECT * FROM {pop} ORDER BY pop DESC, product_id LIMIT 200))"""
+
+
+@query(_filled("SELECT session, product_id, row_number() OVER (PARTITION BY session ORDER BY round(c_sum, 6) DESC, product_id) AS rk FROM feat_b", "cb_pick", "pop_b"))
+def recommend(s, d):
+    """Full lists by summed co-visitation of the online candidates, popular products behind them with score 0."""
+    got = online.recommend(_online(s, d).select("session", "product_id", F.round("c_sum", 6).alias("score")), _cases(s, d)[1].select("session", "last_product"), _popular_b(s, d))
+    rows = _online(s, d).groupBy("session").agg(F.least(F.count("*"), F.lit(S.K)).alias("n_scored"))
+    return got.join(rows, "session", "left").select("session", _line("items").alias("items"), F.coalesce("n_scored", F.lit(0)).alias("n_scored"))
 
 
 @query()
+def rank(s, d):
+    """The same by the ranker, with the number of feature rows that were ranked."""
+    rows = _once(_online(s, d).withColumn("label", F.lit(0)))
+    got = online.recommend(ranker.score(_model(s, d), rows), _cases(s, d)[1].select("session", "last_product"), _popular_b(s, d))
+    return got.join(rows.groupBy("session").agg(F.count("*").alias("n_rows")), "session", "left").select("session", _line("items").alias("items"), _line("scores").alias("scores"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
+@query("SELECT count(DISTINCT session) AS sessions, 0::BIGINT AS candidate_set_mismatches, count(*) AS feature_rows, 0::BIGINT AS missing_value_mismatches, 0.0::DOUBLE AS max_relative_feature_diff, count(DISTINCT session) AS identical_top_lists FROM feat_b")
 def parity(s, d):
-    """Batch features against those of the codec: rows on one side, and the largest relative difference of a score."""
-    a = _r(_features(s, d).select("session", "product_id", F.col("c_sum").alias("a")), "a", n=9)
-    b = online_features(s, d).select("session", "product_id", F.col("c_sum").alias("b"))
-    j = a.join(b, ["session", "product_id"], "full")
-    diff = F.abs(F.col("a") - F.col("b")) / F.greatest(F.lit(1.0), F.abs("a"))
-    return j.agg(F.count("*").alias("n"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("one_side"), F.max(F.round(diff, 5)).alias("max_diff"))
+    """Batch features against those of the serving path: candidates, missing values, all 24 columns, top lists."""
+    return online.parity(_features(s, d), _online(s, d))
 
 
 # -- experiments
@@ -770,7 +936,7 @@ def ab_assign(s, d):
 def _hits(s, d):
     """(session, user_id, day, hit, hit_t) of window B: item to item is the control, whole history the treatment."""
     history, cases = _cases(s, d)
-    m, pop = _matrix_b(s, d), _popular_b(s, d)
+    m, pop = _once(_matrix_b(s, d)), _popular_b(s, d)
     one = lambda n, c: C.top_k(C.baseline_scores(n, history, m), cases, pop).join(cases.select("session", "target"), "session").select("session", (F.array_position("run", F.col("target")) > 0).cast("int").alias(c))
     day = F.floor((F.unix_seconds("event_time") - F.unix_seconds(F.lit(B))) / S.DAY).cast("int").alias("day")
     first = history.where("pos = 0").select("session", F.coalesce("user_id", -1 - F.col("session")).alias("user_id"), day)
@@ -842,56 +1008,111 @@ def covariate_matrix(s, d):
     return c.select("user_id", F.col("b_hits").cast("double").alias("b_hits"), F.col("b_cases").cast("double").alias("b_cases"), log("events"), log("sessions"), (F.col("events") > 0).cast("double").alias("active"))
 
 
-_X = ("log_events", "log_sessions")
+_X = ("b_hits", "b_cases", "log_events", "log_sessions", "active")
+
+
+def _users(s, d):
+    """Users of window B by arm, with the covariates of what they did before it."""
+    return _once(_arms(s, d).join(_before_b(s, d), "user_id", "left").fillna(0.0, list(_X)))
+
+
+def _before_b(s, d):
+    """The five covariates of users with an event before window B, its lists those of window A."""
+    start, ev = S.window("A")[0], A.e_day(s, d)
+    activity = ev.where(F.col("event_time") < F.lit(B)).groupBy("user_id").agg(F.count("*").alias("events"), F.count_distinct("session").alias("sessions"))
+    history, cases = split.cases(ev.where(F.col("event_time") < F.lit(B)), "A")
+    half = start + (B - start) / 2  # window A is the first: its lists come from its first half
+    pop = C.popular(ev.where(F.col("event_time") < F.lit(half)), half)
+    run = C.top_k(C.baseline_scores("item2item", history, covisit.build(ev.where(F.col("event_time") < F.lit(half)))), cases, pop).join(cases.select("session", "target"), "session")
+    hit = run.select("session", (F.array_position("run", F.col("target")) > 0).cast("long").alias("hit")).join(history.where("pos = 0").select("session", "user_id"), "session")
+    per = hit.groupBy("user_id").agg(F.sum("hit").cast("double").alias("b_hits"), F.count("*").cast("double").alias("b_cases"))
+    rows = activity.join(per, "user_id", "left").fillna(0.0, ["b_hits", "b_cases"])
+    return rows.select("user_id", "b_hits", "b_cases", F.log1p("events").alias("log_events"), F.log1p("sessions").alias("log_sessions"), (F.col("events") > 0).cast("double").alias("active"))
 
 
 @query()
 def ab_cuped(s, d):
-    """The plain and the covariate-adjusted difference, the share of variance removed in the control, and p-values."""
-    users = _arms(s, d).join(covariate_matrix(s, d), "user_id", "left").fillna(0.0, list(_X))
-    rows = {r["arm"]: r for r in E.sums(users, "arm", "y", "n", _X).collect()}  # two rows
-    plain = E.difference(E.sums(users, "arm", "y", "n"), "arm").first()
-    effect, se = E.cuped(rows[1], rows[0], _X)
-    out = [(plain["effect"], plain["se"], E.p_value(plain["effect"], plain["se"]), effect, se, E.p_value(effect, se), E.reduction(rows[0], _X))]
-    return s.createDataFrame(out, "effect double, se double, p double, cuped double, cuped_se double, cuped_p double, reduction double")
+    """The plain difference and that adjusted for five covariates, with errors and p-values."""
+    users = _users(s, d)
+    plain, got = E.difference(E.sums(users, "arm", "y", "n"), "arm").first(), E.cuped(users, "arm", "y", "n", _X).first()
+    out = [(plain["effect"], plain["se"], E.p_value(plain["effect"], plain["se"]), got["effect"], got["se"], E.p_value(got["effect"], got["se"]))]
+    return s.createDataFrame(out, "effect double, se double, p double, cuped double, cuped_se double, cuped_p double")
+
 
+@query()
+def ab_reduction(s, d):
+    """The share of the control's variance that each set of covariates removes, one more at a time."""
+    control, out = _users(s, d).where("arm = 0"), None
+    for k in range(1, len(_X) + 1):
+        row = E.reduction(control, "y", "n", _X[:k]).select(F.lit(",".join(_X[:k])).alias("covariates"), "reduction")
+        out = row if out is None else out.unionByName(row)
+    return out
 
-QUERIES["ab_reduction"] = QUERIES["ab_cuped"]
 
+_DIFFERENCE = f"""SELECT sum(CASE arm WHEN 1 THEN r ELSE -r END) AS effect, sqrt(sum(v)) AS se, sum(n) AS users FROM (SELECT *, {_VAR} AS v FROM (SELECT *, SY::DOUBLE / SN AS r FROM arm_sums))"""
 
-@query()
+
+def _measured(s, d):
+    """Effect, error and users of the measured difference."""
+    sums = E.sums(_once(_arms(s, d)), "arm", "y", "n")
+    return {**E.difference(sums, "arm").first().asDict(), "users": sums.agg(F.sum("users")).first()[0]}
+
+
+@query(f"SELECT round({CDF.REACH} * se, 6) AS mde FROM ({_DIFFERENCE})")
 def ab_mde(s, d):
-    """Of the measured difference: least detectable effect, power, users needed, p-value."""
-    r = E.difference(E.sums(_arms(s, d), "arm", "y", "n"), "arm").first()
-    n = _arms(s, d).count()
-    out = [(E.mde(r["se"]), E.power(r["effect"], r["se"]), E.users_needed(r["effect"], r["se"] ** 2 * n) if r["effect"] else None, E.p_value(r["effect"], r["se"]))]
-    return s.createDataFrame(out, "mde double, power double, users_needed double, p_value double")
+    """The least effect that the measured error detects."""
+    return _r(s.createDataFrame([(E.mde(_measured(s, d)["se"]),)], "mde double"), "mde")
+
+
+@query(f"SELECT round({CDF.power('(effect / se)')}, 4) AS power FROM ({_DIFFERENCE})")
+def ab_power(s, d):
+    r = _measured(s, d)
+    return _r(s.createDataFrame([(E.power(r["effect"], r["se"]),)], "power double"), "power", n=4)
 
 
-for _k in ("ab_power", "ab_users_needed", "ab_p_value"):
-    QUERIES[_k] = QUERIES["ab_mde"]
+@query(f"SELECT round(ln({CDF.REACH} * {CDF.REACH} * se * se * users / (effect * effect)), 6) AS log_users FROM ({_DIFFERENCE})")
+def ab_users_needed(s, d):
+    """Logarithm of the users that the measured effect needs."""
+    r = _measured(s, d)
+    return _r(s.createDataFrame([(math.log(E.users_needed(r["effect"], r["se"] ** 2 * r["users"])) if r["effect"] else None,)], "log_users double"), "log_users")
 
 
-def _drafted(s, d):
+@query(f"SELECT round({CDF.p('(effect / se)')}, 4) AS p_value FROM ({_DIFFERENCE})")
+def ab_p_value(s, d):
+    r = _measured(s, d)
+    return _r(s.createDataFrame([(E.p_value(r["effect"], r["se"]),)], "p_value double"), "p_value", n=4)
+
+
+def _drafted(s, d, treatment: str = "covis"):
     history, cases = _cases(s, d)
-    m, pop = _matrix_b(s, d), _popular_b(s, d)
-    lists = [C.top_k(C.baseline_scores(n, history, m), cases, pop).withColumnRenamed("run", c) for n, c in (("covis", "treatment"), ("item2item", "control"))]
+    m, pop = _once(_matrix_b(s, d)), _popular_b(s, d)
+    lists = [C.top_k(C.baseline_scores(n, history, m), cases, pop).withColumnRenamed("run", c) for n, c in ((treatment, "treatment"), ("item2item", "control"))]
     return interleave.team_draft(lists[0].join(lists[1], "session").join(cases.select("session", "target"), "session"), "treatment", "control")
 
 
-@query()
+@query("""SELECT session, array_to_string(list_concat(items, list_transform(range(20 - len(items)), lambda x: -1)), ',') AS items, array_to_string(list_concat(team, list_transform(range(20 - len(items)), lambda x: 0)), ',') AS team FROM draft_b""")
 def ab_team_draft(s, d):
     return _drafted(s, d).select("session", _line("items").alias("items"), _line("team").alias("team"))
 
 
-QUERIES["ab_team_draft_one"] = QUERIES["ab_team_draft"]
+@query("SELECT session, len(list_filter(team, lambda x: x = 1)) AS n_treatment, len(list_filter(team, lambda x: x = -1)) AS n_control FROM draft_b")
+def ab_team_draft_one(s, d):
+    """Picks of each team, by the version for one session."""
+    rows = _drafted(s, d).select("session", "treatment", "control", F.sha2(F.concat_ws(":", F.lit("0"), F.col("session").cast("string")), 256).alias("h"))
 
+    def run(batches):
+        for pdf in batches:
+            teams = [interleave.team_draft_one(a, b, [(int(h, 16) >> i) & 1 for i in range(S.K)], S.K)[1] for a, b, h in zip(pdf["treatment"], pdf["control"], pdf["h"], strict=True)]
+            yield pdf[["session"]].assign(n_treatment=[t.count(1) for t in teams], n_control=[t.count(-1) for t in teams])
 
-@query()
+    return rows.mapInPandas(run, "session long, n_treatment long, n_control long")
+
+
+@query(f"SELECT credit, count(*) AS n, count(*) FILTER (WHERE hit) AS n_hits FROM (SELECT {DRAFT} AS credit, list_contains(items, target) AS hit FROM draft_b) GROUP BY credit")
 def replay_interleave(s, d):
     """Credits and hits of the merged lists."""
     c = E.credit(F.col("items"), F.col("team"), F.col("target"))
-    return _drafted(s, d).select(c.alias("credit")).groupBy("credit").agg(F.count("*").alias("n"))
+    return _drafted(s, d).select(c.alias("credit"), F.array_contains("items", F.col("target")).alias("hit")).groupBy("credit").agg(F.count("*").alias("n"), F.count_if("hit").alias("n_hits"))
 
 
 @query("SELECT session, CASE WHEN p = 0 THEN 0 WHEN p % 2 = 1 THEN 1 ELSE -1 END AS credit FROM (SELECT session, coalesce(list_position(run, target), 0) AS p FROM run_covis JOIN cb_pick USING (session))")
@@ -910,17 +1131,50 @@ def ab_panel(s, d):
 QUERIES["win_cum_panel"], ORACLE_SQL["win_cum_panel"] = QUERIES["ab_panel"], ORACLE_SQL["ab_panel"]
 
 
+def _replayed(s, d):
+    """(test, panel) of window B: cumulated hits and credits of each user and day, by share of treated sessions."""
+    test = replay.test_of(S.SHARES, _X)
+    credit = E.credit(F.col("items"), F.col("team"), F.col("target"))
+    one = lambda t, c: _drafted(s, d, t).select("session", credit.alias(c))
+    sessions = _hits(s, d).join(one("covis", "credit"), "session").join(one("item2item", "credit_aa"), "session")
+    shown = E.dilution(_cases(s, d)[1], S.SHARES)
+    return test, _once(replay.panel(sessions, shown, _before_b(s, d), S.SHARES, 7, _X))
+
+
+_REPLICATES = 1000
+
+
 @query()
 def ab_simulate(s, d):
-    """Bootstrap replicates of the difference from Poisson weights of both arms."""
-    per = _hits(s, d).groupBy("user_id").agg(F.count("*").cast("double").alias("sessions"), F.sum("hit").cast("double").alias("hits"), F.sum("hit_t").cast("double").alias("hits_t"))
-    got = interleave.replicate_sums(per, ["sessions", "hits", "hits_t"], 50)
-    of = lambda c, arm: F.max(F.when(F.col("arm") == arm, F.col(c) / F.col("sessions")))
-    return got.groupBy("replicate").agg((of("hits_t", 1) - of("hits", 0)).alias("ab"), (of("hits", 1) - of("hits", 0)).alias("aa"))
+    """Every estimate of every day and share in bootstrap replicates with Poisson weights in both arms."""
+    test, rows = _replayed(s, d)
+    return bootstrap.simulate(rows, test, _REPLICATES)
 
 
-for _k in ("ab_estimates", "ab_replicate_weights"):
-    QUERIES[_k] = QUERIES["ab_simulate"]
+@query("""SELECT a.share, a.day, a.users, round(a.ab, 6) AS ab, round(a.ab_se, 6) AS ab_se, round(q.pref, 6) AS il, round(q.pref_se, 6) AS il_se FROM (
+  SELECT share, day, sum(n) AS users, sum(CASE arm WHEN 1 THEN r ELSE -r END) AS ab, sqrt(sum(v)) AS ab_se FROM arm_q GROUP BY share, day) a JOIN all_q q USING (share, day)""")
+def ab_estimates(s, d):
+    """The estimates of each day and share with the arms that users really have."""
+    test, rows = _replayed(s, d)
+    arms, out = replay.matrices(rows.withColumn("arm", E.assign(F.col("user_id"), S.SALT).cast("int")), test, "day", "arm"), []
+    for day in sorted({k[0] for k in arms}):
+        t, c = arms[day, 1], arms[day, 0]
+        for q, got in zip(S.SHARES, test.estimates(t, c), strict=True):
+            out.append((q, day, int(t[0, 0] + c[0, 0]), *(float(got[k]) for k in ("ab", "ab_se", "il", "il_se"))))
+    return _r(s.createDataFrame(out, "share double, day int, users long, ab double, ab_se double, il double, il_se double"), "ab", "ab_se", "il", "il_se")
+
+
+@query()
+def ab_replicate_weights(s, d):
+    """Weights of window B's users in both arms of the first ten replicates."""
+
+    def run(batches):
+        for pdf in batches:
+            users = pdf["user_id"].to_numpy()
+            for r in range(10):
+                yield pdf[["user_id"]].assign(replicate=r, treatment=bootstrap.weights(users, r, 1), control=bootstrap.weights(users, r, 0))
+
+    return _arms(s, d).select("user_id").mapInPandas(run, "user_id long, replicate int, treatment int, control int")
 
 
 @query("SELECT session, user_id, day FROM sess_b")
@@ -945,15 +1199,98 @@ def replay_truths(s, d):
     return _hits(s, d).groupBy("day").agg(F.count("*").alias("n"), F.round(F.avg("hit_t") - F.avg("hit"), 6).alias("lift"))
 
 
+_POINTS = (("after_first_day", 0), ("after_week", 6))
+_AT = "CASE day WHEN 0 THEN 'after_first_day' ELSE 'after_week' END"
+
+
+def _realised(s, d):
+    test, rows = _replayed(s, d)
+    return test, replay.matrices(rows.withColumn("arm", E.assign(F.col("user_id"), S.SALT).cast("int")), test, "day", "arm")
+
+
+@query(f"SELECT {_AT} AS point, arm, n AS users, sn AS sessions, round(r, 4) AS recall FROM arm_q WHERE share = 1 AND day IN (0, 6)")
+def realised(s, d):
+    """The whole treatment as production would test it, by hashed arms: users, sessions and recall of both arms after the first day and the week."""
+    test, arms = _realised(s, d)
+    out = []
+    for name, day in _POINTS:
+        for arm, y in ((1, "t0"), (0, "c")):
+            m = arms[day, arm]
+            out.append((name, arm, int(m[0, 0]), int(m[0, 1]), float(test.ratio(m, y)[0])))
+    return _r(s.createDataFrame(out, "point string, arm int, users long, sessions long, recall double"), "recall", n=4)
+
+
+@query(f"""SELECT point, round(effect, 6) AS effect, round(se, 6) AS se, round(effect - {CDF.Z} * se, 6) AS lo, round(effect + {CDF.Z} * se, 6) AS hi, round({CDF.p('(effect / se)')}, 4) AS p FROM (
+  SELECT {_AT} AS point, sum(CASE arm WHEN 1 THEN r ELSE -r END) AS effect, sqrt(sum(v)) AS se FROM arm_q WHERE share = 1 AND day IN (0, 6) GROUP BY day)""")
+def tested(s, d):
+    """The same as estimates with 95 % intervals and p-values, by the delta method."""
+    test, arms = _realised(s, d)
+    out = []
+    for name, day in _POINTS:
+        got = test.difference(arms[day, 1], arms[day, 0], "t0")
+        row = replay.tested(float(got[""]), float(got["_se"]))
+        out.append((name, *row.values()))
+    return _r(_r(s.createDataFrame(out, "point string, effect double, se double, lo double, hi double, p double"), "effect", "se", "lo", "hi"), "p", n=4)
+
+
+def _truths(s, d):
+    test, rows = _replayed(s, d)
+    return test, rows, replay.truths(replay.matrices(rows, test, "day"), test, S.SHARES)
+
+
+@query(f"SELECT share, min(day + 1) FILTER (WHERE power >= 0.8) AS days_ab FROM (SELECT share, day, {CDF.power('(effect / se)')} AS power FROM all_q) GROUP BY share")
+def first_day(s, d):
+    """Days until an A/B test of each share would have 80 % power."""
+    week = _truths(s, d)[2]
+    out = [(q, replay.first_day([replay.powers(r)["ab"] for r in week if r["share"] == q])) for q in S.SHARES]
+    return s.createDataFrame(out, "share double, days_ab int")
+
+
 @query()
-def replay_analyse(s, d):
-    """By share of sessions that show the treatment: true lift, planned error, power and users needed."""
-    shown = E.dilution(_cases(s, d)[1], S.SHARES)
-    h = _hits(s, d)
-    users = h.join(shown, "session").groupBy("share", "user_id").agg(F.count("*").alias("n"), F.sum("hit").alias("y"), F.sum("hit_t").alias("yt"))
-    rows = E.sums(users, "share", "y", "n").withColumn("se", E.planned_se()).join(users.groupBy("share").agg(((F.sum("yt") - F.sum("y")) / F.sum("n")).alias("lift")), "share").collect()  # five rows
-    out = [(r["share"], r["users"], float(r["lift"]), float(r["se"] or 0), E.power(r["lift"], r["se"]) if r["se"] else None) for r in rows]
-    return s.createDataFrame(out, "share double, users long, lift double, planned_se double, power double")
+def cuped_summary(s, d):
+    """By day: the variance that covariates remove, analytic on the control and measured over A/A replicates, and users saved."""
+    test, rows, week = _truths(s, d)
+    told = s.createDataFrame([(r["day"], r["reduction"], r["reduction"] * r["users"]) for r in week if r["share"] == 1.0], "day int, reduction_analytic double, users_saved double")
+    measured = replay.simulated(bootstrap.simulate(rows, test, 200)).where("treatment = 't0'").select("day", "reduction_measured", "mean_ab", "mean_cuped")
+    return told.join(measured, "day")
+
+
+@query(f"""SELECT round(avg((credit = 1)::INT), 4) AS treatment_wins, round(avg((credit = -1)::INT), 4) AS control_wins, round(avg((credit = 0)::INT), 4) AS no_click, round(avg(hit::INT), 4) AS hit_rate,
+  round(avg((aa = 1)::INT), 4) AS aa_first_wins, round(avg((aa = -1)::INT), 4) AS aa_second_wins FROM (SELECT session, {DRAFT} AS credit, list_contains(items, target) AS hit FROM draft_b) JOIN (SELECT session, {DRAFT} AS aa FROM draft_aa) USING (session)""")
+def interleaving_summary(s, d):
+    """Shares of sessions that each team wins, the merged lists' hit rate, and the control interleaved with itself."""
+    c = E.credit(F.col("items"), F.col("team"), F.col("target"))
+    a = _drafted(s, d).select("session", c.alias("credit"), F.array_contains("items", F.col("target")).alias("hit"))
+    j = a.join(_drafted(s, d, "item2item").select("session", c.alias("aa")), "session")
+    share = lambda x, n: F.round(F.avg(x.cast("int")), 4).alias(n)
+    return j.agg(share(F.col("credit") == 1, "treatment_wins"), share(F.col("credit") == -1, "control_wins"), share(F.col("credit") == 0, "no_click"), share(F.col("hit"), "hit_rate"), share(F.col("aa") == 1, "aa_first_wins"), share(F.col("aa") == -1, "aa_second_wins"))
+
+
+@query()
+def sensitivity(s, d):
+    """By share: days to 80 % power and users that each design needs, and how many times as many an A/B test does."""
+    rows = replay.sensitivity(_truths(s, d)[2])
+    return s.createDataFrame([tuple(r.values()) for r in rows], "share double, days_ab int, days_ab_cuped int, days_interleaving int, users_ab double, users_ab_cuped double, users_interleaving double, ab_over_interleaving double, ab_over_cuped double")
+
+
+@query(f"SELECT 'covis' AS model, recall_20 AS published, recall_20 AS replayed, TRUE AS same FROM ({metrics('run_covis', 'cb_pick')}) UNION ALL SELECT 'item2item', recall_20, recall_20, TRUE FROM ({metrics('run_item2item', 'cb_pick')})")
+def sample_check(s, d):
+    """Recall of both lists in the replay against that of the baselines' table."""
+    hits = _hits(s, d).agg(F.round(F.avg("hit_t"), 4).alias("covis"), F.round(F.avg("hit"), 4).alias("item2item"))
+    replayed = hits.select(F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("replayed")) for m in ("covis", "item2item")))).alias("r")).select("r.*")
+    return baselines_table(s, d).select("model", F.col("recall_20").alias("published")).join(replayed, "model").withColumn("same", F.col("published") == F.col("replayed"))
+
+
+@query()
+def analyse(s, d):
+    """By day and share: truths, analytic and simulated power of the three designs, and their error where both arms are the control."""
+    test, rows, week = _truths(s, d)
+    keys = [*week[0], *replay.powers(week[0])]
+    kind = {"day": "int", "users": "long", "sessions": "long"}
+    told = s.createDataFrame([(*r.values(), *replay.powers(r).values()) for r in week], ", ".join(f"{k if k in week[0] else 'power_' + k} {kind.get(k, 'double')}" for k in keys))
+    share = F.element_at(F.array(*map(F.lit, S.SHARES)), F.substring("treatment", 2, 2).cast("int") + 1)
+    rejects = replay.simulated(bootstrap.simulate(rows, test, _REPLICATES)).withColumn("share", share).drop("treatment")
+    return told.join(rejects.select("day", "share", *(F.col(c).alias(f"simulated_{c}") for c in rejects.columns if c not in ("day", "share"))), ["day", "share"])
 
 
 # -- drift
@@ -995,44 +1332,88 @@ def drift_requests(s, d):
 ORACLE_SQL["drift_requests"] = ORACLE_SQL["drift_requests"].replace("\nWITH o AS", ",\no AS")
 
 
-@query("""SELECT seq, round(CASE WHEN ('0x' || sha256('0:' || session)[1:8])::BIGINT / 4294967296.0::DOUBLE < 0.25 THEN price * 100 ELSE price END, 4) AS price FROM day_ev""")
+_BROKEN = "('0x' || sha256('0:' || session)[1:8])::BIGINT / 4294967296.0::DOUBLE < 0.25"
+
+
+@query(f"""SELECT fault, seq, round(CASE WHEN broken AND fault = 'price_in_cents' THEN price * 100 ELSE price END, 4) AS price, CASE WHEN broken AND fault = 'time_in_ms' THEN 1000 ELSE 1 END * (epoch_us(event_time) // 1000000) AS ts,
+  CASE WHEN broken AND fault = 'brand_missing' THEN NULL ELSE brand END AS brand, CASE WHEN broken AND fault = 'category_missing' THEN NULL ELSE category_id END AS category_id, CASE WHEN broken AND fault = 'views_only' THEN 0 ELSE event_type END AS event_type
+  FROM (SELECT *, {_BROKEN} AS broken FROM day_ev), (SELECT unnest(['{"','".join(drift.FAULTS)}']) AS fault)""")
 def drift_faults(s, d):
-    return drift.faults(A.e_day(s, d), "price_in_cents", 0.25).select("seq", F.round("price", 4).alias("price"))
+    """Each fault in a quarter of the sessions."""
+    ev, out = A.e_day(s, d), None
+    for f in drift.FAULTS:
+        rows = drift.faults(ev, f, 0.25).select(F.lit(f).alias("fault"), "seq", F.round("price", 4).alias("price"), F.unix_seconds("event_time").alias("ts"), "brand", "category_id", "event_type")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _requests(s, d, window: str, n: int, faults: bool = False):
+    """Features of n requests of a window, scored with the tables before it: (request, day, variant, FEATURES); faults: also with each fault in each share of the sessions of day 1."""
+    start, end = S.window(window)
+    before = split.stats_events(A.e_day(s, d), window)
+    rows = drift.requests(A.e_day(s, d), start, end, n).withColumn("variant", F.lit("clean"))
+    if faults:
+        rows = _once(rows)
+        day = rows.where("day = 1")
+        for f in drift.FAULTS:
+            for share in drift.FAULT_SHARES:
+                rows = rows.unionByName(drift.faults(day, f, share).withColumn("variant", F.lit(f"{f}:{share}")))
+    rows = _once(rows.withColumn("origin", F.col("request")).withColumn("session", F.concat_ws("|", "variant", "request")))
+    last = rows.groupBy("session", "origin", "variant").agg(F.max_by(F.struct("day", "event_time", "product_id"), "pos").alias("l"))
+    cases = last.select("session", F.col("l.event_time").alias("cut_time"), F.col("l.product_id").alias("last_product"), F.lit(None).cast("long").alias("target"))
+    got = features.build(rows.drop("request", "day", "variant", "origin"), cases, _once(covisit.build(before)), features.product_stats(before, start))
+    return _once(got.join(last.select("session", F.col("origin").alias("request"), "variant", F.col("l.day").alias("day")), "session").select("request", "day", "variant", *S.FEATURES))
+
+
+def _checks(pairs):
+    """Checks by name of (name, reference rows, current rows)."""
+    out = None
+    for name, ref, cur in pairs:
+        both = ref.select(F.lit(0).alias("label"), "request", *S.FEATURES).unionByName(cur.select(F.lit(1).alias("label"), "request", *S.FEATURES)).withColumn("check", F.lit(name))
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 @query()
 def drift_adversarial(s, d):
-    ev = A.e_day(s, d).select("session", "event_time", F.col("price").cast("double").alias("price"), F.col("event_type").cast("double").alias("kind"))
-    ref, cur = ev.where(F.col("event_time") < F.lit(B)).drop("event_time"), ev.where(F.col("event_time") >= F.lit(B)).drop("event_time")
-    return drift.adversarial(ref, drift.faults(cur, "price_in_cents", 1.0), ["price", "kind"], "session", folds=2)
+    """Day 1 with prices in cents in all sessions against day 0: AUC out of five folds by request, over the 24 features, with shares of gain and stability indexes."""
+    rows = _requests(s, d, "C", 2000, faults=True)
+    return drift.adversarial(rows.where("variant = 'clean' and day = 0"), rows.where("variant = 'price_in_cents:1.0'"))
 
 
 @query()
 def drift_evaluate(s, d):
-    """PSI of price for each planted fault at two shares."""
-    ev = A.e_day(s, d)
-    ref, cur, out = ev.where(F.col("event_time") < F.lit(B)), ev.where(F.col("event_time") >= F.lit(B)), None
-    for fault in ("price_in_cents", "views_only"):
-        for share in (0.25, 1.0):
-            row = drift.psi(ref, drift.faults(cur, fault, share), ["price", "event_type"]).select(F.lit(fault).alias("fault"), F.lit(share).alias("share"), "column", F.round("psi", 6).alias("psi"))
-            out = row if out is None else out.unionByName(row)
-    return out
+    """Each day against the training week and against the first day, halves of the training week, each fault at each share, and windows that calibrate the threshold."""
+    ref, rows = _requests(s, d, "B", 5000), _requests(s, d, "C", 8 * 3000, faults=True)
+    clean = rows.where("variant = 'clean'")
+    day = lambda k: clean.where(F.col("day") == k)
+    pairs = [("training_halves", ref.where(drift.halves(ref) == 0), ref.where(drift.halves(ref) == 1))]
+    pairs += [(f"against_training:{k}", ref, day(k)) for k in range(8)] + [(f"against_first_day:{k}", day(0), day(k)) for k in range(1, 8)]
+    variants = [f"{f}:{x}" for f in drift.FAULTS for x in drift.FAULT_SHARES]
+    pairs += [(f"fault:{v}", day(0), rows.where(F.col("variant") == v)) for v in variants]
+    grid = drift.checks(_once(_checks(pairs)))
+    windows = [("clean", day(1)), *((v, rows.where(F.col("variant") == v)) for v in variants if v.endswith((":0.25", ":0.1")))]
+    live = [(f"window:{name}:{i}", day(0), cur) for name, cur in windows for i in range(_REPEATS)]
+    return grid.unionByName(drift.checks(_once(_checks(live)), most=drift.WINDOW)).drop("gains", "psis").withColumn("above", F.col("auc") > drift.THRESHOLD)
+
+
+_REPEATS = 3  # windows of the calibration; each draws other requests
 
 
 @query()
 def drift_monitor(s, d):
-    """Days of window C against the first: new version, baseline, then ok or alert by the PSI of price."""
-    ev, state, out = split.between(A.e_day(s, d), *S.window("C")), "new_version", []
-    base = ev.where(F.col("event_time") < F.lit(C_) + F.expr("INTERVAL 1 DAY"))
-    for k in range(8):
-        day = F.lit(C_) + F.expr(f"INTERVAL {k} DAYS")
-        cur = ev.where((F.col("event_time") >= day) & (F.col("event_time") < day + F.expr("INTERVAL 1 DAY")))
-        value = None
-        if k == 0:
-            state = "baseline"
-        else:
-            got = drift.psi(base, cur, ["price"]).first()
-            value = got["psi"] if got else None
-            state = "collecting" if value is None else "alert" if value > 0.6 else "ok"
-        out.append((k, state, value))
-    return s.createDataFrame(out, "day int, state string, psi double")
+    """A version goes live, its sample gives a baseline, days follow; then a version whose client sends prices in cents, half way."""
+    rows = _requests(s, d, "C", 2000, faults=True)
+    order = rows.where("variant = 'clean'").select("request", "day").distinct().withColumn("seq", F.row_number().over(Window.orderBy("day", "request")))  # 2000 rows
+    clean = _once(rows.where("variant = 'clean'").join(order.select("request", "seq"), "request"))
+    n = order.count()
+    window = max(10, n // 6)
+    monitor, out = drift.Monitor(_once, window=window, least=max(5, window // 2)), []
+    upto = lambda k: clean.where(F.col("seq") <= k)
+    broken = rows.where("variant = 'price_in_cents:1.0'")
+    late = broken.join(broken.select("request").distinct().withColumn("seq", F.row_number().over(Window.orderBy("request")) + n), "request")  # 2000 rows at most
+    steps = [("v1", upto(0)), ("v1", upto(window // 2)), ("v1", upto(window)), ("v1", upto(window + 3)), ("v1", upto(2 * window)), ("v1", clean.unionByName(late)), ("v2", clean.unionByName(late))]
+    for i, (version, sampled) in enumerate(steps):
+        got = monitor.step(version, sampled)
+        out.append((i, version, got["state"], got.get("waiting"), got.get("auc"), got.get("top"), got.get("psi_top")))
+    return s.createDataFrame(out, "step int, version string, state string, waiting long, auc double, top string, psi_top string")
