@@ -159,6 +159,7 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
     frames: list[int] = []  # places of the blocks in the stack
     count: dict[str, int] = {}  # open blocks by name
     loose: dict[str, int] = {}  # open inline elements outside all blocks
+    endless: set[str] = set()  # raw elements that have no end from here on
     out: list[tuple[str, list[str]]] = []
     parts: list[str] = []
     links, at, gone, in_link, body = 0, 0, 0, False, False  # gone: open elements that are skipped
@@ -221,7 +222,9 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
         while frames and tag in BLOCK and ((x := stack[frames[-1]].tag) == "p" or x in _CLOSES.get(tag, ())):
             pop(frames[-1])
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(page, at)
+            close = None if tag in endless else re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(page, at)
+            if not close:
+                endless.add(tag)
             if close or tag in ("script", "style"):
                 at = close.end() if close else size
                 continue
