@@ -1,6 +1,6 @@
 """Document fingerprints: SpotSigs.
 
-A text is lower-cased and cut into runs of letters and digits. Each anchor (a common word)
+A text is lower-cased and cut into runs of letters and digits. Each run of anchors (common words)
 starts a chain: it and the next CHAIN content words after it, anchors between left out. The
 fingerprint is the sorted set of the chains' 32-bit hashes; a text with words but no chain has
 one signature of all its words, one without words of the raw text, an empty one none.
