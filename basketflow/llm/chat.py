@@ -149,19 +149,58 @@ def canonical(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...]
     return _added(df, fingerprint=key, layout=name, turns=F.coalesce(turns, F.expr(f"cast(array() as {TURNS})")))
 
 
+def _head(t: Column) -> Column:
+    return F.concat(F.lit("### "), F.replace(escaped(t["role"]), F.lit(":"), F.lit("\\:")), F.lit(": "))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value worked out once however often it occurs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _chunks(items: Column, use) -> Column:
+    """use(array of items' runs of about the square root of their number): what is quadratic in a run is not so in all."""
+    width = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+    runs = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.slice(items, i * width + 1, width))
+    return _bound(F.filter(runs, lambda x: F.size(x) > 0), use)
+
+
+def _spans(sizes: Column) -> Column:
+    """Spans of the bodies that are learned, from sizes of head and body (h, b) and whether it is (own)."""
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    size = lambda p: p["h"] + p["b"] + len(END)
+
+    def step(acc, p):
+        start = acc["at"] + p["h"]
+        own = F.when(p["own"], F.array(F.struct(start.alias("start"), (start + p["b"]).alias("end")))).otherwise(none)
+        return F.struct((acc["at"] + size(p)).alias("at"), F.concat(acc["spans"], own).alias("spans"))
+
+    def placed(runs):
+        totals = F.transform(runs, lambda x: F.aggregate(x, F.lit(0), lambda a, p: a + size(p)))
+        first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
+        starts = F.aggregate(totals, first, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")))["starts"]
+        return F.flatten(F.zip_with(runs, starts, lambda x, at: F.aggregate(x, F.struct(at.alias("at"), none.alias("spans")), step)["spans"]))
+
+    return _bound(sizes, lambda l: _chunks(l, placed))
+
+
 def formatted(df: DataFrame) -> DataFrame:
     """Adds formatted and loss_spans (start, end in code points of formatted) to rows with turns."""
-    parts = F.transform("turns", lambda t: F.struct(F.concat(F.lit("### "), F.replace(escaped(t["role"]), F.lit(":"), F.lit("\\:")), F.lit(": ")).alias("head"), escaped(t["text"]).alias("body"), t["role"].alias("role")))
-    none = F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int>>))")
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(_head(t), escaped(t["text"]), F.lit(END))), "")
+    sizes = F.transform("turns", lambda t: F.struct(F.char_length(_head(t)).alias("h"), F.char_length(escaped(t["text"])).alias("b"), (t["role"] == "assistant").alias("own")))
+    return _added(df, formatted=whole, loss_spans=_spans(sizes))
 
-    def step(acc, p):
-        start = acc["at"] + F.char_length(p["head"])
-        end = start + F.char_length(p["body"])
-        own = F.when(p["role"] == "assistant", F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
-        return F.struct((end + len(END)).alias("at"), F.concat(acc["spans"], own).alias("spans"))
 
-    whole = F.array_join(F.transform(parts, lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    return _added(df, formatted=whole, loss_spans=F.aggregate(parts, none, step)["spans"])
+def masked(text: Column, spans: Column) -> Column:
+    """All text under a mask's spans, in order, unescaped; cut from runs of spans, so that a string is not counted through for each."""
+    cut = lambda x, lo, hi: F.substring(x, lo + 1, hi - lo)
+
+    def of(run):
+        first = run[0]["start"]
+        block = cut(text, first, F.element_at(run, -1)["end"])
+        return _bound(block, lambda b: F.array_join(F.transform(run, lambda s: unescaped(cut(b, s["start"] - first, s["end"] - first))), ""))
+
+    return _chunks(spans, lambda runs: F.array_join(F.transform(runs, of), ""))
 
 
 def read_back(text: Column) -> Column:
@@ -196,8 +235,7 @@ def digest(df: DataFrame) -> DataFrame:
     """The contract's columns, from formatted and loss_spans alone."""
     df = df.select("conv_id", "formatted", "loss_spans").withColumn("turns", read_back(F.col("formatted")))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring("formatted", s["start"] + 1, s["end"] - s["start"]))), "")
-    df = df.withColumn("loss", loss)
+    df = df.withColumn("loss", masked(F.col("formatted"), F.col("loss_spans")))
     return df.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
