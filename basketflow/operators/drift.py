@@ -38,7 +38,7 @@ def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def quantiles(long: DataFrame, cuts: list[float], parts: int = 256) -> DataFrame:
-    """(column, edges): of rows (column, v) the distinct values at these shares, linear between two, as numpy has them; nulls do not count.
+    """(column, total, edges): of rows (column, v) the values at these shares, linear between two, as numpy has them; nulls do not count.
 
     Values are counted once each; their running counts come from ranges of approximate quantiles, each
     numbered in its own task and offset by those before, so that no task holds a column.
@@ -56,7 +56,7 @@ def quantiles(long: DataFrame, cuts: list[float], parts: int = 256) -> DataFrame
     found = [F.max(F.when(there(f(rank(q))), F.col("v"))).alias(f"q{i}{x}") for i, q in enumerate(cuts) for x, f in (("a", F.floor), ("b", F.ceil))]
     one = v.groupBy("column").agg(F.first("total").alias("total"), *found)
     part = [(F.col(f"q{i}b") - F.col(f"q{i}a")) * (rank(q) - F.floor(rank(q))) + F.col(f"q{i}a") for i, q in enumerate(cuts)]
-    return one.select("column", F.array_sort(F.array_distinct(F.array(*part))).alias("edges"))
+    return one.select("column", "total", F.array(*part).alias("edges"))
 
 
 def psi(ref: DataFrame, cur: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
@@ -64,7 +64,7 @@ def psi(ref: DataFrame, cur: DataFrame, columns: list[str], bins: int = 10) -> D
     finite = lambda c: F.abs(c) < F.lit(float("inf"))
     kind = lambda df, side: df.select(F.lit(side).alias("side"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("r")).select("side", "r.*")
     long = kind(ref, 0).unionByName(kind(cur, 1)).withColumn("v", F.when(finite(F.col("v")) & ~F.isnan("v"), F.col("v")))
-    edges = quantiles(long.where("side = 0"), [i / bins for i in range(1, bins)])
+    edges = quantiles(long.where("side = 0"), [i / bins for i in range(1, bins)]).select("column", F.array_sort(F.array_distinct("edges")).alias("edges"))
     bin_ = F.when(F.col("v").isNotNull(), F.size(F.filter("edges", lambda e: e <= F.col("v")))).otherwise(-1)
     counts = long.join(F.broadcast(edges), "column").groupBy("column", "edges", bin_.alias("bin")).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     total = Window.partitionBy("column")

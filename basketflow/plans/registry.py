@@ -670,9 +670,11 @@ def features_24(s, d):
 QUERIES["features"], ORACLE_SQL["features"] = QUERIES.pop("features_24"), ORACLE_SQL.pop("features_24")
 
 
-@query(metrics("run_covis", "cb_pick"))
+@query(metrics("(SELECT r.*, CAST(CAST(p.cut_time AS DATE) AS VARCHAR) AS day FROM run_covis r JOIN cb_pick p USING (session))", "cb_pick", "day"))
 def metrics_eval(s, d):
-    return C.evaluate(*_run(s, d, "covis"))
+    """Whole-history lists by the day of the cut."""
+    run, cases = _run(s, d, "covis")
+    return C.evaluate(run.join(cases.select("session", F.col("cut_time").cast("date").cast("string").alias("day")), "session"), cases, ("day",))
 
 
 @query(metrics("all_runs", "cb_pick", "model"))
@@ -1128,7 +1130,13 @@ def ab_panel(s, d):
     return E.panel(_hits(s, d), 7, ("hit", "hit_t"))
 
 
-QUERIES["win_cum_panel"], ORACLE_SQL["win_cum_panel"] = QUERIES["ab_panel"], ORACLE_SQL["ab_panel"]
+@query("""SELECT user_id, day, sum(coalesce(n, 0)) OVER w AS events, sum(coalesce(carts, 0)) OVER w AS carts FROM (SELECT DISTINCT user_id FROM day_ev), (SELECT unnest(range(31))::INT AS day)
+  LEFT JOIN (SELECT user_id AS u, CAST(date_diff('day', DATE '2024-01-01', CAST(event_time AS DATE)) AS INT) AS dd, count(*) AS n, count(*) FILTER (WHERE event_type = 1) AS carts FROM day_ev GROUP BY ALL) ON u = user_id AND dd = day
+  WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING)""")
+def win_cum_panel(s, d):
+    """Running sums by day on the dense grid of users and days."""
+    ev = A.e_day(s, d).select("user_id", F.date_diff(F.col("event_time").cast("date"), F.lit("2024-01-01").cast("date")).alias("day"), (F.col("event_type") == 1).cast("int").alias("carts"))
+    return E.panel(ev, 31, ("carts",)).select("user_id", "day", F.col("sessions").alias("events"), "carts")
 
 
 def _replayed(s, d):

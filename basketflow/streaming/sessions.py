@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from basketflow import schemas as S
+from basketflow.operators.drift import quantiles
 from basketflow.operators.split import order_hash
 from basketflow.sources.versions import Versions
 
@@ -70,9 +71,10 @@ def stream_state(events: DataFrame, cap: int = S.CAP, ttl_ms: int | None = TTL_M
 
 
 def staleness(rows: DataFrame, sent: str, done: str) -> DataFrame:
-    """Milliseconds from sent to readable at three percentiles."""
+    """(n, p50, p95, p99): milliseconds from sent to readable, both in seconds; no row without any."""
     ms = (F.col(done).cast("double") - F.col(sent).cast("double")) * 1000
-    return rows.agg(F.percentile(ms, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"), F.count("*").alias("n")).select("n", *(F.element_at("p", i + 1).alias(c) for i, c in enumerate(("p50", "p95", "p99"))))
+    got = quantiles(rows.select(F.lit("ms").alias("column"), ms.alias("v")), [0.5, 0.95, 0.99])
+    return got.select(F.col("total").alias("n"), *(F.element_at("edges", i + 1).alias(c) for i, c in enumerate(("p50", "p95", "p99"))))
 
 
 def partition(session, partitions: int = 6):
