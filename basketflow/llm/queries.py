@@ -141,4 +141,15 @@ SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string
 FROM l
 """
 
-ORACLE_SQL = {"op4_licenses": _LICENSES, "op5_chat": _CHAT, "op8_secrets": _SECRETS}
+_JACCARD = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS shared FROM t x JOIN t y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY ALL) WHERE 100 * shared >= 75 * (na + nb - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id FROM sets JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) USING (doc_id)
+"""
+
+ORACLE_SQL = {"op3_jaccard_join": _JACCARD, "op4_licenses": _LICENSES, "op5_chat": _CHAT, "op8_secrets": _SECRETS}
