@@ -66,27 +66,30 @@ def with_next(docs: DataFrame, keep: dict[str, Column], rows: int = 2000, most:
     """Adds columns of the document with the next smaller doc_id (after the last: the first); keep: name to expression.
 
     One shuffle. Blocks are ranges of doc_id of about so many rows, up to `most` quantiles, each
-    cut evenly; every block also gets the first row of the block below it.
+    cut evenly, and below them ranges of the other columns' hash for documents without an id; every block also gets the
+    first row of the block below it. Blocks are told apart by one row each.
     """
-    n, lo, hi = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    n, lo, hi, gone = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     lo, hi = lo or 0, hi or 0
     q = max(1, min(most, n // rows))
-    cut = max(1, n // rows // q)
+    cut, nulls = max(1, n // rows // q), max(1, gone // rows)
     found = docs.agg(F.percentile_approx("doc_id", [i / q for i in range(1, q)], 100_000)).first()[0] if q > 1 else []
     lower = sorted({lo, *(found or [])})
     starts, ends = (F.array(*(F.lit(x).cast("long") for x in xs)) for xs in (lower, [*lower[1:], hi + 1]))
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(lo))
-    k = F.greatest(F.size(F.filter(starts, lambda b: b <= F.col("_own"))), F.lit(1))
-    start, end = F.element_at(starts, k), F.element_at(ends, k)
-    block = k.cast("long") * cut + F.least(((F.col("_own") - start) * cut / F.greatest(end - start, F.lit(1))).cast("long"), F.lit(cut - 1))
-    heads = docs.select(own.alias("_own")).select("_own", block.alias("_block")).groupBy("_block").agg(F.max("_own").alias("_head"))
-    heads = heads.select("_head", F.coalesce(F.lead("_block").over(Window.orderBy("_block")), F.min("_block").over(Window.partitionBy())).alias("_to"))
-    heads = F.broadcast(heads) if len(lower) * cut <= 1 << 18 else heads
-    rows_of = docs.withColumn("_own", own).withColumn("_block", block).join(heads, F.col("_own") == F.col("_head"), "left")
+    other, number = F.xxhash64(*(x for x in docs.columns if x != "doc_id")), F.coalesce(F.col("doc_id").cast("long"), F.lit(lo))
+    k = F.greatest(F.size(F.filter(starts, lambda b: b <= number)), F.lit(1))
+    start, end = (F.element_at(x, k).cast("double") for x in (starts, ends))
+    numbered = k.cast("long") * cut + F.least(((number.cast("double") - start) * cut / F.greatest(end - start, F.lit(1.0))).cast("long"), F.lit(cut - 1).cast("long"))
+    hashed = -1 - F.least(F.floor((other.cast("double") / 2.0**64 + 0.5) * nulls), F.lit(nulls - 1).cast("long"))
+    missing = F.col("doc_id").isNull()
+    dealt = docs.withColumns({"_own": F.when(missing, F.bitwise_not(other)).otherwise(number), "_block": F.when(missing, hashed).otherwise(numbered)})  # both fall from row to row
+    heads = dealt.groupBy("_block").agg(F.max("_own").alias("_own"))
+    heads = heads.select("_block", "_own", F.coalesce(F.lead("_block").over(Window.orderBy("_block")), F.min("_block").over(Window.partitionBy())).alias("_to"))
+    heads = F.broadcast(heads) if len(lower) * cut + nulls <= 1 << 18 else heads
     twice = F.array(F.struct(F.col("_block").alias("b"), F.lit(False).alias("g")), F.struct(F.col("_to").alias("b"), F.lit(True).alias("g")))
-    dealt = rows_of.withColumn("_at", F.explode(F.filter(twice, lambda x: x["b"].isNotNull())))
-    order = Window.partitionBy("_at.b").orderBy("_at.g", F.desc("_own"), F.col("doc_id").isNull(), "_h")
-    dealt = dealt.select(*docs.columns, "_own", "_at").withColumn("_h", F.xxhash64(*(x for x in docs.columns if x != "doc_id")))
+    dealt = dealt.join(heads, ["_block", "_own"], "left").withColumn("_at", F.explode(F.filter(twice, lambda x: x["b"].isNotNull())))
+    order = Window.partitionBy("_at.b").orderBy("_at.g", F.desc("_own"), "_h")
+    dealt = dealt.select(*docs.columns, "_own", "_at").withColumn("_h", other)
     dealt = dealt.select("*", *(F.lead(v).over(order).alias(c) for c, v in keep.items()))
     return dealt.where(~F.col("_at.g")).select(*docs.columns, *keep)
 

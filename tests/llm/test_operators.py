@@ -265,6 +265,10 @@ def test_spotsigs_next_and_likeness(spark):
     many = spark.range(5000).select((F.col("id") * 3).alias("doc_id"), F.col("id").cast("string").alias("text"))
     nxt = spotsigs.with_next(many, {"n": F.col("text")}, rows=100).collect()
     assert len(nxt) == 5000 and all(int(r.n) == (r.doc_id // 3 - 1) % 5000 for r in nxt)
+    some = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))  # most have no number
+    order = [r.text for r in some.select("text").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text")).collect()]
+    after = {r.text: r.n for r in spotsigs.with_next(some, {"n": F.col("text")}, rows=100).collect()}
+    assert after == {a: b for a, b in zip(order, order[1:] + order[:1], strict=True)}
 
 
 @pytest.mark.parametrize("least", [0.5, 0.75, 0.9])
