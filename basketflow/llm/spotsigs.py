@@ -62,11 +62,11 @@ def near_pairs(docs: DataFrame, least: float = 0.75, text: str = "text") -> Data
     return told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("sa"), F.col("sb"), least).alias("likeness")).where(F.col("likeness") >= least)
 
 
-def with_next(docs: DataFrame, keep: dict[str, Column], rows: int = 2000, most: int = 1000) -> DataFrame:
+def with_next(docs: DataFrame, keep: dict[str, Column], rows: int = 2000, most: int = 1000, text: str = "text") -> DataFrame:
     """Adds columns of the document with the next smaller doc_id (after the last: the first); keep: name to expression.
 
     One shuffle. Blocks are ranges of doc_id of about so many rows, up to `most` quantiles, each
-    cut evenly, and below them ranges of the other columns' hash for documents without an id; every block also gets the
+    cut evenly, and below them ranges of the text's hash for documents without an id; every block also gets the
     first row of the block below it. Blocks are told apart by one row each.
     """
     n, lo, hi, gone = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
@@ -76,7 +76,7 @@ def with_next(docs: DataFrame, keep: dict[str, Column], rows: int = 2000, most:
     found = docs.agg(F.percentile_approx("doc_id", [i / q for i in range(1, q)], 100_000)).first()[0] if q > 1 else []
     lower = sorted({lo, *(found or [])})
     starts, ends = (F.array(*(F.lit(x).cast("long") for x in xs)) for xs in (lower, [*lower[1:], hi + 1]))
-    other, number = F.xxhash64(*(x for x in docs.columns if x != "doc_id")), F.coalesce(F.col("doc_id").cast("long"), F.lit(lo))
+    other, number = F.xxhash64(text), F.coalesce(F.col("doc_id").cast("long"), F.lit(lo))
     k = F.greatest(F.size(F.filter(starts, lambda b: b <= number)), F.lit(1))
     start, end = (F.element_at(x, k).cast("double") for x in (starts, ends))
     numbered = k.cast("long") * cut + F.least(((number.cast("double") - start) * cut / F.greatest(end - start, F.lit(1.0))).cast("long"), F.lit(cut - 1).cast("long"))
