@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketflow.llm import decontaminate, jaccard, langid, pieces, secrets
-from basketflow.llm.store import table, written
+from basketflow.llm.store import forget, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -51,9 +51,13 @@ ORACLE_SQL = None  # language ID, template windows and pieces have no SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's table goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = written(docs, f"pipeline-{name}")
+            if before is not None:
+                forget(before)
+            before = docs
     return docs
