@@ -71,8 +71,11 @@ def signed(changed: DataFrame) -> DataFrame:
     """Rows of CHANGES to rows of DELTA.
 
     insert and delete use n_tokens; revise takes the old count from the old source, language and
-    version and adds the new one to the present ones. Another op is an error.
+    version and adds the new one to the present ones; without the column old_tokenizer_version the version
+    stays. Another op is an error.
     """
+    if "old_tokenizer_version" not in changed.columns:
+        changed = changed.withColumn("old_tokenizer_version", F.col("tokenizer_version"))
     row = lambda keys, docs, tokens: F.struct(*(F.col(k).alias(n) for k, n in zip(keys, KEYS, strict=True)), F.lit(docs).cast("long").alias("d_docs"), tokens.cast("long").alias("d_tokens"))
     old, n = tuple(f"old_{k}" for k in KEYS), F.coalesce("n_tokens", F.lit(0))
     rows = (
