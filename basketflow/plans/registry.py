@@ -696,14 +696,15 @@ def train_sample(s, d):
 
 
 _TREES = 20
-_models: dict[str, ranker.Ranker] = {}
+_models: dict[tuple[str, str], ranker.Ranker] = {}
 
 
 def _model(s, d) -> ranker.Ranker:
-    """The ranker of window B's sample, trained once for a folder."""
-    if d not in _models:
-        _models[d] = ranker.train(_once(features.train_sample(_features(s, d))), trees=_TREES)
-    return _models[d]
+    """The ranker of window B's sample, trained once for an application and folder."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _models:
+        _models[key] = ranker.train(_once(features.train_sample(_features(s, d))), trees=_TREES)
+    return _models[key]
 
 
 @query()
