@@ -23,9 +23,10 @@ CHAIN = 2
 def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> Column:
     """Sorted distinct 32-bit hashes of a text's chains."""
     words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    # possessive: a greedy group that repeats takes stack for each anchor of a run
     glued = F.regexp_replace(words, rf"(?<= )({'|'.join(anchors)}) ", "$1@")
-    chains = F.regexp_extract_all(glued, F.lit(r"(?<= )(?=((?:[^ @]+@)+[^ @]+(?: (?:[^ @]+@)*[^ @]+){%d}) )" % (chain - 1)), F.lit(1))
-    bare = F.split(F.regexp_replace(F.array_join(chains, "\n"), r" (?:[^ @\n]+@)+", " "), "\n", -1)
+    chains = F.regexp_extract_all(glued, F.lit(r"(?<= )(?=((?:[^ @]++@)++[^ @]++(?: (?:[^ @]++@)*+[^ @]++){%d}) )" % (chain - 1)), F.lit(1))
+    bare = F.split(F.regexp_replace(F.array_join(chains, "\n"), r" (?:[^ @\n]++@)++", " "), "\n", -1)
     whole = F.when(F.trim(words) != "", F.array(words)).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
     return F.array_sort(F.array_distinct(F.transform(F.when(F.size(chains) > 0, bare).otherwise(whole), lambda x: F.hash(x))))
 
@@ -62,20 +63,21 @@ def near_pairs(docs: DataFrame, least: float = 0.75, text: str = "text") -> Data
     return told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("sa"), F.col("sb"), least).alias("likeness")).where(F.col("likeness") >= least)
 
 
-def with_next(docs: DataFrame, keep: dict[str, Column], rows: int = 2000, most: int = 1000, text: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, keep: dict[str, Column], rows: int = 2000, most: int = 1000, text: str = "text", size: int = 8_000_000) -> DataFrame:
     """Adds columns of the document with the next smaller doc_id (after the last: the first); keep: name to expression.
 
-    One shuffle. Blocks are ranges of doc_id of about so many rows, up to `most` quantiles, each
-    cut evenly, and below them ranges of the text's hash for documents without an id; every block also gets the
+    One shuffle. Blocks are ranges of doc_id of about so many rows, fewer where that many texts of
+    the mean length are more than `size` bytes (a block is held in memory), up to `most` quantiles, each cut evenly, and below them ranges of the text's hash for documents without an id; every block also gets the
     first row of the block below it. Blocks are told apart by one row each.
     """
-    n, lo, hi, gone = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    n, lo, hi, gone, mean = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull()), F.avg(F.octet_length(text))).first()
     lo, hi = lo or 0, hi or 0
+    rows = max(1, min(rows, int(size / max(mean or 0, 1))))
     q = max(1, min(most, n // rows))
     cut, nulls = max(1, n // rows // q), max(1, gone // rows)
     found = docs.agg(F.percentile_approx("doc_id", [i / q for i in range(1, q)], 100_000)).first()[0] if q > 1 else []
     lower = sorted({lo, *(found or [])})
-    starts, ends = (F.array(*(F.lit(x).cast("long") for x in xs)) for xs in (lower, [*lower[1:], hi + 1]))
+    starts, ends = (F.array(*(F.lit(x).cast("long") for x in xs)) for xs in (lower, [*lower[1:], min(hi + 1, 2**63 - 1)]))
     other, number = F.xxhash64(text), F.coalesce(F.col("doc_id").cast("long"), F.lit(lo))
     k = F.greatest(F.size(F.filter(starts, lambda b: b <= number)), F.lit(1))
     start, end = (F.element_at(x, k).cast("double") for x in (starts, ends))

@@ -271,6 +271,20 @@ def test_spotsigs_next_and_likeness(spark):
     assert after == {a: b for a, b in zip(order, order[1:] + order[:1], strict=True)}
 
 
+def test_spotsigs_long_runs_of_anchors_and_the_ends_of_ids(spark):
+    run = "the " * 20000
+    rows = spark.createDataFrame([(1, run), (2, run + "cat sat"), (3, "dog " + "la " * 20000 + "mesa " + "y " * 20000 + "casa")], "doc_id long, text string")
+    got = {r.doc_id: r for r in spotsigs.digest(rows).collect()}
+    chains = {2: "the@" * 20000 + "cat sat", 3: "la@" * 20000 + "mesa casa"}  # the second chain of 3 has one content word
+    plain = spark.createDataFrame(list(chains.items()), "k int, c string").select("k", spotsigs.as_string(F.array(F.hash("c"))).alias("f")).collect()
+    assert {r.k: r.f for r in plain} == {k: got[k].fingerprint for k in chains} and len(got[1].fingerprint) == 8
+    ends = spark.createDataFrame([(2**63 - 1, "the a"), (-(2**63), "la b"), (0, "x")], "doc_id long, text string")
+    assert {r.doc_id: r.n for r in spotsigs.with_next(ends, {"n": F.col("text")}).collect()} == {2**63 - 1: "x", 0: "la b", -(2**63): "the a"}
+    wide = spark.createDataFrame([(i, f"{i} " + "w" * 1000) for i in range(200)], "doc_id long, text string")
+    made = spotsigs.with_next(wide, {"n": F.col("text"), "block": F.col("_at.b")}, size=20_000).collect()
+    assert all(r.n.split()[0] == str((r.doc_id - 1) % 200) for r in made) and len({r.block for r in made}) >= 10
+
+
 @pytest.mark.parametrize("least", [0.5, 0.75, 0.9])
 def test_spotsigs_near_pairs_are_brute_force(spark, least):
     rng = random.Random(5)
