@@ -1,16 +1,19 @@
 """The serving path: exported tables, features worked out session by session, lists that are always full.
 
 The features come from each session's own events and the neighbours of its products alone, in
-numpy, as a request would have them; batch features come from joins over all sessions. parity()
+numpy, as a request would have them, for a batch of whole sessions at once; batch features come from joins over all sessions. parity()
 holds one to the other.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from basketflow import schemas as S
 from basketflow.operators import features
@@ -36,45 +39,124 @@ def export(matrix: DataFrame, stats: DataFrame, popular: DataFrame) -> dict[str,
     return {"neighbours": neighbours, "stats": table, "brands": brands, "popular": first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("pop"), "product_id")))}  # 200 rows
 
 
-def _one(events: pd.DataFrame) -> pd.DataFrame:
-    """The candidates of one session with all features that need no product statistics; events have pos, time and their products' neighbours."""
-    events = events.sort_values("pos")
-    last = events.iloc[-1]
-    items = events.groupby("product_id").agg(h_events=("pos", "size"), time=("time", "max"), pos=("pos", "max"), h_max_type=("event_type", "max")).sort_values("pos", ascending=False)
-    items["h_rank"], items["h_seconds"] = np.arange(len(items)), last["time"] - items["time"]
-    near = events.drop_duplicates("product_id").set_index("product_id").loc[items.index]
-    scores = {}
-    for k in S.KINDS:
-        lists = [x if x is not None else [] for x in near[f"{k}_n"]]
-        part = np.repeat(1.0 / (1 + np.arange(len(lists))), [len(x) for x in lists])
-        part = part * np.concatenate([np.asarray(x, float) if x is not None else [] for x in near[f"{k}_w"]] or [[]])
-        product = np.concatenate([np.asarray(x, np.int64) for x in lists] or [np.zeros(0, np.int64)])
-        scores[f"c_{k}_all"] = pd.Series(part, product).groupby(level=0).sum()
-        scores[f"c_{k}_last"] = pd.Series(part[: len(lists[0])], product[: len(lists[0])])
-    pool = pd.DataFrame(scores).astype(float).fillna(0.0)
-    pool["c_sum"] = pool["c_time_all"] + pool["c_type_all"] + pool["c_buy2buy_all"]
-    fresh = pool[pool.index != last["product_id"]]
-    best = fresh.index.to_numpy()[np.lexsort((fresh.index.to_numpy(), -fresh["c_sum"].round(9).to_numpy()))][: S.N_COVIS]
-    chosen = np.union1d(best, items.index[items.index != last["product_id"]].to_numpy()).astype(np.int64)
-    out = pool.reindex(chosen).fillna(0.0).join(items[list(_ITEM)].astype(float))
-    out["in_history"] = out["h_events"].notna().astype(int)
-    out["s_events"], out["s_products"], out["s_seconds"], out["l_type"] = len(events), len(items), last["time"] - events["time"].min(), last["event_type"]
-    out["l_price"], out["l_category"], out["l_brand"] = last["price"], last["category_id"], last["brand"]
-    out["session"] = events["session"].iloc[0]
-    return out.rename_axis("product_id").reset_index()
+def _first(keys: np.ndarray) -> np.ndarray:
+    """Where another key begins in sorted keys."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    """The place, from 0, of each row among those with its key; keys are sorted."""
+    at = _first(keys)
+    return np.arange(len(keys)) - np.repeat(at, np.diff(np.r_[at, len(keys)]))
+
+
+def _nine(x: np.ndarray) -> np.ndarray:
+    """Nine digits as an integer, halves up: numpy's own rounding takes halves to the even digit."""
+    y = x * 1e9
+    return np.floor(y) + (y - np.floor(y) >= 0.5)
+
+
+def _sessions(events: pa.Table, types: pa.Schema) -> pa.RecordBatch:
+    """The candidates of whole sessions with all features that need no product statistics; events in order of session and pos, with time and their products' neighbours.
+
+    A product that is null takes a place in the history, as it does in the batch, and is no candidate.
+    """
+    floats = lambda c: events[c].cast(pa.float64()).fill_null(np.nan).to_numpy()
+    session = events["session"].to_numpy()
+    at = _first(session)
+    s, ends = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(session)])), np.r_[at[1:], len(session)] - 1
+    known, product, time, kind = ~events["product_id"].is_null().to_numpy(), events["product_id"].fill_null(0).to_numpy(), floats("time"), floats("event_type")
+    # items: one for each session and product, the latest first
+    by = np.lexsort((np.arange(len(s)), product, known, s))
+    heads = np.flatnonzero(np.r_[True, (s[by][1:] != s[by][:-1]) | (known[by][1:] != known[by][:-1]) | (product[by][1:] != product[by][:-1])])
+    tails = np.r_[heads[1:], len(by)] - 1
+    row, count = by[tails], np.diff(np.r_[heads, len(by)])
+    last_time, most = (np.fmax.reduceat(v[by], heads) for v in (time, kind))
+    order = np.lexsort((-row, s[row]))
+    row, count, last_time, most = (v[order] for v in (row, count, last_time, most))
+    rank = _places(s[row])
+    # the neighbours of the items, kind after kind
+    found = []
+    for i, k in enumerate(S.KINDS):
+        lists, weights = (events[f"{k}_{x}"].take(pa.array(row)).combine_chunks() for x in ("n", "w"))
+        n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        item = np.repeat(np.arange(len(row)), n)
+        found.append((np.full(len(item), i), item, lists.flatten().to_numpy(zero_copy_only=False), weights.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)))
+    which, item, near, w = (np.concatenate(x) for x in zip(*found, strict=True))
+    part = 1.0 / (1 + rank[item]) * w
+    names, code = np.unique(np.concatenate([near.astype(np.int64), product[row], product[ends]]), return_inverse=True)
+    near, own, last = np.split(code, [len(near), len(near) + len(row)])
+    pool, of = np.unique(s[row][item] * len(names) + near, return_inverse=True)
+    sums = {}
+    for i, k in enumerate(S.KINDS):
+        for name, mine in ((f"c_{k}_all", which == i), (f"c_{k}_last", (which == i) & (rank[item] == 0))):
+            sums[name] = np.bincount(of[mine], part[mine], len(pool))
+    sums["c_sum"] = sums["c_time_all"] + sums["c_type_all"] + sums["c_buy2buy_all"]
+    # the best 40 and the session's own, without the last product
+    ps, pp = pool // len(names), pool % len(names)
+    other = lambda ses, pro: known[ends][ses] & (pro != last[ses])
+    fresh = np.flatnonzero(other(ps, pp))
+    fresh = fresh[np.lexsort((pp[fresh], -_nine(sums["c_sum"][fresh]), ps[fresh]))]
+    best = fresh[_places(ps[fresh]) < S.N_COVIS]
+    mine = np.flatnonzero(known[row] & other(s[row], own))
+    keys = s[row][mine] * len(names) + own[mine]
+    chosen = np.unique(np.concatenate([pool[best], keys]))
+    sorted_keys = np.argsort(keys)
+
+    def places(where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where chosen rows are in sorted keys, and whether they are."""
+        i = np.minimum(np.searchsorted(where, chosen), max(len(where) - 1, 0))
+        return i, where[i] == chosen if len(where) else np.zeros(len(chosen), bool)
+
+    cs = chosen // len(names)
+    i, there = places(pool)
+    out = {c: np.where(there, v[i], 0.0) if len(pool) else np.zeros(len(chosen)) for c, v in sums.items()}
+    j, seen = places(keys[sorted_keys])
+    j = mine[sorted_keys[j]] if len(keys) else np.zeros(len(chosen), np.int64)
+    whole = lambda v, ok: pa.array(np.where(ok & ~np.isnan(v), v, 0).astype(np.int64), mask=~ok | np.isnan(v))
+    seconds = time[ends][s[row]] - last_time
+    for c, v in zip(_ITEM, (count, rank, seconds, most), strict=True):
+        out[c] = whole(v[j].astype(float), seen)
+    out["in_history"] = seen.astype(np.int32)
+    products = np.bincount(s[row][known[row]], minlength=len(at))
+    lasting = time[ends] - np.fmin.reduceat(time, at) if len(at) else time
+    for c, v in zip(_SESSION, (ends - at + 1, products, lasting, kind[ends]), strict=True):
+        out[c] = whole(v[cs].astype(float), np.ones(len(cs), bool))
+    end = pa.array(ends[cs])
+    out |= {"session": events["session"].take(end), "product_id": names[chosen % len(names)] if len(names) else chosen}
+    out |= {f"l_{c}": events[x].take(end) for c, x in (("price", "price"), ("category", "category_id"), ("brand", "brand"))}
+    made = [v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v if isinstance(v, pa.Array) else pa.array(v) for v in (out[f.name] for f in types)]
+    return pa.RecordBatch.from_arrays([v.cast(f.type) for v, f in zip(made, types, strict=True)], schema=types)
 
 
 def online_features(history: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """(session, product_id, 24 features) from histories (session, pos, event columns) and exported tables."""
-    events = history.select("session", "pos", F.unix_seconds("event_time").alias("time"), "event_type", "product_id", "category_id", "brand", "price").join(tables["neighbours"], "product_id", "left")
-    types = {**dict.fromkeys(S.SCORES, "double"), "c_sum": "double", **dict.fromkeys(_ITEM, "double"), "in_history": "int", **dict.fromkeys(_SESSION, "long"), "l_price": "double", "l_category": "string", "l_brand": "string"}
-    own = events.withColumn("category_id", F.col("category_id").cast("string")).groupBy("session").applyInPandas(lambda pdf: _one(pdf)[["session", "product_id", *types]], "session long, product_id long, " + ", ".join(f"{k} {t}" for k, t in types.items()))
-    rows = own.join(tables["stats"], "product_id", "left").withColumn("l_price", F.when(~F.isnan("l_price"), F.col("l_price")))
+    events = history.where(F.col("session").isNotNull()).select("session", "pos", F.unix_seconds("event_time").alias("time"), "event_type", F.col("product_id").cast("long").alias("product_id"), "category_id", "brand", "price")
+    given = events.schema
+    events = events.join(tables["neighbours"], "product_id", "left").repartition("session").sortWithinPartitions("session", "pos")
+    fields = [("session", given["session"].dataType), ("product_id", T.LongType()), *((c, T.DoubleType()) for c in (*S.SCORES, "c_sum")), *((c, T.LongType()) for c in _ITEM), ("in_history", T.IntegerType()), *((c, T.LongType()) for c in _SESSION)]
+    fields += [(c, given[x].dataType) for c, x in zip(_LAST, ("price", "category_id", "brand"), strict=True)]
+    schema = T.StructType([T.StructField(c, t) for c, t in fields])
+    types = to_arrow_schema(schema)
+
+    def run(batches):
+        """Whole sessions: what may go on in the next batch waits for it."""
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("session").to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(ids, ids[-1]))
+            if cut or (held and held[-1].column("session")[-1].as_py() != ids[0]):
+                yield _sessions(pa.Table.from_batches([*held, batch.slice(0, cut)]), types)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield _sessions(pa.Table.from_batches(held), types)
+
+    rows = events.mapInArrow(run, schema).join(tables["stats"], "product_id", "left")
     same = lambda a, b: (F.col(a) == F.col(b)).cast("int")
-    more = {
-        "price_ratio": features.price_ratio(F.col("p_price"), F.col("l_price")).cast("float"), "same_category": same("p_category", "l_category"), "same_brand": same("p_brand", "l_brand"),
-        **{c: F.when(~F.isnan(c), F.col(c)).cast("long") for c in _ITEM},
-    }
+    more = {"price_ratio": features.price_ratio(F.col("p_price"), F.col("l_price")).cast("float"), "same_category": same("p_category", "l_category"), "same_brand": same("p_brand", "l_brand")}
     return rows.withColumns(more).select("session", "product_id", *S.FEATURES)
 
 

@@ -55,6 +55,27 @@ def test_serving_features_are_the_batch_features(built):
     assert off.candidate_set_mismatches == 1 and off.missing_value_mismatches > 0
 
 
+def test_serving_features_of_sessions_cut_by_batches_and_of_unknown_products(spark, built):
+    history, cases, matrix, stats, pop, _ = built
+    holes = history.withColumn("product_id", F.when(F.col("seq") % 11 != 0, F.col("product_id")))
+    last = holes.groupBy("session").agg(F.max_by(F.struct("product_id"), "pos").alias("l")).select("session", F.col("l.product_id").alias("last_product"))
+    batch = features.build(holes, cases.drop("last_product").join(last, "session"), matrix, stats)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        row = online.parity(batch, online.online_features(holes, online.export(matrix, stats, pop))).first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (row.candidate_set_mismatches, row.missing_value_mismatches, row.max_relative_feature_diff) == (0, 0, 0.0)
+    assert row.feature_rows == batch.count() > 0 and row.sessions == row.identical_top_lists
+
+
+def test_recommend_works_its_features_out_once(spark, monkeypatch):
+    calls, own = [], registry._online
+    monkeypatch.setattr(registry, "_online", lambda s, d: calls.append(d) or own(s, d))
+    registry.QUERIES["recommend"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
 def test_recommend_fills_with_popular_products(spark):
     scores = spark.createDataFrame([(1, 10, 9.0), (1, 20, 5.0), (1, 21, 7.0)], "session long, product_id long, score double")
     last = spark.createDataFrame([(1, 10), (2, 30)], "session long, last_product long")
