@@ -124,6 +124,15 @@ def test_trees_are_the_plain_ones_in_much_less_time():
     assert took[1] < 0.7 * took[0]
 
 
+def test_candidates_weigh_by_the_reciprocal_of_the_rank(spark):
+    items = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (1, 3, 2)], "session long, product_id long, h_rank int")
+    matrix = spark.createDataFrame([("time", 3, 8, 3.0, 1), ("time", 3, 9, 1.0, 2)], "kind string, product_id long, neighbour long, weight float, rank int")
+    last = spark.createDataFrame([(1, 1)], "session long, last_product long")
+    got = {r.product_id: r.c_time_all for r in features.candidates(items, matrix, last).collect()}
+    third = float(np.float32(1 / 3))
+    assert got[9] == 1.0 / 3 * third != third / 3  # as covis_scores and the SQL have it
+
+
 def test_recommend_fills_with_popular_products(spark):
     scores = spark.createDataFrame([(1, 10, 9.0), (1, 20, 5.0), (1, 21, 7.0)], "session long, product_id long, score double")
     last = spark.createDataFrame([(1, 10), (2, 30)], "session long, last_product long")
