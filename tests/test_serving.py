@@ -133,6 +133,11 @@ def test_candidates_weigh_by_the_reciprocal_of_the_rank(spark):
     assert got[9] == 1.0 / 3 * third != third / 3  # as covis_scores and the SQL have it
 
 
+def test_serving_order_takes_halves_of_the_ninth_digit_up():
+    assert online._nine(np.array([0.0009765625, 0.0029296875, 0.5])).tolist() == [976563, 2929688, 500000000]
+    assert (np.array([0.0009765625]).round(9) * 1e9).round()[0] == 976562  # numpy's own rounding, used before
+
+
 def test_recommend_fills_with_popular_products(spark):
     scores = spark.createDataFrame([(1, 10, 9.0), (1, 20, 5.0), (1, 21, 7.0)], "session long, product_id long, score double")
     last = spark.createDataFrame([(1, 10), (2, 30)], "session long, last_product long")
