@@ -70,6 +70,20 @@ def test_serving_features_of_sessions_cut_by_batches_and_of_unknown_products(spa
     assert row.feature_rows == batch.count() > 0 and row.sessions == row.identical_top_lists
 
 
+def test_serving_features_of_events_whose_numbers_repeat_or_are_missing(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    at = f"{tmp_path}/events.parquet"
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT CASE WHEN event_id % 4 > 0 THEN 7 END::BIGINT AS event_id, ts + to_seconds(i) AS ts, user_id, event_type, value, props FROM '/root/testdata/sf0.001/events.parquet', (SELECT range::BIGINT AS i FROM range(2))) TO '{at}'")
+    assert con.execute(f"SELECT count(*) = count(DISTINCT ts) FROM '{at}'").fetchone() == (True,)  # the order by time and seq leaves nothing open
+    con.execute(f"CREATE VIEW events AS FROM '{at}'")
+    sql = con.execute(registry.ORACLE_SQL["online_features"])
+    names, want = [c[0] for c in sql.description], sql.fetchall()
+    got = registry.QUERIES["online_features"](spark, str(tmp_path))
+    by = lambda r: tuple(dict(zip(names, r, strict=True))[c] for c in ("session", "product_id"))
+    assert got.columns == names and sorted(map(tuple, got.collect()), key=by) == sorted(want, key=by) and len(want) > 100
+
+
 def test_recommend_works_its_features_out_once(spark, monkeypatch):
     calls, own = [], registry._online
     monkeypatch.setattr(registry, "_online", lambda s, d: calls.append(d) or own(s, d))
