@@ -56,6 +56,14 @@ def test_serving_features_are_the_batch_features(built):
     assert off.candidate_set_mismatches == 1 and off.missing_value_mismatches > 0
 
 
+def test_price_ratio_has_the_limits_of_division(spark):
+    odd = [-2.5, -0.0, 0.0, 4.0, float("nan"), float("inf")]
+    rows = spark.createDataFrame([(a, b) for a in odd for b in odd] + [(None, 0.0), (1.0, None)], "p double, l double")
+    got = rows.select("p", "l", features.price_ratio(F.col("p"), F.col("l")).alias("r")).collect()
+    with np.errstate(all="ignore"):
+        assert all(r.r is None if r.p is None or r.l is None else np.array_equal(np.float64(r.p) / np.float64(r.l), r.r, equal_nan=True) for r in got)
+
+
 def test_serving_features_of_sessions_cut_by_batches_and_of_unknown_products(spark, built):
     history, cases, matrix, stats, pop, _ = built
     holes = history.withColumn("product_id", F.when(F.col("seq") % 11 != 0, F.col("product_id")))
