@@ -275,6 +275,25 @@ def test_checks_name_what_moved(spark):
     assert drift.adversarial(sample(spark, 150), sample(spark, 150, 0.0, 1, 1000), ("a", "b"), most=20).first().n_cur == 20
 
 
+def test_a_grid_compares_all_requests(spark):
+    ev = world(spark)
+    assert drift.requests(ev, T0, T0 + timedelta(days=9)).select("request").distinct().count() == ev.count()
+    side = lambda name, *how: sample(spark, *how).select(F.lit(name).alias("side"), "request", "a", "b")
+    rows = side("x", 150).unionByName(side("y", 100, 0.0, 1, 1000)).unionByName(side("z", 100, 1.5, 2, 2000)).withColumn("b", F.when(F.col("request") != "r3", F.col("b")).otherwise(F.lit(float("inf"))))
+    keep = lambda df: df.cache()
+    got = {r.check: r for r in drift.grid(rows, [("same", ("x",), ("y",)), ("moved", ("x", "y"), ("z",))], keep, ("a", "b")).collect()}
+    assert (got["same"].n_ref, got["same"].n_cur, got["moved"].n_ref, got["moved"].n_cur) == (150, 100, 250, 100)
+    assert got["moved"].rows_ref == rows.where("side <> 'z'").count() and got["moved"].auc > 0.8 and got["same"].auc < 0.6
+    by_hand = drift.psi(rows.where("side <> 'z'"), rows.where("side = 'z'"), ["a", "b"]).collect()
+    assert {r.feature: r.psi for r in got["moved"].psis} == pytest.approx({r.column: r.psi for r in by_hand}, abs=1e-6)
+    drawn = drift.windows(rows, [("w", "x", "z")], keep, most=20)
+    assert drawn.groupBy("label").agg(F.count_distinct("request")).orderBy("label").collect() == [(0, 20), (1, 20)]
+    x, y = np.random.default_rng(0).integers(0, 9, (400, 3)), np.arange(400) % 2
+    n = np.random.default_rng(1).integers(1, 5, 400)
+    a, b = Trees(5).grow(x, y.astype(float), n).apply(x), Trees(5).grow(np.repeat(x, n, 0), np.repeat(y, n).astype(float)).apply(x)
+    assert np.allclose(a, b)
+
+
 def test_monitor_goes_from_version_to_alert(spark):
     m = drift.Monitor(lambda df: df.cache(), columns=("a", "b"), window=60, least=30)
     a = sample(spark, 200)
